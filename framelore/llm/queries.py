@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from framelore.llm import overlap, survivors
+from framelore.llm import canonical, mixing, overlap, packing, pii, splits, survivors
 from framelore.tables import table
 
 
@@ -28,4 +29,72 @@ def p2_survivors(spark: SparkSession, d: str) -> DataFrame:
     return survivors.surviving_records(table(spark, d, "images"), table(spark, d, "import_sources"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_coverage, p1_report, p2_found, p2_survivors)}
+def _labels(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return table(spark, d, "annotations"), table(spark, d, "import_sources"), table(spark, d, "label_catalog")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.found_labels(*_labels(spark, d))
+
+
+def p3_labels(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.resolve_labels(*_labels(spark, d))
+
+
+def p3_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.resolve_labels(*_labels(spark, d)).where("category_id = -1").groupBy("value").count().withColumnRenamed("count", "annotations")
+
+
+def p3_targets(spark: SparkSession, d: str) -> DataFrame:
+    """The targets of every category mapping with their entry."""
+    targets = table(spark, d, "import_sources").select("source_id", F.explode("category_mapping").alias("class_name", "value"))
+    return targets.join(canonical.resolve_values(targets.select("value"), table(spark, d, "label_catalog")), "value", "left")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return splits.related_rows(table(spark, d, "video_manifest"))
+
+
+def p5_splits(spark: SparkSession, d: str) -> DataFrame:
+    return splits.assign_splits(table(spark, d, "video_manifest"), table(spark, d, "split_targets"))
+
+
+def p5_shares(spark: SparkSession, d: str) -> DataFrame:
+    return splits.split_shares(p5_splits(spark, d), table(spark, d, "split_targets"))
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_documents(table(spark, d, "documents"))
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packing_report(p8_containers(spark, d))
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_documents(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_report(p9_mixture(spark, d), table(spark, d, "mix_targets"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.found_entities(table(spark, d, "documents"))
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redacted_documents(table(spark, d, "documents"))
+
+
+def p10_surrogates(spark: SparkSession, d: str) -> DataFrame:
+    return pii.surrogate_documents(table(spark, d, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_coverage, p1_report, p2_found, p2_survivors, p3_found, p3_labels, p3_unmatched, p3_targets, p5_found, p5_splits, p5_shares,
+        p8_containers, p8_report, p9_mixture, p9_shares, p10_found, p10_redacted, p10_surrogates,
+    )
+}
