@@ -1,5 +1,5 @@
 """Queries over the test tables, each with its SQL twin where SQL can say it."""
 
-from framelore.plans import data_quality
+from framelore.plans import browse, data_quality, shapes
 
-ALL = [data_quality]
+ALL = [data_quality, browse, shapes]
