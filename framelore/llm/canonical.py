@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelore.tables import stage
+
 # Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = ("аеорсухіјѕԁһкмтвнАЕОРСУХІЈЅКМТВНοαεικνρτυ", "aeopcyxijsdhkmtbhAEOPCYXIJSKMTBHoaeiknptu")
 # Letters with marks, and the bare letter.
@@ -141,9 +143,10 @@ def resolve_values(values: DataFrame, catalog: DataFrame) -> DataFrame:
     letters are closer is taken; if none is, the value stays unmatched.
     Null and blank values are unmatched; an empty catalog matches nothing.
     """
-    distinct = values.select("value").where("value is not null").distinct()
-    refs = reference_forms(catalog)
-    read = _forms_of_values(distinct)
+    # Written once: every way to match reads them, and each read as a plan of its own would fold all values anew.
+    distinct = stage(values.select("value").where("value is not null").distinct(), "canonical-values")
+    refs = stage(reference_forms(catalog), "canonical-refs")
+    read = stage(_forms_of_values(distinct), "canonical-forms")
     bag = lambda c: F.array_join(F.array_sort(F.split(c, " ")), " ")
     tight = lambda c: F.replace(c, F.lit(" "), F.lit(""))
     letters = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
@@ -171,9 +174,9 @@ def resolve_values(values: DataFrame, catalog: DataFrame) -> DataFrame:
     )
     cut = read.join(prefixes.drop("other"), "text").select("value", "category_id", F.lit("beginning").alias("how"), (F.col("way") + 30).alias("cost"), F.lit(0).alias("edits"))
     sure = exact.unionByName(order).unionByName(joined).unionByName(cut).groupBy("value").agg(F.min(F.struct("cost", "category_id", "how", "edits")).alias("best"))
-    settled = sure.select("value", "best.category_id", "best.how", "best.edits")
+    settled = stage(sure.select("value", "best.category_id", "best.how", "best.edits"), "canonical-settled")
 
-    open_values = read.join(settled.select("value"), "value", "left_anti")
+    open_values = stage(read.join(settled.select("value"), "value", "left_anti"), "canonical-open")
     near = open_values.join(pigeonhole(open_values.select("text").distinct(), refs), "text").withColumn("swap", F.levenshtein(letters(F.col("text")), letters(F.col("form"))))
     # At most two slips, of which a swap of neighbours is one but costs two edits: what
     # swaps leave is seen from the letters in order, where another letter costs two.
@@ -185,7 +188,7 @@ def resolve_values(values: DataFrame, catalog: DataFrame) -> DataFrame:
     by_value = Window.partitionBy("value").orderBy("d.edits", "d.swap")
     ranked = per_entry.withColumn("place", F.rank().over(by_value)).where("place = 1").groupBy("value").agg(F.min("category_id").alias("category_id"), F.count("*").alias("ties"), F.min("d.edits").alias("edits"))
     fuzzy = ranked.where("ties = 1").select("value", "category_id", F.lit("edits").alias("how"), "edits")
-    found = settled.unionByName(fuzzy)
+    found = stage(settled.unionByName(fuzzy.select("value", "category_id", "how", "edits")), "canonical-found")
     missing = distinct.join(found.select("value"), "value", "left_anti").select("value", F.lit(-1).alias("category_id"), F.lit("unmatched").alias("how"), F.lit(None).cast("int").alias("edits"))
     return found.select("value", F.col("category_id").cast("int").alias("category_id"), "how", F.col("edits").cast("int").alias("edits")).unionByName(missing)
 
