@@ -100,10 +100,11 @@ def pigeonhole(values: DataFrame, refs: DataFrame) -> DataFrame:
     place; a candidate pair needs a place within k of the segment's own.
     """
     segments = _segments(refs)
-    lengths = segments.select(F.length("seg").alias("size")).distinct()
+    # With each segment length, the lengths a value may have to be near a form with such a segment.
+    lengths = segments.groupBy(F.length("seg").alias("size")).agg(F.min(F.col("len") - F.col("k")).alias("least"), F.max(F.col("len") + F.col("k")).alias("most"))
     grams = (
         values.select("text", F.length("text").alias("tlen"))
-        .join(F.broadcast(lengths), F.col("tlen") >= F.col("size"))  # segment lengths: at most the longest form
+        .join(F.broadcast(lengths), F.col("tlen").between(F.greatest("size", "least"), F.col("most")))  # at most as many rows as the longest form has letters
         .select("text", "tlen", "size", F.explode(F.sequence(F.lit(1), F.col("tlen") - F.col("size") + 1)).alias("at"))
         .select("text", "tlen", "at", F.substring(F.col("text"), F.col("at"), F.col("size")).alias("seg"))
     )
