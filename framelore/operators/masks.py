@@ -164,14 +164,31 @@ def counts_from_tiles(tiles: list[tuple[int, int, list[int]]], width: int, heigh
 
 
 def to_column_major(tiles: DataFrame) -> DataFrame:
-    """(object_id, counts) from (object_id, width, height, x, y, counts): one task row per object, bounded by its tiles."""
+    """(object_id, counts) from (object_id, width, height, x, y, counts).
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        w, h = int(group["width"].iloc[0]), int(group["height"].iloc[0])
-        rows = [(int(x), int(y), list(c)) for x, y, c in zip(group["x"], group["y"], group["counts"])]
-        return pd.DataFrame({"object_id": [group["object_id"].iloc[0]], "counts": [counts_from_tiles(rows, w, h)]})
+    Objects stream through their partition in order; one object's tiles (at
+    most 4096) are held at a time.
+    """
+    kind = dict(tiles.dtypes)["object_id"]
+    names = ["object_id", "width", "height", "x", "y", "counts"]
 
-    return tiles.groupBy("object_id").applyInPandas(run, f"object_id {dict(tiles.dtypes)['object_id']}, counts array<bigint>")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, size, held = None, (0, 0), []
+        for b in batches:
+            out = []
+            for o, w, h, x, y, c in zip(*[b[n].tolist() for n in names]):
+                if o != current:
+                    if held:
+                        out.append((current, counts_from_tiles(held, *size)))
+                    current, size, held = o, (w, h), []
+                held.append((x, y, c))
+            yield pd.DataFrame(out, columns=["object_id", "counts"])
+        if held:
+            yield pd.DataFrame([(current, counts_from_tiles(held, *size))], columns=["object_id", "counts"])
+
+    parts = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = tiles.where("object_id is not null").select(*names).repartition(parts, "object_id").sortWithinPartitions("object_id", "y", "x")
+    return placed.mapInPandas(run, f"object_id {kind}, counts array<bigint>")
 
 
 def from_column_major(masks: DataFrame) -> DataFrame:

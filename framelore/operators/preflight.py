@@ -41,7 +41,7 @@ def preflight(annotations: DataFrame, images: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.count("confidence").alias("confident"), F.count_if(fractional).alias("fractional"), F.count_if(~xml_safe(F.col("label"))).alias("bad_text")
     )
     pictures = images.agg(
-        F.count_if(F.col("split") != "unspecified").alias("with_split"), F.count_if(F.col("split") == "unspecified").alias("without_split"), F.count_if(~F.lower("path").rlike(r"[.]jpe?g$")).alias("not_jpeg")
+        F.count_if(F.col("split") != "unspecified").alias("with_split"), F.count_if(F.col("split") == "unspecified").alias("without_split"), F.count_if(~F.lower("path").rlike(r"[.]jpe?g\z")).alias("not_jpeg")
     )
     formats = F.broadcast(format_table(spark))  # eight rows
     kinds = by_kind.join(formats)

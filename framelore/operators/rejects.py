@@ -30,8 +30,8 @@ REASONS = {
     "confidence": "confidence is neither empty nor in [0, 1]",
     "moment": "reviewed_at is neither empty nor a real date",
 }
-NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
-MOMENT = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}(T([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]Z?)?$"
+NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?\z"
+MOMENT = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}(T([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]Z?)?\z"
 
 
 def finite(value: Column) -> Column:

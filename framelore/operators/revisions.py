@@ -22,7 +22,7 @@ TASK_KINDS = {"detection": ["bbox"], "instance_segmentation": ["polygon", "mask"
 def current_documents(docs: DataFrame) -> DataFrame:
     """The newest document per picture and layer: doc_key, image_key, layer, revision.
 
-    By revision, then save time, then key; an aggregate, so a picture with
+    By revision, then save time (unknown is earliest), then key; an aggregate, so a picture with
     very many saves is reduced before it is shuffled.
     """
     newest = F.max(F.struct("revision", "saved_at", "doc_key"))

@@ -157,7 +157,7 @@ def extract_new_frames(spark, d):
     return wanted.join(there, ["video_id", "frame_index"], "left_anti")
 
 
-_SQL_EFFECTIVE = """now as (select image_key, layer, arg_max(doc_key, (revision, saved_at, doc_key)) as doc_key, max(revision) as revision from annotation_docs where image_key is not null and layer is not null group by 1, 2),
+_SQL_EFFECTIVE = """now as (select image_key, layer, arg_max(doc_key, (coalesce(revision, -1), coalesce(saved_at, timestamp '0001-01-01'), doc_key)) as doc_key, max(revision) as revision from annotation_docs where image_key is not null and layer is not null group by 1, 2),
 ranked as (select *, row_number() over (partition by image_key order by case layer when 'annotations' then 1 when 'suggestions' then 2 else 3 end) as n from now where layer in ('annotations', 'suggestions', 'revisions')),
 base as (select i.image_key, i.split, coalesce(r.layer, 'import') as layer, r.doc_key, coalesce(r.revision, 0) as revision,
   case r.layer when 'annotations' then 'human_reviewed' when 'suggestions' then 'ai_suggestion' when 'revisions' then 'ai_suggestion' else coalesce(i.status, 'unreviewed') end as status
@@ -202,7 +202,7 @@ union all select 'duplicate_object', count(*) from (select 1 from annotations wh
 union all select 'unknown_label', count(*) from annotations where label is not null and label not in (select category_name from label_catalog)
 union all select 'kind_not_allowed', count(*) from annotations where kind not in ('polygon', 'mask')
 union all select 'outside_image', count(*) from annotations a join images i on a.image_key = i.image_key where bbox[1] < 0 or bbox[2] < 0 or bbox[3] > width or bbox[4] > height""",
-    "revision_chain": """with recursive n as (select doc_key, image_key, layer, row_number() over (partition by image_key, layer order by revision, saved_at, doc_key) as k from annotation_docs where image_key is not null and layer is not null),
+    "revision_chain": """with recursive n as (select doc_key, image_key, layer, row_number() over (partition by image_key, layer order by revision nulls first, saved_at nulls first, doc_key) as k from annotation_docs where image_key is not null and layer is not null),
 c as (select doc_key, image_key, layer, k, null::bigint as parent, 0 as depth from n where k = 1 union all select n.doc_key, n.image_key, n.layer, n.k, c.doc_key, c.depth + 1 from c join n on n.image_key = c.image_key and n.layer = c.layer and n.k = c.k + 1)
 select doc_key, parent, depth from c""",
     "category_merge": f"""with {_SQL_CLASSES}, t as (select trim(name) as name, source_id, ord from cl where trim(name) <> '')

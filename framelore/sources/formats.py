@@ -12,6 +12,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from framelore.functions.text import label_file, local_file_reference, path_key, portable_path, quote_path
 from framelore.operators import boxes as B
@@ -117,7 +118,7 @@ def read_coco(files: DataFrame, split: str = "unspecified") -> Dataset:
 # --- YOLO ---------------------------------------------------------------------
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _twelve_digits(v: pd.Series) -> pd.Series:
     """Shortest text of up to twelve significant digits."""
     return v.map(lambda x: None if pd.isna(x) else f"{x:.12g}")
