@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelore.llm import canonical, mixing, overlap, packing, pii, splits, survivors
+from framelore.llm.oracles import ORACLES  # noqa: F401
 from framelore.tables import table
 
 
