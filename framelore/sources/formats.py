@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from framelore.functions.geometry import decode_coco_counts, encode_coco_counts
 from framelore.functions.text import label_file, local_file_reference, path_key, portable_path, quote_path
 from framelore.operators import boxes as B
 from framelore.operators.catalogs import merge_categories
@@ -115,6 +116,72 @@ def read_coco(files: DataFrame, split: str = "unspecified") -> Dataset:
     return Dataset(images, objects, merged.select("category_id", "name"), issues.unionByName(bad))
 
 
+# --- COCO with shapes ------------------------------------------------------------
+
+_SEGMENTED = (
+    "images array<struct<id: bigint, file_name: string, width: int, height: int, split: string>>, "
+    "annotations array<struct<id: bigint, image_id: bigint, category_id: bigint, segmentation: string, iscrowd: int, score: double>>, "
+    "categories array<struct<id: bigint, name: string>>"
+)
+
+
+def write_coco_shapes(images: DataFrame, shapes: DataFrame, categories: DataFrame, per_file: int = PER_FILE) -> DataFrame:
+    """COCO instance segmentation: polygons flat, masks as compressed column-major runs.
+
+    ``shapes`` (path, ord, label, rings array<ring>, counts array<bigint>) has
+    rings for polygons or column-major counts for masks.
+    """
+    coco = categories.select(F.col("category_id").alias("id"), "name").agg(F.to_json(F.array_sort(F.collect_list(F.struct("id", "name")))).alias("categories"))
+    placed = _sharded(Dataset(images, shapes, categories), per_file).withColumn("image_id", F.col("shard").cast("bigint") * (1 << 24) + F.col("number"))
+    flat = F.transform("rings", lambda r: F.flatten(F.transform(r, lambda p: F.array(p["x"], p["y"]))))
+    sized = _join_class(shapes, categories).join(placed.select("path", "shard", "split", "image_id", "width", "height"), "path")
+    runs = F.to_json(F.struct(F.array("height", "width").alias("size"), encode_coco_counts(F.col("counts")).alias("counts")))
+    numbered = sized.withColumn("n", F.row_number().over(Window.partitionBy("shard", "split").orderBy("image_id", "ord")))
+    body = F.concat(
+        F.lit('{"id":'), (F.col("shard").cast("bigint") * (1 << 32) + F.col("n")).cast("string"), F.lit(',"image_id":'), F.col("image_id").cast("string"), F.lit(',"category_id":'), F.col("category_id").cast("string"),
+        F.lit(',"iscrowd":0,"segmentation":'), F.when(F.col("counts").isNotNull(), runs).otherwise(F.to_json(flat)), F.lit("}"),
+    )
+    annotations = numbered.select("shard", "split", "n", body.alias("a")).groupBy("shard", "split").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "a"))), lambda s: s["a"]), ",").alias("annotations"))
+    pictures = placed.groupBy("shard", "split").agg(F.to_json(F.array_sort(F.collect_list(F.struct(F.col("image_id").alias("id"), F.col("path").alias("file_name"), "width", "height", "split")))).alias("images"))
+    whole = pictures.join(annotations, ["shard", "split"], "left").join(F.broadcast(coco))  # one row
+    text = F.concat(F.lit('{"images":'), "images", F.lit(',"annotations":['), F.coalesce("annotations", F.lit("")), F.lit('],"categories":'), "categories", F.lit("}"))
+    return whole.select(F.format_string("annotations/instances_%s-%05d.json", "split", "shard").alias("file"), text.alias("content"))
+
+
+def read_coco_shapes(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(shapes, issues) of COCO documents with segmentation.
+
+    shapes (path, object_id, label, width, height, rings, counts): polygons as
+    rings without a repeated closing vertex, masks as column-major counts from
+    compressed text or number lists.  Runs must be positive except the first,
+    cover the picture and hold foreground.
+    """
+    parsed = files.withColumn("d", F.from_json("content", _SEGMENTED)).where("d.images is not null")
+    images = parsed.select("file", F.explode("d.images").alias("i")).select("file", F.col("i.id").alias("image_id"), F.col("i.file_name").alias("path"), F.col("i.width").alias("width"), F.col("i.height").alias("height")).dropDuplicates(["file", "image_id"])
+    classes = parsed.select("file", F.explode("d.categories").alias("c")).select("file", F.col("c.id").alias("category_id"), F.trim("c.name").alias("label")).dropDuplicates(["file", "category_id"])
+    rows = parsed.select("file", F.posexplode("d.annotations").alias("pos", "a")).select("file", "pos", "a.*").join(images, ["file", "image_id"], "left").join(classes, ["file", "category_id"], "left")
+    s = F.col("segmentation")
+    is_runs = s.startswith("{")
+    as_text = F.from_json(s, "counts string")["counts"]
+    as_list = F.from_json(s, "counts array<bigint>")["counts"]
+    counts = F.when(is_runs, F.when(as_text.startswith("["), as_list).otherwise(decode_coco_counts(as_text)))
+    flat = F.when(~is_runs, F.from_json(s, "array<array<double>>"))
+    points = lambda r: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.size(r) / 2).cast("int") - 1)), lambda i: F.struct(F.get(r, i * 2).alias("x"), F.get(r, i * 2 + 1).alias("y")))
+    opened = lambda r: F.when((F.size(r) > 3) & (F.get(r, F.lit(0)) == F.element_at(r, -1)), F.slice(r, 1, F.size(r) - 1)).otherwise(r)
+    rows = rows.withColumn("counts", counts).withColumn("rings", F.transform(flat, lambda r: opened(points(r))))
+    total = F.aggregate("counts", F.lit(0).cast("bigint"), lambda t, n: t + n)
+    inner = F.slice("counts", 2, F.greatest(F.size("counts") - 1, F.lit(0)))
+    good_runs = (F.get("counts", F.lit(0)) >= 0) & F.forall(inner, lambda n: n > 0) & (F.size("counts") >= 2) & (total == F.col("width").cast("bigint") * F.col("height"))
+    good_rings = (F.size("rings") > 0) & F.forall(flat, lambda r: (F.size(r) >= 6) & (F.size(r) % 2 == 0))
+    fault = (
+        F.when(F.col("path").isNull(), "missing_image").when(F.col("label").isNull(), "unknown category").when(s.isNull(), "no segmentation")
+        .when(is_runs & ~F.coalesce(good_runs, F.lit(False)), "invalid runs").when(~is_runs & ~F.coalesce(good_rings, F.lit(False)), "invalid polygon")
+    )
+    judged = rows.withColumn("fault", fault)
+    shapes = judged.where("fault is null").select("path", F.concat(F.lit("import-"), F.col("id").cast("string")).alias("object_id"), "label", "width", "height", "rings", "counts")
+    return shapes, _issue(judged.where("fault is not null"), "invalid_annotation", F.format_string("annotations[%d]", "pos"), F.col("fault"))
+
+
 # --- YOLO ---------------------------------------------------------------------
 
 
