@@ -10,6 +10,7 @@ the distinct entities, repeated for those that clash; nothing is collected.
 from __future__ import annotations
 
 import hashlib
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -78,6 +79,7 @@ ADDRESSES = [
 _FAMILY = r"\p{L}[\p{L}'’]+(?:-\p{L}[\p{L}'’]+)?"
 _PARTICLE = rf"(?:{_any(words.PARTICLES)}\s)?"
 _GIVEN = rf"(?i:{_any(words.GIVEN_F | words.GIVEN_M)})"
+_GIVEN_ALL = words.GIVEN_F | words.GIVEN_M
 _INITIAL = r"(?:\p{Lu}|(?<=\s)\p{Ll})\."
 _SUFFIX = _any(words.FAMILY_ENDS)
 NAME_FORWARD = regex.compile(rf"(?<![\p{{L}}\d@._+-])(?P<given>{_GIVEN}(?:-{_GIVEN})?|{_INITIAL})(?P<middle>(?:\s\p{{Lu}}\.){{0,2}})\s(?P<part>(?i:{_PARTICLE}))(?P<family>{_FAMILY})(?![\p{{L}}\d@_])")
@@ -100,6 +102,31 @@ def _family_ok(given: str, family: str) -> bool:
     return not given.endswith(".") and family[0].isupper() and len(family) > 2 and (given[0].isupper()) and (given.isupper() == family.isupper())
 
 
+# What a pattern cannot match without, to pass over texts and stretches that have none of it.
+AT_WRITTEN, AT_WORD, DOT_WORD = re.compile(r"[(\[{<]\s?at\s?[)\]}>]"), re.compile(r"\sat\s"), re.compile(r"\sdot\s")
+_SHORTEST_CUES = sorted(c for c in {x.lower() for x in words.ID_CUES} if not any(o != c and o in c for o in {x.lower() for x in words.ID_CUES}))
+_WORD = re.compile(r"[^\W\d_]+")
+REACH = 120  # longer than any name with particles on either side of its given name
+
+
+def _name_windows(text: str) -> list[tuple[int, int]]:
+    """Stretches around given names and initials, merged where they meet."""
+    out: list[tuple[int, int]] = []
+    for m in _WORD.finditer(text):
+        word = m[0]
+        if len(word) == 1:
+            if not text.startswith(".", m.end()):
+                continue
+        elif word.lower() not in _GIVEN_ALL:
+            continue
+        a, b = max(0, m.start() - REACH), m.end() + REACH
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out
+
+
 def find_entities(text: str | None) -> list[tuple[str, int, int]]:
     """(type, start, end) in code points, end exclusive, without overlaps, in order."""
     if not text:
@@ -114,7 +141,8 @@ def find_entities(text: str | None) -> list[tuple[str, int, int]]:
         out.append((kind, a, b))
         return True
 
-    if "@" in text or regex.search(r"(?i)\bat\b", text):
+    low = text.lower()
+    if "@" in text or AT_WRITTEN.search(low) or AT_WORD.search(low) and DOT_WORD.search(low):
         for m in EMAIL.finditer(text):
             tld = (m["tld"] or m["tld2"]).lower()
             if tld not in words.FILE_ENDS:
@@ -124,8 +152,9 @@ def find_entities(text: str | None) -> list[tuple[str, int, int]]:
         for pattern in ADDRESSES:
             for m in pattern.finditer(text):
                 add("address", *m.span())
-        for m in ID_NUMBER.finditer(text):
-            add("id_number", *m.span("id"))
+        if any(cue in low for cue in _SHORTEST_CUES):
+            for m in ID_NUMBER.finditer(text):
+                add("id_number", *m.span("id"))
         for pattern, marked in ((PHONE_MARKED, True), (PHONE_BARE, False)):
             for m in pattern.finditer(text):
                 count = sum(c.isdigit() for c in m[0])
@@ -136,10 +165,12 @@ def find_entities(text: str | None) -> list[tuple[str, int, int]]:
                     continue
                 if marked or PHONE_BEFORE.search(before):
                     add("phone", *m.span())
+    windows = _name_windows(text)
     for pattern in (NAME_TURNED, NAME_FORWARD):
-        for m in pattern.finditer(text, overlapped=True):
-            if _family_ok(m["given"], m["family"]):
-                add("person_name", *m.span())
+        for a, b in windows:
+            for m in pattern.finditer(text, a, b, overlapped=True):
+                if _family_ok(m["given"], m["family"]):
+                    add("person_name", *m.span())
     for m in NAME_CUED.finditer(text):
         first, *_, last = m["name"].split()
         if first.lower() not in COMMON and last.lower() not in COMMON:
