@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,11 +37,12 @@ def digest(sha: Column) -> Column:
 
 
 def compose(text: Column) -> Column:
-    """Lower-case letters with a combining accent become single letters."""
+    """Lower-case letters with a combining accent become single letters; a text without such accents is passed through."""
+    whole_text = text
     for accent, (bases, composed) in DECOMPOSED.items():
         for base, whole in zip(bases, composed):
-            text = F.replace(text, F.lit(base + accent), F.lit(whole))
-    return text
+            whole_text = F.replace(whole_text, F.lit(base + accent), F.lit(whole))
+    return F.when(text.rlike("[\\x{300}-\\x{36f}]"), whole_text).otherwise(text)
 
 
 def file_key(path: Column) -> Column:
@@ -67,7 +65,7 @@ def file_key(path: Column) -> Column:
     return F.when(F.length(joined) > 0, joined)
 
 
-def _spell(path: Column) -> Column:
+def spell(path: Column) -> Column:
     """Letters and digits with single separators, for shot names that lost or changed theirs."""
     return F.regexp_replace(path, r"[^\p{L}\p{N}]+", "_")
 
@@ -88,11 +86,15 @@ def shot_key(path_key: Column) -> Column:
     number.  Folders, prefixes, suffixes, separators and the format do not
     matter.
     """
-    spelled = _spell(path_key)
+    return spelled_shot(spell(path_key))
+
+
+def spelled_shot(spelled: Column) -> Column:
+    """As ``shot_key``, from the spelled file key (a column of its own is then spelled once)."""
     out: Column | None = None
     for kind, pattern in SHOT_PATTERNS:
-        groups = pattern.count("(") - pattern.count("(?:") - pattern.count("(?!")
-        got: Callable[[int], Column] = functools.partial(F.regexp_extract, spelled, pattern)
-        key = F.concat_ws("|", F.lit(kind), *[got(i) for i in range(1, groups + 1)])
+        groups = pattern.count("(") - pattern.count("(?:")
+        # One pass over the name: everything around the match is dropped, the groups stay.
+        key = F.regexp_replace(spelled, f"^.*?{pattern}.*$", "|".join([kind, *(f"${i}" for i in range(1, groups + 1))]))
         out = (F if out is None else out).when(spelled.rlike(pattern), key)
     return out

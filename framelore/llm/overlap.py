@@ -38,18 +38,19 @@ def passages(images: DataFrame) -> DataFrame:
     them (no path, no digest) is the same picture as no other row.
     """
     file = keys.file_key(F.col("path"))
-    part = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(name + ":"), value))
-    return images.select(
+    part = lambda name, value: F.concat(F.lit(name + ":"), value)  # noqa: E731  (null where the value is)
+    named = images.select(
         "image_key",
         keys.canonical_split(F.col("split")).alias("split"),
         F.coalesce("source_id", F.split_part(F.col("path"), F.lit("/"), F.lit(1))).alias("source"),
         file.alias("_file"),
         keys.digest(F.col("sha256")).alias("_digest"),
-    ).select(
+    ).withColumn("_spelled", keys.spell(F.col("_file")))
+    return named.select(
         "image_key",
         "split",
         "source",
-        F.array_compact(F.array(part("file", F.col("_file")), part("shot", keys.shot_key(F.col("_file"))), part("digest", F.col("_digest")))).alias("parts"),
+        F.array_compact(F.array(part("file", F.col("_file")), part("shot", keys.spelled_shot(F.col("_spelled"))), part("digest", F.col("_digest")))).alias("parts"),
     )
 
 
