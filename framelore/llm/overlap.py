@@ -34,8 +34,9 @@ SEP = "\x1f"
 def passages(images: DataFrame) -> DataFrame:
     """Rows with their split (uniform), source and the normalised parts of their identity.
 
-    ``parts`` has one to three texts: file, shot, digest.  A row with none of
-    them (no path, no digest) is the same picture as no other row.
+    ``parts`` has one to three texts: file, shot, digest; ``ids`` their 16-byte
+    digests, which stand for them in joins.  A row with none of them (no path,
+    no digest) is the same picture as no other row.
     """
     file = keys.file_key(F.col("path"))
     part = lambda name, value: F.concat(F.lit(name + ":"), value)  # noqa: E731  (null where the value is)
@@ -46,33 +47,34 @@ def passages(images: DataFrame) -> DataFrame:
         file.alias("_file"),
         keys.digest(F.col("sha256")).alias("_digest"),
     ).withColumn("_spelled", keys.spell(F.col("_file")))
-    return named.select(
+    rows = named.select(
         "image_key",
         "split",
         "source",
         F.array_compact(F.array(part("file", F.col("_file")), part("shot", keys.spelled_shot(F.col("_spelled"))), part("digest", F.col("_digest")))).alias("parts"),
     )
+    return rows.withColumn("ids", F.transform("parts", lambda p: F.unhex(F.md5(p))))
 
 
 def classes(records: DataFrame) -> DataFrame:
-    """``records`` (image_key, parts) with ``class_id``: rows linked by any part, directly or through other rows.
+    """``records`` (parts, ids, ...) with ``class_id``: rows linked by any part, directly or through other rows.
 
-    The class is named by its smallest part.  Only parts shared by several
-    sets of parts make edges; all others are their row's own class.
+    A row's first part stands for it: all rows with that part are in its
+    class, and its other parts link it to others.  Only parts that lie beside
+    several first parts make edges; a row without an edge is named by its
+    first part.
     """
     records = stage(records, "overlap-passages")  # the parts are read several times and cost much to make
-    sets = records.where(F.size("parts") > 0).select(F.array_sort("parts").alias("parts")).distinct()
-    edges = sets.where(F.size("parts") > 1).select(F.element_at("parts", 1).alias("a"), F.explode(F.slice("parts", 2, 2)).alias("b"))
-    # A part that is seen once links nothing: its edge would only lengthen the table.
-    shared = sets.select(F.explode("parts").alias("part")).groupBy("part").agg(F.count("*").alias("n")).where("n > 1").select("part")
-    linking = edges.join(shared.withColumnRenamed("part", "b"), "b", "left_semi").unionByName(edges.join(shared.withColumnRenamed("part", "a"), "a", "left_semi")).select("a", "b").distinct()
-    roots = components(linking, "overlap")
-    rooted = sets.withColumn("node", F.explode("parts")).join(roots, "node").groupBy("parts").agg(F.min("root").alias("root"))
-    named = sets.join(rooted, "parts", "left").select("parts", F.coalesce("root", F.element_at("parts", 1)).alias("class_id"))
-    return records.withColumn("_sorted", F.array_sort("parts")).join(named.withColumnRenamed("parts", "_sorted"), "_sorted", "left").drop("_sorted")
+    beside = records.where(F.size("ids") > 1).select(F.get("ids", F.lit(0)).alias("a"), F.explode(F.slice("ids", 2, 2)).alias("b")).distinct()
+    shared = beside.groupBy("b").agg(F.count("*").alias("n")).where("n > 1").select("b")
+    # A digest may be the first part of a row without a path: its edge counts though it lies beside one first part only.
+    alone = records.where(F.size("ids") == 1).select(F.get("ids", F.lit(0)).alias("b")).distinct()
+    roots = components(beside.join(shared.unionByName(alone).distinct(), "b", "left_semi").select("a", "b"), "overlap")
+    first = records.withColumn("_first", F.get("ids", F.lit(0)))
+    return first.join(roots.withColumnRenamed("node", "_first"), "_first", "left").withColumn("class_id", F.coalesce("root", "_first")).drop("_first", "root")
 
 
-HIT_SCHEMA = "class_id string, part string, start int, stop int"
+HIT_SCHEMA = "class_id binary, part string, start int, stop int"
 
 
 def _scan(passages_and_texts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -105,7 +107,7 @@ def _scan(passages_and_texts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def matched_parts(records: DataFrame) -> DataFrame:
     """Parts of training texts in which a passage of an evaluation class was found, with the matched interval."""
     evaluation = records.where(F.col("split").isin("val", "test")).select("class_id").distinct()
-    training = records.where("split = 'train'").select(F.explode("parts").alias("part")).distinct().withColumn("class_id", F.lit(None).cast("string")).withColumn("kind", F.lit(1))
+    training = records.where("split = 'train'").select(F.explode("parts").alias("part")).distinct().withColumn("class_id", F.lit(None).cast("binary")).withColumn("kind", F.lit(1))
     wanted = records.join(evaluation, "class_id", "left_semi").select("class_id", F.explode("parts").alias("part")).distinct().withColumn("kind", F.lit(0))
     both = stage(wanted.unionByName(training), "overlap-parts")
     shards = blocks_for(both.count(), PER_SHARD, int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -121,9 +123,9 @@ def matched_parts(records: DataFrame) -> DataFrame:
 def cross_split(images: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Training rows matched by the automata, and all rows with their class."""
     records = stage(classes(passages(images)), "overlap-records")
-    hits = matched_parts(records).select("class_id", "part").distinct()
-    train = records.where("split = 'train'").select("image_key", "class_id", F.explode("parts").alias("part"))
-    matched = train.join(hits, ["class_id", "part"], "left_semi").select("image_key", "class_id").distinct()
+    hits = matched_parts(records).select("class_id", F.unhex(F.md5("part")).alias("id")).distinct()
+    train = records.where("split = 'train'").select("image_key", "class_id", F.explode("ids").alias("id"))
+    matched = train.join(hits, ["class_id", "id"], "left_semi").select("image_key", "class_id").distinct()
     return matched, records
 
 
