@@ -30,6 +30,7 @@ REASONS = {
     "confidence": "confidence is neither empty nor in [0, 1]",
     "moment": "reviewed_at is neither empty nor a real date",
 }
+KINDS = list(REASONS)  # a kind travels as its place in this list
 NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?\z"
 MOMENT = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}(T([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]Z?)?\z"
 
@@ -98,14 +99,15 @@ def csv_fields(line: Column) -> Column:
 def value_is_valid(kind: Column, value: Column) -> Column:
     """Judges one value by its column kind; a class is judged by joining the catalog."""
     number = finite(value)
+    of = lambda name: kind == KINDS.index(name)
     return (
-        F.when(kind == "unit", number.between(0, 1))
-        .when(kind == "extent", (number > 0) & (number <= 1))
-        .when(kind == "path", portable_path(value))
-        .when(kind == "label", value.rlike(r"(?U)\S"))
-        .when(kind == "number", number.isNotNull())
-        .when(kind == "confidence", (value == "") | number.between(0, 1))
-        .when(kind == "moment", (value == "") | value.rlike(MOMENT) & F.left(value, F.lit(10)).try_cast("date").isNotNull())
+        F.when(of("unit"), number.between(0, 1))
+        .when(of("extent"), (number > 0) & (number <= 1))
+        .when(of("path"), portable_path(value))
+        .when(of("label"), value.rlike(r"(?U)\S"))
+        .when(of("number"), number.isNotNull())
+        .when(of("confidence"), (value == "") | number.between(0, 1))
+        .when(of("moment"), (value == "") | value.rlike(MOMENT) & F.left(value, F.lit(10)).try_cast("date").isNotNull())
     )
 
 
@@ -129,11 +131,16 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 
 
 def invalid_values(parsed: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The values of all well-shaped lines in long form, and the dictionary of the invalid ones."""
-    kinds = F.when(F.col("_format") == "csv", F.array(*map(F.lit, CSV_KINDS))).otherwise(F.array(*map(F.lit, YOLO_KINDS)))
+    """The values of all well-shaped lines in long form, and the dictionary of the invalid ones.
+
+    Long rows are narrow: the line's key and a hash of its content (which only
+    tells lines of one key apart), the kind's number and the value.
+    """
+    places = lambda names: F.array(*[F.lit(KINDS.index(n)).cast("tinyint") for n in names])
+    kinds = F.when(F.col("_format") == "csv", places(CSV_KINDS)).otherwise(places(YOLO_KINDS))
     long = (
         parsed.where("_shaped")
-        .select("line_key", F.md5("raw_line").alias("_content"), F.explode(F.arrays_zip(kinds.alias("kind"), F.slice("_fields", 1, 8).alias("value"))).alias("v"))
+        .select("line_key", F.xxhash64("raw_line").alias("_content"), F.explode(F.arrays_zip(kinds.alias("kind"), F.slice("_fields", 1, 8).alias("value"))).alias("v"))
         .select("line_key", "_content", F.col("v.kind").alias("kind"), F.col("v.value").alias("value"))
         .where(F.col("kind").isNotNull())
     )
@@ -141,12 +148,12 @@ def invalid_values(parsed: DataFrame, catalog: DataFrame) -> tuple[DataFrame, Da
     judged = (
         long.select("kind", "value")
         .distinct()
-        .withColumn("_id", F.when((F.col("kind") == "class") & F.col("value").rlike(r"^[+-]?[0-9]+$"), F.col("value").try_cast("bigint")))
+        .withColumn("_id", F.when((F.col("kind") == KINDS.index("class")) & F.col("value").rlike(r"^[+-]?[0-9]+$"), F.col("value").try_cast("bigint")))
         .join(known, "_id", "left")
-        .withColumn("_ok", F.when(F.col("kind") == "class", F.coalesce("_known", F.lit(False))).otherwise(value_is_valid(F.col("kind"), F.col("value"))))
+        .withColumn("_ok", F.when(F.col("kind") == KINDS.index("class"), F.coalesce("_known", F.lit(False))).otherwise(value_is_valid(F.col("kind"), F.col("value"))))
     )
-    reasons = F.create_map(*[F.lit(x) for pair in REASONS.items() for x in pair])
-    dictionary = judged.where(~F.coalesce("_ok", F.lit(False))).select("kind", "value", reasons[F.col("kind")].alias("reason"))
+    reasons = F.array(*map(F.lit, REASONS.values()))
+    dictionary = judged.where(~F.coalesce("_ok", F.lit(False))).select("kind", "value", F.get(reasons, F.col("kind").cast("int")).alias("reason"))
     return long, dictionary
 
 
@@ -173,7 +180,7 @@ def judge_lines(lines: DataFrame, catalog: DataFrame) -> DataFrame:
     )
     x = lambda i: finite(F.get("_fields", F.lit(i)))
     reversed_box = (F.col("_format") == "csv") & F.col("_shaped") & ~((x(2) < x(4)) & (x(3) < x(5)))
-    joined = parsed.join(bad, F.col("line_key").eqNullSafe(F.col("_key")) & (F.md5("raw_line") == F.col("_content")), "left")
+    joined = parsed.join(bad, F.col("line_key").eqNullSafe(F.col("_key")) & (F.xxhash64("raw_line") == F.col("_content")), "left")
     code = (
         F.when(F.col("_skip"), F.lit(None).cast("string"))
         .when(F.col("_format").isNull(), "unknown_format")
