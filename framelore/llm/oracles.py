@@ -6,6 +6,7 @@ small, so this stays within seconds.
 
 from __future__ import annotations
 
+from framelore.llm.canonical import DECORATION, HOMOGLYPHS, LEET, MARKED
 from framelore.llm.keys import NO_DIGEST, SHOT_PATTERNS, SPLITS
 from framelore.llm.survivors import FIELDS, STATUS_TRUST
 
@@ -84,4 +85,62 @@ sets as (select distinct video_key, coalesce(root, n) as c from r left join root
 first as (select c, min(video_key) as k from sets group by 1)
 select k as video_key_a, video_key as video_key_b from sets join first using (c) where video_key > k"""
 
-ORACLES = {"p1_found": _P1, "p2_found": _P2, "p2_survivors": _survivors(), "p5_found": _P5}
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _fold(v: str) -> str:
+    wide, plain = "".join(chr(0xFEE0 + i) for i in range(0x21, 0x7F)) + "\u3000", "".join(chr(i) for i in range(0x21, 0x7F)) + " "
+    v = f"regexp_replace({v}, '[\\x{{200b}}-\\x{{200f}}\\x{{feff}}\\x{{ad}}\\p{{Mn}}]', '', 'g')"
+    for _ in range(2):  # a match takes the letter that the next one would begin with
+        v = f"regexp_replace({v}, '(\\p{{Ll}})(\\p{{Lu}}\\p{{Ll}})', '\\1 \\2', 'g')"
+    v = f"translate(translate({v}, {_quoted(wide)}, {_quoted(plain)}), {_quoted(HOMOGLYPHS[0])}, {_quoted(HOMOGLYPHS[1])})"
+    v = f"replace(translate(lower({v}), {_quoted(MARKED[0])}, {_quoted(MARKED[1])}), 'ß', 'ss')"
+    outer = "[\\s\\x{A0}''\"<>*!?]+"
+    return f"regexp_replace({v}, '^{outer}|{outer}$', '', 'g')"
+
+
+def _bare(v: str) -> str:
+    for _ in range(2):
+        for pattern in DECORATION:
+            into = "\\1" if "(?=" in pattern else ""
+            v = f"regexp_replace({v}, {_quoted(pattern.replace('(?=', '('))}, '{into}')"
+    return v
+
+
+def _words(v: str) -> str:
+    return f"trim(regexp_replace({v}, '[^\\pL\\pN]+', ' ', 'g'), ' ')"
+
+
+def _leet(v: str) -> str:
+    return f"case when regexp_matches({v}, '\\pL[0-9]|[0-9]\\pL') then translate({v}, '{LEET[0]}', '{LEET[1]}') end"
+
+
+_BAG = "array_to_string(list_sort(string_split({0}, ' ')), ' ')"
+_LETTERS = "array_to_string(list_sort(string_split({0}, '')), '')"
+_P3 = f"""
+with names as (select category_id, unnest(list_prepend(category_name, coalesce(aliases, []))) as name from label_catalog),
+refs as (select form, min(category_id) as id from (select category_id, {_words(_fold("name"))} as form from names) where form <> '' group by 1),
+mp as (select source_id, unnest(map_keys(category_mapping)) as k, unnest(map_values(category_mapping)) as t from import_sources),
+meant as (select ann_key, coalesce(t, label) as value from annotations a left join mp on mp.source_id = a.import_source_id and mp.k = trim(label, ' ')
+  where regexp_matches(label, '[^\\s\\x{{A0}}]') and label not in (select category_name from label_catalog)),
+vals as (select distinct value, {_fold("value")} as f from meant), v2 as (select value, {_words("f")} as w, {_words(_bare("f"))} as b from vals),
+ways as (select value, unnest([w, b, {_leet("b")}, {_leet("w")}]) as text, unnest([0, 1, 2, 3]) as way from v2),
+rd as (select value, text, min(way) as way from ways where text <> '' group by 1, 2),
+pre as (select text, min(id) as id from (select trim(left(form, m), ' ') as text, id from (select form, id, unnest(range(greatest(4, ceil(length(form) / 2)::int), length(form))) as m from refs)) group by 1 having min(id) = max(id)),
+sure as (select value, id, way as cost from rd join refs on form = text
+  union all select value, id, way + 10 from rd join refs on {_BAG.format("form")} = {_BAG.format("text")}
+  union all select value, id, way + 20 from rd join refs on replace(form, ' ', '') = replace(text, ' ', '')
+  union all select value, id, way + 30 from rd join pre using (text)),
+settled as (select value, arg_min(id, (cost, id)) as id from sure group by 1),
+near as (select value, way, id, form, levenshtein(text, form) as e, levenshtein({_LETTERS.format("text")}, {_LETTERS.format("form")}) as s
+  from rd join refs on abs(length(text) - length(form)) <= 4 where value not in (select value from settled)),
+fit as (select * from near where e <= case when length(form) <= 7 then 2 when length(form) <= 10 then 3 else 4 end
+  and case when length(form) <= 5 then e <= 1 or (e = 2 and s = 0) else e <= 2 or (e = 3 and s <= 2) or (e = 4 and s = 0) end),
+per as (select value, id, min((e, s)) as d from fit group by 1, 2),
+best as (select value, min(id) as id from (select *, rank() over (partition by value order by d) as r from per) where r = 1 group by 1 having count(*) = 1)
+select ann_key, coalesce(settled.id, best.id, -1)::int as category_id from meant left join settled on settled.value = meant.value left join best on best.value = meant.value"""
+
+ORACLES = {"p1_found": _P1, "p2_found": _P2, "p2_survivors": _survivors(), "p3_found": _P3, "p5_found": _P5}
