@@ -2,26 +2,45 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import base64
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Where the vocabulary lies; every function takes another path.
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
-_LOADED: dict[str, object] = {}
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+# Fixed value: how texts are cut before byte pairs are joined, for vocabularies of ranks.
+PATTERN = "'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+"
+_LOADED: dict[str, Callable[[list[str]], list[int]]] = {}
 
 
-def tokenizer(path: str = VOCABULARY):
-    """The tokenizer of a vocabulary file, loaded once per worker process."""
+def token_counter(path: str = VOCABULARY) -> Callable[[list[str]], list[int]]:
+    """Token counts of texts by a vocabulary file (.tiktoken ranks, .json, .model), loaded once per worker process.
+
+    The strings of special tokens in a text are ordinary text.
+    """
     if path not in _LOADED:
-        from tokenizers import Tokenizer
+        if path.endswith(".tiktoken"):
+            import tiktoken
+
+            with open(path, "rb") as f:
+                ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+            coder = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+            _LOADED[path] = lambda texts: [len(coder.encode_ordinary(t)) for t in texts]
+        elif path.endswith(".model"):
+            import sentencepiece
+
+            pieces = sentencepiece.SentencePieceProcessor(model_file=path)
+            _LOADED[path] = lambda texts: [len(x) for x in pieces.encode(texts, num_threads=1)]
+        else:
+            from tokenizers import Tokenizer
 
-        loaded = Tokenizer.from_file(path)
-        loaded.encode_special_tokens = True  # their strings in a text are ordinary text
-        loaded.no_truncation()
-        _LOADED[path] = loaded
+            loaded = Tokenizer.from_file(path)
+            loaded.encode_special_tokens = True
+            loaded.no_truncation()
+            _LOADED[path] = lambda texts: [len(x.ids) for x in loaded.encode_batch(texts, add_special_tokens=False)]
     return _LOADED[path]
 
 
@@ -29,12 +48,11 @@ def with_tokens(docs: DataFrame, path: str = VOCABULARY, key: str = "text_id", t
     """(``key``, tokens) for each row of ``docs``; a null text has 0 tokens.  Whole texts are counted."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = tokenizer(path)
+        count = token_counter(path)
         for batch in batches:
             for at in range(0, len(batch), 256):
                 some = batch.iloc[at : at + 256]
-                counts = [len(x.ids) for x in coder.encode_batch(some[text].fillna("").tolist(), add_special_tokens=False)]
-                yield pd.DataFrame({key: some[key], "tokens": counts})
+                yield pd.DataFrame({key: some[key], "tokens": count(some[text].fillna("").tolist())})
 
     return docs.select(key, text).mapInPandas(run, f"{key} {dict(docs.dtypes)[key]}, tokens bigint")
 
