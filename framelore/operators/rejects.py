@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framelore.tables import stage
+
 # The formats, their column kinds in order, and the reasons.
 YOLO_KINDS = ["class", "unit", "unit", "extent", "extent"]
 CSV_KINDS = ["path", "label", "number", "number", "number", "number", "confidence", "moment"]
@@ -171,7 +173,7 @@ def judge_lines(lines: DataFrame, catalog: DataFrame) -> DataFrame:
     """
     results = {"code", "message", "fields", "skipped"}
     lines = lines.select(*[c for c in lines.columns if c not in results and not c.startswith("_")])
-    parsed = parse_lines(lines)
+    parsed = stage(parse_lines(lines), "rejects-lines")  # read three times: for the dictionary, the join and the result
     long, dictionary = invalid_values(parsed, catalog)
     bad = (
         long.join(dictionary, ["kind", "value"])
