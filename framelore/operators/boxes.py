@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelore.functions.geometry import box_iou
@@ -125,6 +125,7 @@ def at_overlap(a: str, b: str, cell: float) -> Column:
     return F.floor(F.greatest(a, b) / (F.lit(cell) * F.pow(F.lit(2.0), F.col("grid")))).cast("int")
 
 
+GRID = 512.0  # pixels of a cell of kept boxes
 NMS_ORDER = ["image_key", "label", "_conf", "x1", "y1", "x2", "y2", "key"]
 
 
@@ -132,31 +133,36 @@ def suppress(boxes: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Greedy suppression per picture and label: a box is kept unless a kept one overlaps it by ``threshold`` or more.
 
     Order: confidence falling (missing counts as 0), then the box's corners,
-    then the key.  Rows with a null picture, label or corner are left out.
+    then the key.  Rows with a null picture or label, or a corner that is null or not
+    finite, are left out.
     Returns the kept rows with ``rank`` by that order within the picture and
     label.  The rows of a picture and label stream through one task in order;
-    only the kept boxes near the current row are in memory.
+    kept boxes lie in a grid, so a row meets only those near it however
+    crowded the picture is.
     """
 
+    def overlaps(x1, y1, x2, y2, area, k) -> bool:
+        w, h = min(x2, k[2]) - max(x1, k[0]), min(y2, k[3]) - max(y1, k[1])
+        return w > 0 and h > 0 and w * h / (area + k[4] - w * h) >= threshold
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, kept = None, []
+        group, count, grid = None, 0, {}
         for batch in batches:
             out = []
             cols = [batch[c].tolist() for c in ("image_key", "label", "key", "x1", "y1", "x2", "y2")]
             for image, label, key, x1, y1, x2, y2 in zip(*cols):
                 if (image, label) != group:
-                    group, kept = (image, label), []
+                    group, count, grid = (image, label), 0, {}
                 area = max(0.0, x2 - x1) * max(0.0, y2 - y1)
-                for kx1, ky1, kx2, ky2, karea in kept:
-                    w, h = min(x2, kx2) - max(x1, kx1), min(y2, ky2) - max(y1, ky1)
-                    if w > 0 and h > 0 and w * h >= threshold * (area + karea - w * h) and (w * h) / (area + karea - w * h) >= threshold:
-                        break
-                else:
-                    kept.append((x1, y1, x2, y2, area))
-                    out.append((image, label, key, len(kept) - 1))
+                cells = [(i, j) for i in range(int(x1 // GRID), int(x2 // GRID) + 1) for j in range(int(y1 // GRID), int(y2 // GRID) + 1)]
+                if not any(overlaps(x1, y1, x2, y2, area, k) for c in cells for k in grid.get(c, ())):
+                    for c in cells:
+                        grid.setdefault(c, []).append((x1, y1, x2, y2, area))
+                    out.append((image, label, key, count))
+                    count += 1
             yield pd.DataFrame(out, columns=["image_key", "label", "key", "rank"])
 
-    rows = boxes.where("image_key is not null and label is not null and x1 is not null and y1 is not null and x2 is not null and y2 is not null")
+    rows = boxes.where(F.col("image_key").isNotNull() & F.col("label").isNotNull() & finite(F.col("x1")) & finite(F.col("y1")) & finite(F.col("x2")) & finite(F.col("y2")))
     ordered = rows.withColumn("_conf", -F.coalesce("confidence", F.lit(0.0))).select(*NMS_ORDER).repartition("image_key", "label").sortWithinPartitions(*NMS_ORDER)
     kinds = dict(rows.dtypes)
     return ordered.mapInPandas(run, f"image_key {kinds['image_key']}, label string, key {kinds['key']}, rank int")
@@ -168,14 +174,14 @@ def rejected_rows(annotations: DataFrame, images: DataFrame, names: DataFrame) -
     ``annotations`` (ann_key, image_key, object_id, label, bbox); each row with
     ``code`` (null: taken).  Row order is the key.
     """
-    first = F.row_number().over(Window.partitionBy("image_key", "object_id").orderBy("ann_key"))
+    first = annotations.groupBy(F.col("image_key").alias("_i"), F.col("object_id").alias("_o")).agg(F.min("ann_key").alias("_first"))
     sized = images.groupBy("image_key").agg(F.max("width").alias("width"), F.max("height").alias("height")).withColumn("_image", F.lit(True))
     known = names.select(F.col("category_name").alias("label")).distinct().withColumn("_known", F.lit(True))
-    rows = annotations.withColumn("_n", first).join(sized, "image_key", "left").join(known, "label", "left")
+    rows = annotations.join(first, F.col("image_key").eqNullSafe(F.col("_i")) & F.col("object_id").eqNullSafe(F.col("_o"))).join(sized, "image_key", "left").join(known, "label", "left")
     box = clean_box(box_columns(F.col("bbox")), F.size("bbox"), F.col("width"), F.col("height"))
     code = (
         F.when(F.col("_image").isNull(), "missing_image")
-        .when(F.col("_n") > 1, "duplicate_id")
+        .when(F.col("ann_key") != F.col("_first"), "duplicate_id")
         .when(F.col("_known").isNull(), "unknown_category")
         .otherwise(box["code"])
     )

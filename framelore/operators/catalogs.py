@@ -9,11 +9,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelore.tables import stage
+
 
 def first_seen(rows: DataFrame, name: str, order: str) -> DataFrame:
-    """Distinct values with the smallest ``order`` they occur at, numbered from 0 by it."""
+    """Distinct values with the smallest ``order`` they occur at, numbered from 0 by it.
+
+    Freely typed values may be many, so they are numbered in ranges: each
+    range numbers its own rows, and the sizes of the ranges before it are added.
+    """
     seen = rows.where(F.col(name).isNotNull()).groupBy(name).agg(F.min(order).alias("position"))
-    return seen.withColumn("number", F.row_number().over(Window.orderBy("position", name)) - 1)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = stage(seen.repartitionByRange(parts, "position", name).withColumn("_part", F.spark_partition_id()), "first-seen")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    here = F.row_number().over(Window.partitionBy("_part").orderBy("position", name)) - 1
+    return placed.withColumn("_here", here).join(F.broadcast(sizes), "_part").select(name, "position", (F.col("_here") + F.col("_before")).cast("int").alias("number"))
 
 
 def merge_categories(rows: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelore.operators.ranges import within
+
 # Layers from the strongest to the weakest, the status each gives, and what a policy accepts.
 LAYERS = ["annotations", "suggestions", "revisions"]
 LAYER_STATUS = {"annotations": "human_reviewed", "suggestions": "ai_suggestion", "revisions": "ai_suggestion"}
@@ -140,5 +142,5 @@ def new_suggestions(suggestions: DataFrame, points: DataFrame, ranges: DataFrame
     known = suggestions.join(F.broadcast(names.select(F.col("category_name").alias("label")).distinct()), "label", "left_semi")  # the class catalog
     inside = known.join(images, "entity").where("x1 >= 0 and y1 >= 0 and x2 <= width and y2 <= height and x2 > x1 and y2 > y1")
     free = inside.join(points.select("entity", "frame").distinct(), ["entity", "frame"], "left_anti")
-    held = free.join(ranges, "entity").where("frame between first and last").select("key").distinct()
+    held = within(free, ranges, "entity", "frame", "first", "last").select("key").distinct()
     return free.join(held, "key", "left_anti").select(suggestions.columns)

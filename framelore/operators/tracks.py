@@ -7,10 +7,11 @@ spreads a very long track over partitions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelore.operators.intervals import merge_intervals
+from framelore.operators.ranges import within
 
 
 def coverage(tracks: DataFrame, spans: DataFrame) -> DataFrame:
@@ -31,9 +32,17 @@ def coverage(tracks: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def overlapping_spans(spans: DataFrame) -> DataFrame:
-    """Tracks in which two spans share a frame; neighbours that only touch do not count."""
-    w = Window.partitionBy("track_id").orderBy("start_frame", "end_frame")
-    return spans.where("start_frame is not null and end_frame is not null").withColumn("_next", F.lead("start_frame").over(w)).where("end_frame >= _next").select("track_id").distinct()
+    """Tracks in which two spans share a frame; neighbours that only touch do not count.
+
+    Spans overlap exactly if their lengths add up to more than their union
+    has: two aggregates and the interval operator, no ordering of a track.
+    """
+    good = spans.where("track_id is not null and start_frame >= 0 and end_frame >= start_frame")
+    length = lambda a, b: F.sum(F.col(b) - F.col(a) + 1)
+    every = good.groupBy("track_id").agg(length("start_frame", "end_frame").alias("_all"))
+    union = merge_intervals(good.select(F.col("track_id").alias("entity"), F.col("start_frame").alias("start_at"), F.col("end_frame").alias("end_at")), 1, "overlaps").where("kind = 'period'")
+    held = union.groupBy(F.col("entity").alias("track_id")).agg(length("start_at", "end_at").alias("_union"))
+    return every.join(held, "track_id").where("_all > _union").select("track_id")
 
 
 def frame_states(asked: DataFrame, tracks: DataFrame, keyframes: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -44,9 +53,8 @@ def frame_states(asked: DataFrame, tracks: DataFrame, keyframes: DataFrame, rang
     key = keyframes.groupBy("track_id", "frame_index").agg(F.min("visibility").alias("_key"))
     life = tracks.select("track_id", F.col("start_frame").alias("_s"), F.col("end_frame").alias("_e"))
     base = asked.join(life, "track_id", "left").join(key, ["track_id", "frame_index"], "left")
-    covering = (
-        asked.join(ranges.select("track_id", "start_frame", "end_frame", "visibility"), "track_id").where("frame_index >= start_frame and frame_index <= end_frame").groupBy("track_id", "frame_index").agg(F.min("visibility").alias("_range"))
-    )
+    found = within(asked, ranges.select("track_id", "start_frame", "end_frame", "visibility"), "track_id", "frame_index", "start_frame", "end_frame")
+    covering = found.groupBy("track_id", "frame_index").agg(F.min("visibility").alias("_range"))
     dead = F.col("_s").isNull() | (F.col("frame_index") < F.col("_s")) | (F.col("frame_index") > F.col("_e"))
     return base.join(covering, ["track_id", "frame_index"], "left").select("track_id", "frame_index", F.when(dead, "inactive").otherwise(F.coalesce("_key", "_range", F.lit("missing"))).alias("state"))
 
@@ -103,7 +111,7 @@ def accepted_suggestions(keyframes: DataFrame, suggestions: DataFrame, protected
     keyframes (track_id, frame_index, origin), suggestions (track_id,
     frame_index), protected (track_id, start_frame, end_frame).
     """
-    held = suggestions.join(protected, "track_id").where("frame_index >= start_frame and frame_index <= end_frame").select("track_id", "frame_index").distinct()
+    held = within(suggestions, protected, "track_id", "frame_index", "start_frame", "end_frame").select("track_id", "frame_index").distinct()
     human = keyframes.where("origin = 'human'").select("track_id", "frame_index").distinct()
     free = suggestions.select("track_id", "frame_index").distinct().join(held, ["track_id", "frame_index"], "left_anti").join(human, ["track_id", "frame_index"], "left_anti")
     kept = keyframes.join(free, ["track_id", "frame_index"], "left_anti").select("track_id", "frame_index", "origin")

@@ -149,10 +149,10 @@ def suggestion_accept(spark, d):
 
 def video_duplicates(spark, d):
     """Imports of a recording already there by digest: the first is kept, later ones are relinked or skipped."""
-    w = Window.partitionBy("sha256").orderBy("imported_at", "video_key")
-    v = table(spark, d, "video_manifest").where("sha256 is not null").withColumn("_n", F.row_number().over(w)).withColumn("_first", F.first("name").over(w))
-    action = F.when(F.col("_n") == 1, "import").when(F.col("name").eqNullSafe(F.col("_first")), "skip").otherwise("relink")
-    return v.select("video_key", action.alias("action"))
+    v = table(spark, d, "video_manifest").where("sha256 is not null")
+    first = v.groupBy("sha256").agg(F.min(F.struct("imported_at", "video_key", "name")).alias("f"))
+    action = F.when(F.col("video_key") == F.col("f.video_key"), "import").when(F.col("name").eqNullSafe(F.col("f.name")), "skip").otherwise("relink")
+    return v.join(first, "sha256").select("video_key", action.alias("action"))
 
 
 _SQL_FRAMES = """e as (select user_id as video_id, event_id, epoch_us(ts) as us, row_number() over (partition by user_id order by ts, event_id) - 1 as frame_index, event_type from events),
