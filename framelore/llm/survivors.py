@@ -106,8 +106,15 @@ def surviving_records(images: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def same_file_pairs(images: DataFrame, sources: DataFrame) -> DataFrame:
-    """Every two rows that stand for the same file of the same source, smaller key first, from the ranked groups."""
-    ranked = ranked_records(images, sources).select("image_key", "group_key").where("image_key is not null").distinct()
-    a = ranked.select(F.col("image_key").alias("image_key_a"), "group_key")
-    b = ranked.select(F.col("image_key").alias("image_key_b"), "group_key")
-    return a.join(b, "group_key").where("image_key_a < image_key_b").select("image_key_a", "image_key_b").distinct()
+    """Every two rows that stand for the same file of the same source, smaller key first, from the ranked groups.
+
+    Each ranked row meets the rows ranked after it in its group (parts in
+    order of their salt, then the rank within the part).  Rows with a null key
+    have no pair, a repeated key none with itself.
+    """
+    ranked = ranked_records(images, sources).where("image_key is not null")
+    a = ranked.select(F.col("image_key").alias("a"), "group_key", F.col("salt").alias("_sa"), F.col("rank").alias("_ra"))
+    b = ranked.select(F.col("image_key").alias("b"), "group_key", F.col("salt").alias("_sb"), F.col("rank").alias("_rb"))
+    after = (F.col("_sa") < F.col("_sb")) | (F.col("_sa") == F.col("_sb")) & (F.col("_ra") < F.col("_rb"))
+    pairs = a.join(b, "group_key").where(after & (F.col("a") != F.col("b")))
+    return pairs.select(F.least("a", "b").alias("image_key_a"), F.greatest("a", "b").alias("image_key_b")).distinct()
