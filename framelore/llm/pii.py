@@ -61,7 +61,7 @@ _TOWN_DE = rf"\d{{4,5}}\s{_TOWN}"
 ADDRESSES = [
     # house number, name, kind of street; flat before or behind; town with or without postcode
     regex.compile(
-        rf"(?<![\w.-])(?:(?i:flat|apt|apartment|unit|suite)\.?\s\d+[A-Za-z]?,\s)?\d{{1,5}}[A-Za-z]?\s(?:{_CAP}\s){{1,3}}(?i:{_any(words.STREETS_EN)})(?:(?<=(?i:st|ave|rd|blvd|ln|dr|sq|ct|pl|ter))\.)?(?![\w])"
+        rf"(?<![\w.-])\d{{1,5}}[A-Za-z]?\s(?:{_CAP}\s){{1,3}}(?i:{_any(words.STREETS_EN)})(?:(?<=(?i:st|ave|rd|blvd|ln|dr|sq|ct|pl|ter))\.)?(?![\w])"
         rf"(?:,\s(?i:flat|apt|apartment|unit|suite)\.?\s\d+[A-Za-z]?)?(?:,\s{_TOWN}(?:,?\s\d{{4,5}}(?!\w))?|,\s\d{{5}}\s{_TOWN})?"
     ),
     regex.compile(
@@ -102,13 +102,37 @@ def _family_ok(given: str, family: str) -> bool:
     return not given.endswith(".") and family[0].isupper() and len(family) > 2 and (given[0].isupper()) and (given.isupper() == family.isupper())
 
 
+FLAT_BEFORE = regex.compile(r"(?<![\w.-])(?i:flat|apt|apartment|unit|suite)\.?\s\d+[A-Za-z]?,\s$")
 # What a pattern cannot match without, to pass over texts and stretches that have none of it.
 AT_WRITTEN, AT_WORD, DOT_WORD = re.compile(r"[(\[{<]\s?at\s?[)\]}>]"), re.compile(r"\sat\s"), re.compile(r"\sdot\s")
+_AT_SIGN, _DIGIT = re.compile("@"), re.compile(r"\d")
 _SHORTEST_CUES = sorted(c for c in {x.lower() for x in words.ID_CUES} if not any(o != c and o in c for o in {x.lower() for x in words.ID_CUES}))
 _WORD = re.compile(r"[^\W\d_]+")
 REACH = 120  # longer than any name with particles on either side of its given name
 
 
+MAIL_REACH = 400  # an address has at most 64 + 1 + 255 characters; more where its dots are spelled out
+# The kinds of streets that an address pattern cannot do without; none where it has other beginnings too.
+_STREET_KINDS = [words.STREETS_EN, [], words.STREETS_FR, words.STREETS_ES, []]
+
+
+def _mail_windows(text: str, low: str) -> list[tuple[int, int]]:
+    """Stretches around the marks of mail addresses, merged where they meet; the whole text where marks are plain words."""
+    if AT_WORD.search(low) and DOT_WORD.search(low):
+        return [(0, len(text))]
+    if len(low) != len(text):  # a letter whose lower case has another length: positions differ
+        return [(0, len(text))]
+    marks = sorted([m.start() for m in _AT_SIGN.finditer(text)] + [m.start() for m in AT_WRITTEN.finditer(low)])
+    out: list[tuple[int, int]] = []
+    for i in marks:
+        a, b = max(0, i - MAIL_REACH), i + MAIL_REACH
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out
+
+
 def _name_windows(text: str) -> list[tuple[int, int]]:
     """Stretches around given names and initials, merged where they meet."""
     out: list[tuple[int, int]] = []
@@ -143,15 +167,18 @@ def find_entities(text: str | None) -> list[tuple[str, int, int]]:
 
     low = text.lower()
     if "@" in text or AT_WRITTEN.search(low) or AT_WORD.search(low) and DOT_WORD.search(low):
-        for m in EMAIL.finditer(text):
-            tld = (m["tld"] or m["tld2"]).lower()
-            if tld not in words.FILE_ENDS:
-                add("email", *m.span())
-    digits = any(c.isdigit() for c in text)
+        for a, b in _mail_windows(text, low):
+            for m in EMAIL.finditer(text, a, b):
+                if (m["tld"] or m["tld2"]).lower() not in words.FILE_ENDS:
+                    add("email", *m.span())
+    digits = _DIGIT.search(text)
     if digits:
-        for pattern in ADDRESSES:
+        for pattern, kinds in zip(ADDRESSES, _STREET_KINDS):
+            if kinds and not any(k in low for k in kinds):
+                continue
             for m in pattern.finditer(text):
-                add("address", *m.span())
+                flat = FLAT_BEFORE.search(text, max(0, m.start() - 40), m.start()) if pattern is ADDRESSES[0] else None
+                add("address", flat.start() if flat else m.start(), m.end())
         if any(cue in low for cue in _SHORTEST_CUES):
             for m in ID_NUMBER.finditer(text):
                 add("id_number", *m.span("id"))
