@@ -91,7 +91,7 @@ def category_merge(spark, d):
 
 
 def category_append(spark, d):
-    known = table(spark, d, "label_catalog").where("category_id < 40").select("category_id", F.col("category_name").alias("name"))
+    known = table(spark, d, "label_catalog").select("category_id", F.col("category_name").alias("name"))
     mapping = table(spark, d, "import_sources").select("source_id", F.explode("category_mapping").alias("name", "target"))
     incoming = _classes(spark, d).join(mapping, ["source_id", "name"], "left").select("name", "target", "ord")
     return C.append_categories(known, incoming.unionByName(mapping.select("name", "target", F.concat_ws("/", F.lit("~"), "source_id", "name").alias("ord"))))
@@ -104,10 +104,12 @@ def coco_category_ids(spark, d):
 
 
 def label_catalog_merge(spark, d):
+    """The catalog meets itself with some ids moved, and its first aliases as further names."""
     catalog = table(spark, d, "label_catalog")
-    current = catalog.where("category_id < 60").select(F.col("category_id").alias("label_id"), F.col("category_name").alias("name"))
-    incoming = catalog.select((F.col("category_id") + F.when(F.col("category_id") % 3 == 0, 100).when(F.col("category_id") % 7 == 0, 1).otherwise(0)).alias("label_id"), F.col("category_name").alias("name"))
-    return C.merge_label_catalogs(current, incoming)
+    current = catalog.select(F.col("category_id").alias("label_id"), F.col("category_name").alias("name"))
+    moved = F.col("category_id") + F.when(F.col("category_id") % 3 == 0, 100).when(F.col("category_id") % 7 == 0, 1).otherwise(0)
+    aliases = catalog.select((F.col("category_id") + 1000).alias("label_id"), F.get("aliases", F.lit(0)).alias("name")).where("name is not null")
+    return C.merge_label_catalogs(current, catalog.select(moved.alias("label_id"), F.col("category_name").alias("name")).unionByName(aliases))
 
 
 def labels_first_seen(spark, d):
@@ -207,7 +209,7 @@ c as (select doc_key, image_key, layer, k, null::bigint as parent, 0 as depth fr
 select doc_key, parent, depth from c""",
     "category_merge": f"""with {_SQL_CLASSES}, t as (select trim(name) as name, source_id, ord from cl where trim(name) <> '')
 select (row_number() over (order by min(ord), name) - 1)::int as category_id, name, arg_min(source_id, ord) as source_id, string_agg(source_id, ',' order by ord) as source_ids, count(*) > 1 as duplicate from t group by name""",
-    "category_append": f"""with {_SQL_CLASSES}, {_SQL_MAPPING}, cur as (select category_id, category_name as name from label_catalog where category_id < 40),
+    "category_append": f"""with {_SQL_CLASSES}, {_SQL_MAPPING}, cur as (select category_id, category_name as name from label_catalog),
 w as (select coalesce(target, cl.name) as name, ord from cl left join mp on cl.source_id = mp.source_id and cl.name = mp.name union all select coalesce(target, name), '~/' || source_id || '/' || name from mp),
 fresh as (select name, min(ord) as o from w where name not in (select name from cur) group by 1)
 select category_id, name, false as added from cur union all select ((select max(category_id) from cur) + row_number() over (order by o, name))::int, name, true from fresh""",
@@ -216,8 +218,8 @@ f as (select 0::bigint as k, []::bigint[] as used, null::bigint as coco_id, null
   union all select r.k, list_append(f.used, v.id), v.id, r.name from f join r on r.k = f.k + 1, lateral (select case when r.s >= 0 and not list_contains(f.used, r.s::bigint) then r.s::bigint
     else list_min(list_filter(range(1, len(f.used) + 2), lambda x: not list_contains(f.used, x))) end as id) v)
 select name, coco_id from f where k > 0""",
-    "label_catalog_merge": """with cur as (select category_id as label_id, category_name as name from label_catalog where category_id < 60),
-inc as (select category_id + case when category_id % 3 = 0 then 100 when category_id % 7 = 0 then 1 else 0 end as label_id, category_name as name from label_catalog),
+    "label_catalog_merge": """with cur as (select category_id as label_id, category_name as name from label_catalog),
+inc as (select category_id + case when category_id % 3 = 0 then 100 when category_id % 7 = 0 then 1 else 0 end as label_id, category_name as name from label_catalog union all select category_id + 1000, aliases[1] from label_catalog where aliases[1] is not null),
 j as (select i.*, a.name as by_id, b.label_id as by_name from inc i left join cur a on a.label_id = i.label_id left join cur b on b.name = i.name)
 select label_id, name, case when by_id = name then label_id when by_id is not null then null else coalesce(by_name, label_id) end as target_id, case when by_id = name then 'same' when by_id is not null then 'conflict' when by_name is not null then 'by_name' else 'new' end as outcome from j""",
     "labels_first_seen": "select label, min(ann_key) as position, (row_number() over (order by min(ann_key), label) - 1)::int as number from annotations where label is not null group by 1",

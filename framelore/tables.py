@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 import uuid
@@ -23,7 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="framelore-")
+        folder = tempfile.mkdtemp(prefix="framelore-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        found = f"file://{folder}"
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
@@ -43,18 +46,25 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
-def unstage(df: DataFrame | None) -> None:
-    """Remove a staged table.  Only for tables whose readers have all finished."""
-    path = getattr(df, "_framelore_path", None)
-    if not path:
-        return
+def _remove(spark: SparkSession, path: str) -> None:
     url = urlparse(path)
     if url.scheme in ("", "file"):
         shutil.rmtree(url.path, ignore_errors=True)
         return
-    jvm = df.sparkSession._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def unstage(df: DataFrame | None) -> None:
+    """Remove a staged table.  Only for tables whose readers have all finished."""
+    path = getattr(df, "_framelore_path", None)
+    if path:
+        _remove(df.sparkSession, path)
+
+
+def clear_stage(spark: SparkSession) -> None:
+    """Remove all staged tables of this shared folder, once the results that read them are written."""
+    _remove(spark, f"{shared_dir(spark)}/framelore")
 
 
 def blocks_for(rows: int, per_block: int, least: int = 1) -> int:

@@ -85,3 +85,15 @@ def test_acknowledged(spark):
     issues = spark.createDataFrame([("a", "x", "loss", 1), ("a", "y", "conversion", 1), ("b", "z", "blocking", 1)], "format string, code string, severity string, rows bigint")
     got = {r["format"]: (r["possible"], r["unacknowledged"]) for r in preflight.acknowledged(issues, ["x"]).collect()}
     assert got == {"a": (True, ["y"]), "b": (False, [])}
+
+
+def test_staged_tables_are_removed(spark):
+    import os
+
+    from framelore.tables import shared_dir, stage, unstage
+
+    df = stage(spark.range(5), "small")
+    path = df._framelore_path.removeprefix("file://")
+    assert os.path.isdir(path) and path.startswith(shared_dir(spark).removeprefix("file://")) and df.count() == 5
+    unstage(df)
+    assert not os.path.exists(path)
