@@ -21,7 +21,7 @@ from framelore.tables import stage
 # Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = ("аеорсухіјѕԁһкмтвнАЕОРСУХІЈЅКМТВНοαεικνρτυ", "aeopcyxijsdhkmtbhAEOPCYXIJSKMTBHoaeiknptu")
 # Letters with marks, and the bare letter.
-MARKED = ("äàáâãåāăçćčèéêëēìíîïīñńňòóôõöøōřśšùúûüūýÿžźż", "aaaaaaaaccceeeeeiiiiinnnooooooorssuuuuuyyzzz")
+MARKED = ("äàáâãåāăçćčèéêëēìíîïīñńňòóôõöøōřśšßùúûüūýÿžźż", "aaaaaaaaccceeeeeiiiiinnnooooooorsssuuuuuyyzzz")
 # Digits typed for letters.
 LEET = ("0134578", "oieastb")
 # Words and marks that annotators put around a label, as patterns over the folded value.
@@ -48,7 +48,7 @@ def fold(value: Column) -> Column:
     v = F.regexp_replace(value, r"[\x{200b}-\x{200f}\x{feff}\x{ad}\p{Mn}]", "")
     v = F.regexp_replace(v, r"(\p{javaLowerCase})(\p{javaUpperCase})(?=\p{javaLowerCase})", "$1 $2")  # camelCase
     v = F.translate(F.translate(v, wide + "　", plain + " "), *HOMOGLYPHS)
-    v = F.replace(F.translate(F.lower(v), *MARKED), F.lit("ß"), F.lit("ss"))
+    v = F.translate(F.lower(v), *MARKED)
     return F.regexp_replace(v, r"(?U)^[\s'\"<>*!?]+|[\s'\"<>*!?]+$", "")
 
 
@@ -70,14 +70,15 @@ def allowed_edits(length: Column) -> Column:
 
 
 def reference_forms(catalog: DataFrame) -> DataFrame:
-    """(category_id, form): names and aliases as words; a form of two entries goes to the smaller id."""
+    """(category_id, form, name): names and aliases as words; a form of two entries goes to the smaller id."""
     names = catalog.select("category_id", F.explode(F.array_union(F.array("category_name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name"))
     return (
         names.where("category_id is not null and name is not null")
-        .select("category_id", words(fold(F.col("name"))).alias("form"))
+        .select("category_id", words(fold(F.col("name"))).alias("form"), F.lower("name").alias("name"))
         .where("form <> ''")
         .groupBy("form")
-        .agg(F.min("category_id").alias("category_id"))
+        .agg(F.min(F.struct("category_id", "name")).alias("m"))
+        .select("form", "m.category_id", "m.name")
     )
 
 
@@ -141,7 +142,8 @@ def resolve_values(values: DataFrame, catalog: DataFrame) -> DataFrame:
     blanks; a beginning that only one entry has (at least four letters and
     half of it); the fewest edits of at most two slips (up to five letters: one),
     if one entry has them.  Between entries at equal distance the one whose
-    letters are closer is taken; if none is, the value stays unmatched.
+    letters are closer is taken, then the one that is closer with its marks;
+    if none is, the value stays unmatched.
     Null and blank values are unmatched; an empty catalog matches nothing.
     """
     # Written once: every way to match reads them, and each read as a plan of its own would fold all values anew.
@@ -152,7 +154,7 @@ def resolve_values(values: DataFrame, catalog: DataFrame) -> DataFrame:
     tight = lambda c: F.replace(c, F.lit(" "), F.lit(""))
     letters = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
 
-    exact = read.join(refs.withColumnRenamed("form", "text"), "text").select("value", "category_id", F.lit("words").alias("how"), F.col("way").alias("cost"), F.lit(0).alias("edits"))
+    exact = read.join(refs.select(F.col("form").alias("text"), "category_id"), "text").select("value", "category_id", F.lit("words").alias("how"), F.col("way").alias("cost"), F.lit(0).alias("edits"))
     order = (
         read.withColumn("bag", bag(F.col("text")))
         .join(refs.select(bag(F.col("form")).alias("bag"), "category_id"), "bag")
@@ -185,8 +187,10 @@ def resolve_values(values: DataFrame, catalog: DataFrame) -> DataFrame:
         F.when(F.length("form") <= 5, (F.col("edits") <= 1) | (F.col("edits") == 2) & (F.col("swap") == 0))
         .otherwise((F.col("edits") <= 2) | (F.col("edits") == 3) & (F.col("swap") <= 2) | (F.col("edits") == 4) & (F.col("swap") == 0))
     )
-    per_entry = near.groupBy("value", "category_id").agg(F.min(F.struct("edits", "swap", "way")).alias("d"))
-    by_value = Window.partitionBy("value").orderBy("d.edits", "d.swap")
+    # What the folding made equal may still tell entries apart: marks count last.
+    near = near.join(F.broadcast(refs.select("form", "name")), "form").withColumn("marks", F.levenshtein(F.lower("value"), F.col("name")))  # the reference list
+    per_entry = near.groupBy("value", "category_id").agg(F.min(F.struct("edits", "swap", "marks")).alias("d"))
+    by_value = Window.partitionBy("value").orderBy("d")
     ranked = per_entry.withColumn("place", F.rank().over(by_value)).where("place = 1").groupBy("value").agg(F.min("category_id").alias("category_id"), F.count("*").alias("ties"), F.min("d.edits").alias("edits"))
     fuzzy = ranked.where("ties = 1").select("value", "category_id", F.lit("edits").alias("how"), "edits")
     found = stage(settled.unionByName(fuzzy.select("value", "category_id", "how", "edits")), "canonical-found")

@@ -97,7 +97,7 @@ def _fold(v: str) -> str:
     for _ in range(2):  # a match takes the letter that the next one would begin with
         v = f"regexp_replace({v}, '(\\p{{Ll}})(\\p{{Lu}}\\p{{Ll}})', '\\1 \\2', 'g')"
     v = f"translate(translate({v}, {_quoted(wide)}, {_quoted(plain)}), {_quoted(HOMOGLYPHS[0])}, {_quoted(HOMOGLYPHS[1])})"
-    v = f"replace(translate(lower({v}), {_quoted(MARKED[0])}, {_quoted(MARKED[1])}), 'ß', 'ss')"
+    v = f"translate(lower({v}), {_quoted(MARKED[0])}, {_quoted(MARKED[1])})"
     outer = "[\\s\\x{A0}''\"<>*!?]+"
     return f"regexp_replace({v}, '^{outer}|{outer}$', '', 'g')"
 
@@ -122,7 +122,7 @@ _BAG = "array_to_string(list_sort(string_split({0}, ' ')), ' ')"
 _LETTERS = "array_to_string(list_sort(string_split({0}, '')), '')"
 _P3 = f"""
 with names as (select category_id, unnest(list_prepend(category_name, coalesce(aliases, []))) as name from label_catalog),
-refs as (select form, min(category_id) as id from (select category_id, {_words(_fold("name"))} as form from names) where form <> '' group by 1),
+refs as (select form, min(category_id) as id, arg_min(name, (category_id, name)) as name from (select category_id, lower(name) as name, {_words(_fold("name"))} as form from names) where form <> '' group by 1),
 mp as (select source_id, unnest(map_keys(category_mapping)) as k, unnest(map_values(category_mapping)) as t from import_sources),
 meant as (select ann_key, coalesce(t, label) as value from annotations a left join mp on mp.source_id = a.import_source_id and mp.k = trim(label, ' ')
   where regexp_matches(label, '[^\\s\\x{{A0}}]') and label not in (select category_name from label_catalog)),
@@ -135,11 +135,11 @@ sure as (select value, id, way as cost from rd join refs on form = text
   union all select value, id, way + 20 from rd join refs on replace(form, ' ', '') = replace(text, ' ', '')
   union all select value, id, way + 30 from rd join pre using (text)),
 settled as (select value, arg_min(id, (cost, id)) as id from sure group by 1),
-near as (select value, way, id, form, levenshtein(text, form) as e, levenshtein({_LETTERS.format("text")}, {_LETTERS.format("form")}) as s
+near as (select value, way, id, form, name, levenshtein(text, form) as e, levenshtein({_LETTERS.format("text")}, {_LETTERS.format("form")}) as s
   from rd join refs on abs(length(text) - length(form)) <= 4 where value not in (select value from settled)),
 fit as (select * from near where e <= case when length(form) <= 7 then 2 when length(form) <= 10 then 3 else 4 end
   and case when length(form) <= 5 then e <= 1 or (e = 2 and s = 0) else e <= 2 or (e = 3 and s <= 2) or (e = 4 and s = 0) end),
-per as (select value, id, min((e, s)) as d from fit group by 1, 2),
+per as (select value, id, min((e, s, levenshtein(lower(value), name))) as d from fit group by 1, 2),
 best as (select value, min(id) as id from (select *, rank() over (partition by value order by d) as r from per) where r = 1 group by 1 having count(*) = 1)
 select ann_key, coalesce(settled.id, best.id, -1)::int as category_id from meant left join settled on settled.value = meant.value left join best on best.value = meant.value"""
 

@@ -7,7 +7,7 @@ import pytest
 
 from framelore.llm import canonical, mixing, packing, splits, tokens
 
-CATALOG = [(0, "forklift", "v", ["lift truck", "Gabelstapler"]), (1, "gas cylinder", "g", None), (2, "red blood cell", "c", []), (3, "white blood cell", "c", ["Leukozyt"]), (4, "dent", "d", ["Delle"]), (None, "ghost", "x", None)]
+CATALOG = [(0, "forklift", "v", ["lift truck", "Gabelstapler"]), (1, "gas cylinder", "g", None), (2, "red blood cell", "c", []), (3, "white blood cell", "c", ["Leukozyt"]), (4, "dent", "d", ["Delle"]), (None, "ghost", "x", None), (5, "rust", "r", ["óxido"]), (6, "mildew", "m", ["oídio"]), (7, "walker", "w", ["Fußgänger"])]
 
 
 @pytest.fixture(scope="module")
@@ -18,6 +18,7 @@ def catalog(spark):
 VALUES = {
     "FORKLIFT": 0, "f0rkl1ft": 0, "the forklift": 0, "fоrklift": 0, "ｆｏｒｋｌｉｆｔ": 0, "forkilft": 0, "truck, lift": 0, "lifttruck": 0, "[12] forklift": 0, "cls3 forklift": 0, "forklift_v2": 0,
     "gasCylinder": 1, "gas cylind.": 1, "gas  cylinder!!": 1, "gas cylnider": 1, "red blod cell": 2, "whte blood cell": 3, "blood cell": -1, "dnet": 4, "dents": 4, "dxxt": -1, "Dellé": 4,
+    "óido": 5, "oído": 6, "Fugnäger": 7, "Fussgänger": 7,
     "umbrella": -1, "K-12": -1, "???": -1, "x" * 50000: -1, "ghost": -1,
 }
 
