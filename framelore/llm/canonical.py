@@ -13,6 +13,8 @@ list.  Nothing pairs all values with all references.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,10 +67,15 @@ def words(folded: Column) -> Column:
 
 
 def allowed_edits(length: Column) -> Column:
-    """Edits within which candidates are looked for: 2 up to 7 letters, 3 up to 10, then 4."""
+    """Edits within which ``pigeonhole`` looks unless told otherwise: 2 up to 7 letters, 3 up to 10, then 4."""
     return F.when(length <= 7, 2).when(length <= 10, 3).otherwise(MAX_EDITS)
 
 
+def slip_edits(length: Column) -> Column:
+    """The most edits that the rule of two slips in ``resolve_values`` accepts: 2 up to 5 letters, then 4 (two swaps)."""
+    return F.when(length <= 5, 2).otherwise(MAX_EDITS)
+
+
 def reference_forms(catalog: DataFrame) -> DataFrame:
     """(category_id, form, name): names and aliases as words; a form of two entries goes to the smaller id."""
     names = catalog.select("category_id", F.explode(F.array_union(F.array("category_name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name"))
@@ -82,10 +89,10 @@ def reference_forms(catalog: DataFrame) -> DataFrame:
     )
 
 
-def _segments(refs: DataFrame) -> DataFrame:
+def _segments(refs: DataFrame, edits: Callable[[Column], Column]) -> DataFrame:
     """Each form cut into k + 1 nearly equal segments: (form, category_id, len, seg, pos)."""
     n = F.length("form")
-    k = allowed_edits(n)
+    k = edits(n)
     cut = lambda i: F.floor(i * n / (k + 1)).cast("int")
     return refs.select("form", "category_id", n.alias("len"), k.alias("k"), F.explode(F.sequence(F.lit(0), k)).alias("i")).select(
         "form", "category_id", "len", "k", F.col("i"),
@@ -94,13 +101,13 @@ def _segments(refs: DataFrame) -> DataFrame:
     ).select("form", "category_id", "len", "k", "pos", F.substring(F.col("form"), F.col("pos"), F.col("stop") - F.col("pos") + 1).alias("seg"))
 
 
-def pigeonhole(values: DataFrame, refs: DataFrame) -> DataFrame:
-    """``values`` (text) and ``refs`` (form, category_id) within the form's allowed edits: text, form, category_id, edits.
+def pigeonhole(values: DataFrame, refs: DataFrame, allowed: Callable[[Column], Column] = allowed_edits) -> DataFrame:
+    """``values`` (text) and ``refs`` (form, category_id) within the edits ``allowed`` for the form's length: text, form, category_id, edits.
 
     A value offers its substrings of the lengths that segments have, at every
     place; a candidate pair needs a place within k of the segment's own.
     """
-    segments = _segments(refs)
+    segments = _segments(refs, allowed)
     # With each segment length, the lengths a value may have to be near a form with such a segment.
     lengths = segments.groupBy(F.length("seg").alias("size")).agg(F.min(F.col("len") - F.col("k")).alias("least"), F.max(F.col("len") + F.col("k")).alias("most"))
     grams = (
@@ -180,9 +187,10 @@ def resolve_values(values: DataFrame, catalog: DataFrame) -> DataFrame:
     settled = stage(sure.select("value", "best.category_id", "best.how", "best.edits"), "canonical-settled")
 
     open_values = stage(read.join(settled.select("value"), "value", "left_anti"), "canonical-open")
-    near = open_values.join(pigeonhole(open_values.select("text").distinct(), refs), "text").withColumn("swap", F.levenshtein(letters(F.col("text")), letters(F.col("form"))))
+    near = open_values.join(pigeonhole(open_values.select("text").distinct(), refs, slip_edits), "text").withColumn("swap", F.levenshtein(letters(F.col("text")), letters(F.col("form"))))
     # At most two slips, of which a swap of neighbours is one but costs two edits: what
     # swaps leave is seen from the letters in order, where another letter costs two.
+    # ``slip_edits`` lets every pair through that this rule can accept, so the rule alone decides.
     near = near.where(
         F.when(F.length("form") <= 5, (F.col("edits") <= 1) | (F.col("edits") == 2) & (F.col("swap") == 0))
         .otherwise((F.col("edits") <= 2) | (F.col("edits") == 3) & (F.col("swap") <= 2) | (F.col("edits") == 4) & (F.col("swap") == 0))

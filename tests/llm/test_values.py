@@ -51,6 +51,28 @@ def test_pigeonhole_loses_no_pair(spark):
     assert {(r["text"], r["form"]) for r in canonical.pigeonhole(a, b).collect()} == want
 
 
+def test_two_slips_at_every_length(spark):
+    """Swap and slip, or two swaps, on forms of 6 to 10 letters; what is no two slips stays unmatched."""
+    catalog = spark.createDataFrame([(0, "ladder", "l", None), (1, "standpipe", "s", None), (2, "dairy cow", "c", None), (3, "hammer", "h", None), (4, "scaffold", "s", None)], "category_id int, category_name string, supercategory string, aliases array<string>")
+    values = {"aldde": 0, "satndppie": 1, "diary ocw": 2, "ahmmre": 3, "csafflod": 4, "aldxxr": -1, "satndppix": -1}
+    got = {r["value"]: r["category_id"] for r in canonical.resolve_values(spark.createDataFrame([(v,) for v in values], "value string"), catalog).collect()}
+    assert got == values
+
+
+def test_slip_candidates_are_all_pairs_of_the_rule(spark):
+    """Within ``slip_edits`` the segments find what a join of all values with all forms finds."""
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(9)
+    refs = sorted({"".join(rnd.choice("abcde") for _ in range(rnd.randrange(3, 13))) for _ in range(60)})
+    swap = lambda s, i: s[:i] + s[i + 1 : i + 2] + s[i : i + 1] + s[i + 2 :]
+    texts = sorted({swap(swap(r, rnd.randrange(len(r))), rnd.randrange(len(r))) + rnd.choice(["", "a"]) for r in refs for _ in range(3)})
+    a = spark.createDataFrame([(t,) for t in texts], "text string")
+    b = spark.createDataFrame([(r, i) for i, r in enumerate(refs)], "form string, category_id int")
+    want = a.crossJoin(b).where(F.levenshtein("text", "form") <= canonical.slip_edits(F.length("form"))).select("text", "form")
+    assert {tuple(r) for r in canonical.pigeonhole(a, b, canonical.slip_edits).select("text", "form").collect()} == {tuple(r) for r in want.collect()}
+
+
 def test_labels_and_mappings(spark, catalog):
     annotations = spark.createDataFrame([(1, "c1", "s"), (2, "c1", "t"), (3, "forklift", "s"), (4, None, "s"), (5, " ", "s"), (6, "Gabelstaplr", None), (6, "Gabelstaplr", None), (None, "dent!", "s")], "ann_key bigint, label string, import_source_id string")
     sources = spark.createDataFrame([("s", {"c1": "gas cyl1nder"}), ("s", {"c1": "gas cyl1nder"}), ("t", None), (None, {"c1": "dent"})], "source_id string, category_mapping map<string,string>")
