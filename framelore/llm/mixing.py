@@ -29,6 +29,11 @@ LANGUAGE_NAMES = {
     "en": ["en", "eng", "english"], "de": ["de", "deu", "ger", "german", "deutsch"], "es": ["es", "spa", "spanish", "espanol", "español"],
     "fr": ["fr", "fra", "fre", "french", "francais", "français"], "zh": ["zh", "zho", "chi", "cn", "chinese", "中文"],
 }
+# The domain of each source with a target; any other source is in "all".
+DOMAINS = {
+    "tickets": "operations", "field_reports": "operations", "import_logs": "operations", "review_notes": "review", "team_chat": "review",
+    "captions": "descriptions", "event_text": "descriptions", "guidelines": "reference",
+}
 PER_BUCKET = 20000
 
 
@@ -66,8 +71,8 @@ class Node:
                 share[id(c)] += left * c.weight / weight
             left = 0.0
             for c in list(open_children):
-                if share[id(c)] >= c.room:
-                    left += share[id(c)] - c.room
+                if share[id(c)] >= c.room * (1 - 1e-12):  # a share that is the room but for rounding takes all texts
+                    left += max(0.0, share[id(c)] - c.room)
                     share[id(c)] = c.room
                     open_children.remove(c)
         short = sum(c.allot(share[id(c)]) for c in self.children)
@@ -107,13 +112,14 @@ def budgets(leaf_tokens: dict[tuple[str, str, str], int], targets: dict[str, tup
     return [(dom, s, lang, b, targets[s][1]) for (_, dom, s, lang), b in root.leaves() if b > 0] if root.children else []
 
 
-def mix_documents(docs: DataFrame, targets: DataFrame, total: float | None = None, domains: dict[str, str] | None = None, vocabulary: str = VOCABULARY, seed: int = 5) -> DataFrame:
+def mix_documents(docs: DataFrame, targets: DataFrame, total: float | str | None = None, domains: dict[str, str] | None = None, vocabulary: str = VOCABULARY, seed: int = 5) -> DataFrame:
     """(doc_id, source, lang, epoch, tokens): each text as often as it is used, epochs from 0.
 
     A text is used at most once in an epoch and at most ``max_repeats`` times,
     whichever rows hold it: copies of one text are one text, under its
     smallest doc_id and that row's source.  Sources without a target are not
-    used.  Within a leaf the first epochs are whole, the last is a prefix of
+    used.  ``total`` is as in ``budgets``; "all" stands for the tokens of all
+    distinct texts of sources with a target.  Within a leaf the first epochs are whole, the last is a prefix of
     its seeded order; near the end of the budget a text that no longer fits is
     passed over.  Null, empty and token-less texts are
     not used; no targets or no texts give no rows.
@@ -129,7 +135,7 @@ def mix_documents(docs: DataFrame, targets: DataFrame, total: float | None = Non
     )
     wanted = {r["source"]: (float(r["share"]), int(r["repeats"])) for r in targets.where("target_share > 0 and max_repeats > 0").groupBy(canonical_source(F.col("source")).alias("source")).agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("repeats")).collect() if r["source"]}
     leaf_tokens = {(r["domain"], r["source"], r["lang"]): r["n"] for r in items.where(F.col("source").isin(list(wanted))).groupBy("domain", "source", "lang").agg(F.sum("tokens").alias("n")).collect()}
-    plan = budgets(leaf_tokens, wanted, total)
+    plan = budgets(leaf_tokens, wanted, sum(leaf_tokens.values()) if total == "all" else total)
     rows = []
     for dom, s, lang, budget, _ in plan:
         have = leaf_tokens[(dom, s, lang)]

@@ -80,6 +80,15 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_report(p9_mixture(spark, d), table(spark, d, "mix_targets"))
 
 
+def p9_filled(spark: SparkSession, d: str) -> DataFrame:
+    """As many tokens as all texts of target sources have; what a source lacks goes to its domain, then to other domains."""
+    return mixing.mix_documents(table(spark, d, "documents"), table(spark, d, "mix_targets"), total="all", domains=mixing.DOMAINS)
+
+
+def p9_filled_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_report(p9_filled(spark, d), table(spark, d, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return pii.found_entities(table(spark, d, "documents"))
 
@@ -96,6 +105,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_coverage, p1_report, p2_found, p2_survivors, p3_found, p3_labels, p3_unmatched, p3_targets, p5_found, p5_splits, p5_shares,
-        p8_containers, p8_report, p9_mixture, p9_shares, p10_found, p10_redacted, p10_surrogates,
+        p8_containers, p8_report, p9_mixture, p9_shares, p9_filled, p9_filled_shares, p10_found, p10_redacted, p10_surrogates,
     )
 }

@@ -181,6 +181,28 @@ def test_budget_shortage_goes_to_siblings_first():
     assert {(s, lang): round(b) for _, s, lang, b, _ in got} == {("s1", "en"): 20, ("s1", "de"): 60, ("s3", "en"): 80}
 
 
+def test_budget_shortage_goes_to_ancestors_last():
+    leaves = {("a", "s1", "en"): 10, ("a", "s2", "de"): 30, ("b", "s3", "en"): 1000, ("b", "s3", "fr"): 7}
+    targets = {"s1": (0.4, 2), "s2": (0.3, 1), "s3": (0.3, 3)}
+    got = {(s, lang): b for _, s, lang, b, _ in mixing.budgets(leaves, targets, 500)}
+    assert got[("s1", "en")] == 20 and got[("s2", "de")] == 30 and sum(got.values()) == pytest.approx(500)
+    assert {(s, lang): b for _, s, lang, b, _ in mixing.budgets(leaves, targets, 10**6)} == {("s1", "en"): 20, ("s2", "de"): 30, ("s3", "en"): 3000, ("s3", "fr"): 21}
+
+
+def test_filled_mixture_redistributes(spark, tmp_path):
+    """One tiny source no longer sets the total: siblings take its shortage, then other domains."""
+    from framelore.llm import queries
+
+    rows = [(i, f"text number {i} " + "word " * (i % 13), "en", ["field_reports", "tickets", "guidelines"][0 if i < 2 else 1 if i < 60 else 2], "x") for i in range(400)]
+    docs, targets = spark.createDataFrame(rows, DOCS), spark.createDataFrame([("field_reports", 0.3, 1), ("tickets", 0.2, 1), ("guidelines", 0.5, 1)], "source string, target_share double, max_repeats int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    targets.write.parquet(f"{tmp_path}/mix_targets.parquet")
+    assert queries.QUERIES["p9_filled"](spark, str(tmp_path)).count() == 400
+    report = {r["source"]: r for r in queries.QUERIES["p9_filled_shares"](spark, str(tmp_path)).collect()}
+    assert {s: r["texts"] for s, r in report.items()} == {"field_reports": 2, "tickets": 58, "guidelines": 340}
+    assert report["field_reports"]["reached_share"] < 0.3 and report["guidelines"]["reached_share"] > 0.5 and queries.QUERIES["p9_mixture"](spark, str(tmp_path)).count() < 20
+
+
 def test_mixture(spark):
     rows = [(i, f"text number {i} " + "word " * (i % 17), "EN" if i % 3 else "deutsch", "Big-Source" if i % 4 else "small", "x") for i in range(400)]
     rows += [(1000, rows[0][1], "en", "small", "x"), (1001, None, "en", "small", "x"), (1002, "", None, None, "x"), (1003, "other", None, "untargeted", "x"), (None, "keyless text", "en", "small", "x")]
