@@ -148,19 +148,27 @@ def overlap_pairs(images: DataFrame) -> DataFrame:
 
 
 def coverage(images: DataFrame) -> DataFrame:
-    """Per evaluation record: length of its normalised text, characters covered by training matches, and their share.
+    """Per evaluation record: length of its normalised text, characters covered by training matches, their share, and whether it is ``linked`` to train.
 
     A record's text is its parts one after another; intervals of one record
     are merged before they are added up (parts do not overlap, so a part found
-    many times counts once).
+    many times counts once).  ``linked`` is true where the record's class holds
+    a training row, as ``overlap_report`` counts it: a record may meet train
+    only through other rows and have no part of its own covered.
     """
     records = stage(classes(passages(images)), "overlap-records")
-    hits = matched_parts(records).groupBy("part").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
-    evaluation = records.where(F.col("split").isin("val", "test"))
-    parts = evaluation.select("image_key", "split", "source", F.explode_outer("parts").alias("part")).join(hits, "part", "left")
+    found = stage(matched_parts(records), "overlap-hits")
+    hits = found.groupBy("part").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    linked = found.select("class_id").distinct().withColumn("linked", F.lit(True))
+    evaluation = records.where(F.col("split").isin("val", "test")).join(linked, "class_id", "left")
+    parts = evaluation.select("image_key", "split", "source", "linked", F.explode_outer("parts").alias("part")).join(hits, "part", "left")
     return (
         parts.groupBy("image_key", "split", "source")
-        .agg(F.coalesce(F.sum(F.length("part")), F.lit(0)).alias("length"), F.coalesce(F.sum(F.col("stop") - F.col("start")), F.lit(0)).alias("covered"))
+        .agg(
+            F.coalesce(F.sum(F.length("part")), F.lit(0)).alias("length"),
+            F.coalesce(F.sum(F.col("stop") - F.col("start")), F.lit(0)).alias("covered"),
+            F.coalesce(F.max("linked"), F.lit(False)).alias("linked"),
+        )
         .withColumn("share", F.when(F.col("length") > 0, F.col("covered") / F.col("length")).otherwise(F.lit(0.0)))
     )
 

@@ -68,6 +68,16 @@ def test_coverage_and_report(images):
     assert report[("val", "t")] == (1, 1) and report[("val", "u")] == (1, 0)
 
 
+def test_coverage_links_as_the_pairs_do(images):
+    """Row 6 meets train only through row 5, of no split: no part of its own is covered, but it is linked."""
+    rows = images.where("image_key is not null").dropDuplicates(["image_key"])
+    cover = {r["image_key"]: r for r in overlap.coverage(rows).collect()}
+    assert cover[6]["linked"] and cover[6]["covered"] == 0
+    paired = {k for r in overlap.overlap_pairs(rows).collect() for k in r}
+    assert {k for k, r in cover.items() if r["linked"]} == paired & set(cover)
+    assert sum(r["overlapping"] for r in overlap.overlap_report(rows).collect()) == sum(r["linked"] for r in cover.values())
+
+
 def test_components_against_union_find(spark):
     import random
 
