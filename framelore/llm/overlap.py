@@ -6,6 +6,10 @@ the rows that link them to others, go to shards; in each shard an Aho-Corasick
 automaton over them scans the training texts, and the matched intervals are
 merged into coverage per evaluation record.
 
+Passages and texts are whole parts with a mark at both ends, so only equal
+parts match.  The pairs are decided by the components and the equality join;
+the automata give the intervals of the coverage.
+
 Scale: a passage and the part of a training text that can contain it are
 routed to the same shard by the hash of the part, so no text is sent to all
 shards.  Parts are made distinct before they are sent: a digest shared by a
