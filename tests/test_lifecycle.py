@@ -232,6 +232,13 @@ def test_sampling(spark):
     assert {r["point_id"]: r["frame_index"] for r in near.collect()} == {1: 1, 2: 3}
 
 
+def test_sample_cap(spark):
+    f = spark.createDataFrame([("v", i, float(i)) for i in range(0, 1001, 100)], "video_id string, frame_index bigint, ts double")
+    lim = lambda b: spark.createDataFrame([("v", 0.0, b)], "video_id string, lower double, upper double")
+    assert timeline.sample_interval(f, lim(999.5), 1.0).count() > 0
+    assert timeline.sample_interval(f, lim(1000.0), 1.0).count() == 0
+
+
 def test_document_faults(spark):
     videos = spark.createDataFrame([("v", 10, 64, 32)], "video_id string, frame_count int, width int, height int")
     t = spark.createDataFrame([("v", "ok", 1, 0, 3, True), ("v", "late", 1, 0, 12, False), ("v", "bare", 1, 0, 3, True), ("v", "label", 9, 0, 3, False)], "video_id string, track_id string, label_id int, start_frame int, end_frame int, reviewed boolean")
