@@ -1,4 +1,9 @@
-"""Every format written and read again over all pictures and boxes."""
+"""Every format written and read again over the pictures and boxes of ``_dataset``.
+
+Not all boxes: those of later imports of a path are left out, not moved to the
+picture that is kept.  Polygons and masks are in no query here, and a picture
+without boxes has no row in what is compared.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +17,7 @@ from framelore.tables import table
 
 
 def _dataset(spark: SparkSession, d: str) -> Dataset:
-    """Pictures with a portable path and a size, the first of those that share a path; boxes with a catalog label inside them."""
+    """Pictures with a portable path and a size, the first of those that share a path; their own boxes with a catalog label inside them."""
     images = table(spark, d, "images").where(portable_path(F.col("path")) & (F.col("width") > 0) & (F.col("height") > 0))
     first = images.groupBy("path").agg(F.min(F.struct("image_key", "width", "height", "split", "status")).alias("i")).select("path", "i.*")
     names = table(spark, d, "label_catalog").select("category_id", F.col("category_name").alias("name"))
