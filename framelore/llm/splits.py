@@ -6,13 +6,17 @@ sets.  Subset-sum bitsets over the multiplicities of set sizes then choose
 which sets go to which split so that the totals come closest to the targets.
 
 Scale: only the histogram of set sizes reaches the driver.  Sizes add up to
-the number of rows N, so there are at most sqrt(2 N) of them.  Choosing which
+the number of rows N, so there are at most sqrt(2 N) of them, and many sizes
+mean small ones, whose totals leave no holes.  Choosing which
 of the equally large sets go where is a ranking in hash buckets of bounded
 size, not one sort of all sets.
 """
 
 from __future__ import annotations
 
+import math
+from itertools import permutations
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
@@ -21,8 +25,9 @@ from framelore.llm import keys
 from framelore.llm.graph import components
 from framelore.tables import blocks_for, stage
 
-# Bits that one subset-sum table may take; beyond it totals are counted in coarser units.
-BITS = 1 << 31
+# Bits of the bitset in which a run of consecutive totals is looked for, and of the bitsets kept for walking back.
+BITS = 1 << 26
+HISTORY_BITS = 1 << 31
 PER_BUCKET = 20000
 
 
@@ -54,69 +59,190 @@ def related_rows(videos: DataFrame) -> DataFrame:
     return sets.join(first, "set_id").where("video_key > video_key_a").select("video_key_a", F.col("video_key").alias("video_key_b"))
 
 
-def choose_sizes(histogram: dict[int, int], target: int, bits: int = BITS) -> dict[int, int]:
-    """How many sets of each size to take so that their sizes add up as close to ``target`` as can be.
+def _copies(sizes: list[int], histogram: dict[int, int], limit: int) -> list[int]:
+    """Sets of each size that can matter below ``limit``."""
+    return [min(histogram[s], limit // s) for s in sizes]
+
+
+def _with_copies(reach: int, size: int, copies: int, mask: int) -> int:
+    """``reach`` with up to ``copies`` sets of ``size`` added: 1, 2, 4, ... and the rest."""
+    step = 1
+    while copies > 0:
+        take = min(step, copies)
+        reach |= (reach << (take * size)) & mask
+        copies, step = copies - take, step * 2
+    return reach
+
 
-    ``histogram``: size to number of sets.  One bitset per distinct size holds
-    the totals that can be reached; a multiplicity is folded in by doubling
-    (1, 2, 4, ... and the rest).  Walking back over the bitsets gives the
-    counts; large sets are taken only where smaller ones cannot reach the total,
-    so that a small split holds many sets.  Where the bitsets would exceed ``bits``, totals are counted in
-    units, and what the rounding leaves is filled from the smallest sets.
+def _walk_back(sizes: list[int], copies: list[int], total: int, history_bits: int) -> dict[int, int]:
+    """Counts whose sizes add up to ``total``, which can be reached; large sets only where smaller ones cannot reach it.
+
+    The bitsets before each size are needed from the last to the first.  As
+    many are kept as fit in ``history_bits``; those between are made again.
+    """
+    mask = (1 << (total + 1)) - 1
+    stride = max(1, -(-len(sizes) * (total + 1) // max(1, history_bits)))
+    kept, reach = [], 1
+    for i, (s, n) in enumerate(zip(sizes, copies)):
+        if i % stride == 0:
+            kept.append(reach)
+        reach = _with_copies(reach, s, min(n, total // s), mask)
+    counts: dict[int, int] = {}
+    for block in range(len(kept) - 1, -1, -1):
+        at = range(block * stride, min(len(sizes), (block + 1) * stride))
+        before = [kept[block]]
+        for i in at[:-1]:
+            before.append(_with_copies(before[-1], sizes[i], min(copies[i], total // sizes[i]), mask))
+        for i, reached in zip(reversed(at), reversed(before)):
+            while not (reached >> total) & 1:
+                total -= sizes[i]
+                counts[sizes[i]] = counts.get(sizes[i], 0) + 1
+    return counts
+
+
+def _longest_run(reach: int, length: int, want: int) -> tuple[int, int] | None:
+    """(first, last) of the first ``want`` or more consecutive totals in ``reach``, or None."""
+    runs, have = reach, 1
+    while have < want and runs:
+        step = min(have, want - have)
+        runs &= runs >> step
+        have += step
+    if not runs:
+        return None
+    first = (runs & -runs).bit_length() - 1
+    hole = ~(reach >> first) & ((1 << (length - first + 1)) - 1)
+    return first, first + (hole & -hole).bit_length() - 2 if hole else length
+
+
+def choose_sizes(histogram: dict[int, int], target: int, bits: int = BITS, history_bits: int = HISTORY_BITS) -> dict[int, int]:
+    """How many sets of each size to take so that their sizes add up as close to ``target`` as can be; of two equally close totals the smaller.
+
+    ``histogram``: size to number of sets.  Exact at any size:
+
+    1. Sizes are divided by their common divisor.
+    2. A bitset of the totals that the smaller sizes reach grows size by size.
+       A run of as many consecutive totals as the next size is lengthened by
+       each of its sets, and so on while the next size is no longer than the
+       run; if the run gets to the target, larger sets are taken until the
+       rest lies in the bitset's own run.  This bitset is at most ``bits``
+       long, with only so many copies of a size as it can hold; further copies
+       lengthen the run like larger sizes.
+    3. Where no such run appears, the bitset of all totals up to the target
+       (and one set beyond it) decides; it has as many bits as the target.
+
+    Walking back over the bitsets gives the counts; large sets are taken only
+    where smaller ones cannot reach the total, so a small split holds many sets.
     """
     sizes = sorted(s for s, n in histogram.items() if s > 0 and n > 0)
     total = sum(s * histogram[s] for s in sizes)
     target = max(0, min(target, total))
     if not sizes or not target:
         return {}
-    unit = max(1, -(-(target * (len(sizes) + 1)) // bits))
-    limit = target // unit + (sizes[-1] // unit + 1)
-    mask = (1 << (limit + 1)) - 1
-    reach, history = 1, []
+    unit = math.gcd(*sizes)
+    scaled = {s // unit: histogram[s] for s in sizes}
+    low = target // unit
+    goal = low if target - low * unit <= (low + 1) * unit - target else low + 1  # the closest multiple
+    counts = _by_run(scaled, goal, bits, history_bits)
+    if counts is None:
+        counts = _by_bitset(scaled, target / unit if target % unit else low, history_bits)
+    return {s * unit: n for s, n in counts.items() if n}
+
+
+def _by_run(histogram: dict[int, int], goal: int, bits: int, history_bits: int) -> dict[int, int] | None:
+    """Counts that add up to ``goal`` exactly, by a run of consecutive totals; None where no bitset of ``bits`` shows one that leads to it."""
+    sizes = sorted(histogram)
+    reach, length = 1, 0
+    used: list[int] = []
+    budget = min(bits, max(goal, 4 * sizes[-1]))
+    for i in range(len(sizes) + 1):
+        run = _longest_run(reach, length, sizes[min(i, len(sizes) - 1)])
+        if run and run[0] <= goal:
+            first, last = run
+            steps, end = [], last
+            for j, s in enumerate(sizes):
+                n = histogram[s] - (used[j] if j < i else 0)
+                if end >= goal or s > end - first + 1:
+                    break
+                steps.append((s, n, end))
+                end += s * n
+            if end >= goal:
+                counts, left = _lengthened(steps, goal)
+                for s, n in _walk_back(sizes[:i], used, left, history_bits).items():
+                    counts[s] = counts.get(s, 0) + n
+                return counts
+        if i == len(sizes):
+            return None
+        n = min(histogram[sizes[i]], (budget - length) // sizes[i])
+        if n < 1:
+            return None
+        used.append(n)
+        length += n * sizes[i]
+        reach = _with_copies(reach, sizes[i], n, (1 << (length + 1)) - 1)
+    return None
+
+
+def _lengthened(steps: list[tuple[int, int, int]], goal: int) -> tuple[dict[int, int], int]:
+    """As few sets as needed of each size, the largest first, and what is left for the run.
+
+    ``steps``: size, copies, and the end of the run before that size.  The run
+    is at least as long as the size, so taking sets until the rest is at most
+    the end cannot step over it.
+    """
+    counts, left = {}, goal
+    for s, n, end in reversed(steps):
+        take = min(n, max(0, -(-(left - end) // s)))
+        if take:
+            counts[s], left = take, left - take * s
+    return counts, left
+
+
+def _by_bitset(histogram: dict[int, int], target: float, history_bits: int) -> dict[int, int]:
+    """Counts whose total is closest to ``target``, over all totals up to one that is at or above it."""
+    sizes = sorted(histogram)
+    limit = 0  # some total at or above the target; the closest one is no larger
     for s in sizes:
-        history.append(reach)
-        left, step = histogram[s] if s >= unit else 0, 1
-        while left > 0 and (s // unit) > 0:
-            take = min(step, left)
-            reach |= (reach << (take * (s // unit))) & mask
-            left, step = left - take, step * 2
-            if (take * (s // unit)) > limit:
-                break
-    goal = target // unit
-    below = reach & ((1 << (goal + 1)) - 1)
-    best = below.bit_length() - 1
+        limit += s * min(histogram[s], max(0, -(-(math.ceil(target) - limit) // s)))
+    limit = min([limit, *(s for s in sizes if s >= target)])
+    mask, reach = (1 << (limit + 1)) - 1, 1
+    copies = _copies(sizes, histogram, limit)
+    for s, n in zip(sizes, copies):
+        reach = _with_copies(reach, s, n, mask)
+    goal = math.floor(target)
+    best = (reach & ((1 << (goal + 1)) - 1)).bit_length() - 1
     above = reach >> (goal + 1)
-    if unit == 1 and above:
-        over = goal + 1 + ((above & -above).bit_length() - 1)
-        best = over if over - goal < goal - best else best
-    counts: dict[int, int] = {}
-    for s, before in zip(reversed(sizes), reversed(history)):
-        n, w = 0, s // unit
-        while w and not (before >> best) & 1:
-            best, n = best - w, n + 1
-        if n:
-            counts[s] = n
-    rest = target - sum(s * n for s, n in counts.items())
-    for s in reversed(sizes):
-        spare = min(histogram[s] - counts.get(s, 0), max(0, rest) // s)
-        if unit > 1 and spare:
-            counts[s], rest = counts.get(s, 0) + spare, rest - spare * s
-    return counts
+    if above:
+        over = goal + (above & -above).bit_length()
+        best = over if over - target < target - best else best
+    return _walk_back(sizes, copies, best, history_bits)
+
 
+def plan_splits(histogram: dict[int, int], shares: list[tuple[str, float]], bits: int = BITS, history_bits: int = HISTORY_BITS) -> dict[str, dict[int, int]]:
+    """Counts by size for each split.
 
-def plan_splits(histogram: dict[int, int], shares: list[tuple[str, float]], bits: int = BITS) -> dict[str, dict[int, int]]:
-    """Counts by size for each split: small shares are filled first, the largest share takes the rest."""
+    Splits are filled one after another and the last takes the rest; what one
+    takes another lacks, so every order of up to four splits is tried (small
+    shares first where there are more) and the plan kept whose totals are
+    closest to the targets together.
+    """
     total = sum(s * n for s, n in histogram.items())
     weight = sum(w for _, w in shares) or 1.0
-    left, plan = dict(histogram), {}
-    order = sorted(shares, key=lambda x: (x[1], x[0]))
-    for name, share in order[:-1]:
-        plan[name] = choose_sizes(left, round(total * share / weight), bits)
-        for s, n in plan[name].items():
-            left[s] -= n
-    if order:
-        plan[order[-1][0]] = {s: n for s, n in left.items() if n}
-    return plan
+    wanted = {name: total * share / weight for name, share in shares}
+    by_share = sorted(shares, key=lambda x: (x[1], x[0]))
+    best: tuple[float, dict[str, dict[int, int]]] | None = None
+    for order in permutations(by_share) if len(shares) <= 4 else [by_share]:
+        left, plan = dict(histogram), {}
+        for name, _ in order[:-1]:
+            plan[name] = choose_sizes({s: n for s, n in left.items() if n}, round(wanted[name]), bits, history_bits)
+            for s, n in plan[name].items():
+                left[s] -= n
+        if order:
+            plan[order[-1][0]] = {s: n for s, n in left.items() if n}
+        off = sum(abs(sum(s * n for s, n in plan[name].items()) - wanted[name]) for name in wanted)
+        if best is None or off < best[0] - 1e-9:
+            best = off, plan
+        if off <= len(shares):  # rounding alone: no order can be closer
+            break
+    return best[1] if best else {}
 
 
 def assign_splits(videos: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:

@@ -107,15 +107,41 @@ def test_choose_sizes_is_closest():
         items = [s for s, n in hist.items() for _ in range(n)]
         sums = {sum(c) for k in range(len(items) + 1) for c in combinations(items, k)}
         target = rnd.randrange(0, sum(items) + 1)
-        got = splits.choose_sizes(hist, target)
+        got = splits.choose_sizes(hist, target, bits=rnd.choice([8, 64, 1 << 20]), history_bits=rnd.choice([10, 100, 1 << 20]))
         assert all(0 < n <= hist[s] for s, n in got.items())
         assert abs(sum(s * n for s, n in got.items()) - target) == min(abs(x - target) for x in sums)
 
 
-def test_choose_sizes_in_units():
-    hist = {1: 4000, 17: 300, 950: 12}
-    got = splits.choose_sizes(hist, 5000, bits=20000)
-    assert all(n <= hist[s] for s, n in got.items()) and abs(sum(s * n for s, n in got.items()) - 5000) <= 1
+@pytest.mark.parametrize("bits", [64, 1 << 12, 1 << 26])
+def test_choose_sizes_is_exact_for_many_sizes(bits):
+    hist = {s: 1000 // s + 1 for s in range(1, 1501)}
+    got = splits.choose_sizes(hist, 194883, bits=bits)
+    assert all(n <= hist[s] for s, n in got.items()) and sum(s * n for s, n in got.items()) == 194883
+
+
+def test_choose_sizes_with_large_sets_only():
+    rnd = random.Random(8)
+    hist = {10**6 + rnd.randrange(10**5): 1 for _ in range(14)}
+    sums = {0}
+    for s in hist:
+        sums |= {x + s for x in sums}
+    for target in (3 * 10**6, 5_500_000, 400_000, 10**9):
+        got = splits.choose_sizes(hist, target, bits=256, history_bits=1 << 22)
+        assert abs(sum(s * n for s, n in got.items()) - min(target, sum(hist))) == min(abs(x - min(target, sum(hist))) for x in sums)
+
+
+def test_choose_sizes_of_billions_of_rows():
+    hist = {1: 10**9, 2: 10**8, 3: 10**7, 5 * 10**6: 40, 10**9: 1}
+    got = splits.choose_sizes(hist, 123_456_789)
+    assert sum(s * n for s, n in got.items()) == 123_456_789
+    odd = {2 * s + 1: 10**5 // s for s in range(1000, 2000)}
+    assert sum(s * n for s, n in splits.choose_sizes(odd, 10**7 + 1).items()) == 10**7 + 1
+
+
+def test_splits_are_chosen_together():
+    """Filled one after another from the first, the second split would lack the set it needs."""
+    plan = splits.plan_splits({50: 2, 30: 1, 25: 1, 7: 1}, [("a", 0.4), ("b", 0.3), ("c", 0.3)])
+    assert {k: sum(s * n for s, n in v.items()) for k, v in plan.items()} == {"a": 62, "b": 50, "c": 50}
 
 
 def test_splits_keep_sets(spark):
