@@ -2,13 +2,14 @@
 
 Method: partition-based pigeonhole join.  A reference string that must be
 found within k edits is cut into k + 1 segments; a value within k edits holds
-one of them unchanged, shifted by at most k.  Segments meet the value's
-substrings by equality join, built-in levenshtein verifies, and an anti-join
-reports what stays unmatched.
+one of them unchanged, shifted by no more than the edits allow.  Segments meet
+the value's substrings by equality join on length, place and letters, built-in
+levenshtein verifies, and an anti-join reports what stays unmatched.
 
 Scale: values are made distinct before anything else, so the work follows the
-number of different spellings, and the reference side has a size fixed by the
-list.  Nothing pairs all values with all references.
+number of different spellings.  Nothing pairs all values with all references,
+and the list is never broadcast by a hint: AQE does so where it measures it as
+small.
 """
 
 from __future__ import annotations
@@ -89,37 +90,44 @@ def reference_forms(catalog: DataFrame) -> DataFrame:
     )
 
 
-def _segments(refs: DataFrame, edits: Callable[[Column], Column]) -> DataFrame:
-    """Each form cut into k + 1 nearly equal segments: (form, category_id, len, seg, pos)."""
-    n = F.length("form")
-    k = edits(n)
-    cut = lambda i: F.floor(i * n / (k + 1)).cast("int")
-    return refs.select("form", "category_id", n.alias("len"), k.alias("k"), F.explode(F.sequence(F.lit(0), k)).alias("i")).select(
-        "form", "category_id", "len", "k", F.col("i"),
-        (F.floor(F.col("i") * F.col("len") / (F.col("k") + 1)).cast("int") + 1).alias("pos"),
-        F.floor((F.col("i") + 1) * F.col("len") / (F.col("k") + 1)).cast("int").alias("stop"),
-    ).select("form", "category_id", "len", "k", "pos", F.substring(F.col("form"), F.col("pos"), F.col("stop") - F.col("pos") + 1).alias("seg"))
+def _cut(rows: DataFrame, edits: Callable[[Column], Column]) -> DataFrame:
+    """``rows`` with a ``len`` to a row for each of the k + 1 nearly equal segments of a text that long: k, i, pos (from 1), size."""
+    border = lambda i: F.floor(i * F.col("len") / (F.col("k") + 1)).cast("int")
+    return (
+        rows.withColumn("k", edits(F.col("len")))
+        .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k"))))
+        .withColumn("pos", border(F.col("i")) + 1)
+        .withColumn("size", border(F.col("i") + 1) - F.col("pos") + 1)
+    )
 
 
-def pigeonhole(values: DataFrame, refs: DataFrame, allowed: Callable[[Column], Column] = allowed_edits) -> DataFrame:
+def pigeonhole(values: DataFrame, refs: DataFrame, allowed: Callable[[Column], Column] = allowed_edits, gap: int = MAX_EDITS) -> DataFrame:
     """``values`` (text) and ``refs`` (form, category_id) within the edits ``allowed`` for the form's length: text, form, category_id, edits.
 
-    A value offers its substrings of the lengths that segments have, at every
-    place; a candidate pair needs a place within k of the segment's own.
+    A form lies under (its length, number of the segment, segment).  A value
+    asks for each length within ``gap`` (and the edits) of its own that a form
+    has, with its substrings at the places where the segment can stand: with
+    x letters shifted before it, x and what is left of the difference in
+    length must fit into k edits together.  So the join is on length, place
+    and letters, and the number of questions of a value does not depend on its
+    length or on the list.  A form with fewer letters than segments has an
+    empty one, which every value of about its length asks for.
     """
-    segments = _segments(refs, allowed)
-    # With each segment length, the lengths a value may have to be near a form with such a segment.
-    lengths = segments.groupBy(F.length("seg").alias("size")).agg(F.min(F.col("len") - F.col("k")).alias("least"), F.max(F.col("len") + F.col("k")).alias("most"))
-    grams = (
+    forms = _cut(refs.select("form", "category_id", F.length("form").alias("len")), allowed)
+    forms = forms.select("len", "i", F.substring(F.col("form"), F.col("pos"), F.col("size")).alias("seg"), "form", "category_id", "k")
+    lengths = refs.select(F.length("form").alias("len")).distinct()
+    near = (
         values.select("text", F.length("text").alias("tlen"))
-        .join(F.broadcast(lengths), F.col("tlen").between(F.greatest("size", "least"), F.col("most")))  # at most as many rows as the longest form has letters
-        .select("text", "tlen", "size", F.explode(F.sequence(F.lit(1), F.col("tlen") - F.col("size") + 1)).alias("at"))
-        .select("text", "tlen", "at", F.substring(F.col("text"), F.col("at"), F.col("size")).alias("seg"))
+        .withColumn("len", F.explode(F.sequence(F.greatest(F.lit(1), F.col("tlen") - gap), F.greatest(F.lit(1), F.col("tlen") + gap))))
+        .join(lengths, "len", "left_semi")
     )
-    near = (F.abs(F.col("at") - F.col("pos")) <= F.col("k")) & (F.abs(F.col("tlen") - F.col("len")) <= F.col("k"))
+    longer = F.col("tlen") - F.col("len")
+    first = F.greatest(F.lit(1), F.col("pos") - F.floor((F.col("k") - longer) / 2).cast("int"))
+    last = F.least(F.col("tlen") - F.col("size") + 1, F.col("pos") + F.floor((F.col("k") + longer) / 2).cast("int"))
+    asked = _cut(near, allowed).where(F.abs(longer) <= F.col("k")).withColumn("first", first).withColumn("last", last).where("first <= last")
+    asked = asked.select("text", "len", "i", "size", F.explode(F.sequence("first", "last")).alias("at")).select("text", "len", "i", F.substring(F.col("text"), F.col("at"), F.col("size")).alias("seg")).distinct()
     return (
-        grams.join(segments, "seg")
-        .where(near)
+        asked.join(forms, ["len", "i", "seg"])
         .select("text", "form", "category_id", "k")
         .distinct()
         .withColumn("edits", F.levenshtein("text", "form"))
@@ -187,7 +195,8 @@ def resolve_values(values: DataFrame, catalog: DataFrame) -> DataFrame:
     settled = stage(sure.select("value", "best.category_id", "best.how", "best.edits"), "canonical-settled")
 
     open_values = stage(read.join(settled.select("value"), "value", "left_anti"), "canonical-open")
-    near = open_values.join(pigeonhole(open_values.select("text").distinct(), refs, slip_edits), "text").withColumn("swap", F.levenshtein(letters(F.col("text")), letters(F.col("form"))))
+    # Two slips change the length by two at most.
+    near = open_values.join(pigeonhole(open_values.select("text").distinct(), refs, slip_edits, gap=2), "text").withColumn("swap", F.levenshtein(letters(F.col("text")), letters(F.col("form"))))
     # At most two slips, of which a swap of neighbours is one but costs two edits: what
     # swaps leave is seen from the letters in order, where another letter costs two.
     # ``slip_edits`` lets every pair through that this rule can accept, so the rule alone decides.
@@ -196,7 +205,7 @@ def resolve_values(values: DataFrame, catalog: DataFrame) -> DataFrame:
         .otherwise((F.col("edits") <= 2) | (F.col("edits") == 3) & (F.col("swap") <= 2) | (F.col("edits") == 4) & (F.col("swap") == 0))
     )
     # What the folding made equal may still tell entries apart: marks count last.
-    near = near.join(F.broadcast(refs.select("form", "name")), "form").withColumn("marks", F.levenshtein(F.lower("value"), F.col("name")))  # the reference list
+    near = near.join(refs.select("form", "name"), "form").withColumn("marks", F.levenshtein(F.lower("value"), F.col("name")))
     per_entry = near.groupBy("value", "category_id").agg(F.min(F.struct("edits", "swap", "marks")).alias("d"))
     by_value = Window.partitionBy("value").orderBy("d")
     ranked = per_entry.withColumn("place", F.rank().over(by_value)).where("place = 1").groupBy("value").agg(F.min("category_id").alias("category_id"), F.count("*").alias("ties"), F.min("d.edits").alias("edits"))

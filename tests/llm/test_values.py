@@ -73,6 +73,19 @@ def test_slip_candidates_are_all_pairs_of_the_rule(spark):
     assert {tuple(r) for r in canonical.pigeonhole(a, b, canonical.slip_edits).select("text", "form").collect()} == {tuple(r) for r in want.collect()}
 
 
+def test_long_reference_list(spark):
+    """A list of 100,000 entries: every value with one slip comes back to its entry or a tie, with no product of both sides."""
+    from pyspark.sql import functions as F
+
+    word = lambda c, n: F.substring(F.md5(c.cast("string")), 1, n)
+    refs = spark.range(100000).select(F.col("id").cast("int").alias("category_id"), F.concat(word(F.col("id"), 12), F.lit(" "), F.col("id")).alias("form"))
+    texts = refs.where("category_id % 100 = 7").select(F.concat(F.substring("form", 1, 5), F.lit("z"), F.substring("form", 7, 99)).alias("text"), F.col("form").alias("meant"))
+    found = canonical.pigeonhole(texts.select("text"), refs, canonical.slip_edits, gap=2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert texts.join(found, (texts.text == found.text) & (texts.meant == found.form)).count() == 1000
+
+
 def test_labels_and_mappings(spark, catalog):
     annotations = spark.createDataFrame([(1, "c1", "s"), (2, "c1", "t"), (3, "forklift", "s"), (4, None, "s"), (5, " ", "s"), (6, "Gabelstaplr", None), (6, "Gabelstaplr", None), (None, "dent!", "s")], "ann_key bigint, label string, import_source_id string")
     sources = spark.createDataFrame([("s", {"c1": "gas cyl1nder"}), ("s", {"c1": "gas cyl1nder"}), ("t", None), (None, {"c1": "dent"})], "source_id string, category_mapping map<string,string>")
