@@ -53,22 +53,33 @@ from cls a join cls b on a.c = b.c and a.sp = 'train' and b.sp in ('val', 'test'
 _P2 = f"with {_FILES} select distinct a.image_key as image_key_a, b.image_key as image_key_b from rows_ a join rows_ b on a.fk = b.fk and a.image_key < b.image_key"
 
 
-def _survivors() -> str:
+_BEST = "(missing, trust, untrusted, age, image_key)"
+
+
+def _ordered() -> str:
+    """CTEs up to ``o``: rows with their group and order."""
     usable = {
         "source_id": "nullif(trim(source_id, ' '), '')", "source_path": "nullif(source_path, '')", "width": "case when width > 0 then width end", "height": "case when height > 0 then height end",
         "split": "nullif(sp, 'unspecified')", "status": "case when lower(trim(status, ' ')) in (" + ", ".join(f"'{s}'" for s in STATUS_TRUST) + ") then lower(trim(status, ' ')) end", "sha256": "dg", "provenance": "case when length(trim(provenance, ' ')) > 2 then provenance end",
     }
     fields = ", ".join(f"{v} as u_{k}" for k, v in usable.items())
     trust = "case u_status " + " ".join(f"when '{s}' then {i + 1}" for i, s in enumerate(STATUS_TRUST)) + " else 9 end"
-    donors = ", ".join(f"arg_min(u_{f}, (trust, untrusted, age, image_key)) filter (u_{f} is not null) as {f}, arg_min(image_key, (trust, untrusted, age, image_key)) filter (u_{f} is not null) as {f}_from" for f in FIELDS)
     complete = " + ".join(f"(u_{f} is not null)::int" for f in FIELDS)
     return f"""
 with {_FILES}, pol as (select source_id, bool_or(coalesce(lower(trim(duplicate_policy, ' ')) = 'keep_existing', false)) as keep, bool_or(coalesce(trust_reviewed, false)) as trusted from import_sources where source_id is not null group by 1),
 u as (select image_key, path, coalesce(fk, '~' || image_key) as fk, imported_at, updated_at, {fields} from rows_),
 o as (select u.*, {trust} as trust, (not coalesce(trusted, false))::int as untrusted, 0 - ({complete}) as missing,
   coalesce(case when coalesce(keep, false) then epoch_us(coalesce(imported_at, updated_at)) else -epoch_us(coalesce(updated_at, imported_at)) end, 4611686018427387904) as age
-  from u left join pol on pol.source_id = coalesce(u_source_id, split_part(path, '/', 1)))
-select arg_min(image_key, (missing, trust, untrusted, age, image_key)) as image_key, arg_min(path, (missing, trust, untrusted, age, image_key)) as path, {donors}, count(*) as records from o group by fk"""
+  from u left join pol on pol.source_id = coalesce(u_source_id, split_part(path, '/', 1)))"""
+
+
+def _survivors() -> str:
+    donors = ", ".join(f"arg_min(u_{f}, (trust, untrusted, age, image_key)) filter (u_{f} is not null) as {f}, arg_min(image_key, (trust, untrusted, age, image_key)) filter (u_{f} is not null) as {f}_from" for f in FIELDS)
+    return f"{_ordered()} select arg_min(image_key, {_BEST}) as image_key, arg_min(path, {_BEST}) as path, {donors}, count(*) as records from o group by fk"
+
+
+def _members() -> str:
+    return f"{_ordered()}, top as (select fk, arg_min(image_key, {_BEST}) as k from o group by fk) select image_key, k::varchar as survivor, image_key = k as leads from o join top using (fk)"
 
 
 def _recording(column: str) -> str:
@@ -143,4 +154,4 @@ per as (select value, id, min((e, s, levenshtein(lower(value), name))) as d from
 best as (select value, min(id) as id from (select *, rank() over (partition by value order by d) as r from per) where r = 1 group by 1 having count(*) = 1)
 select ann_key, coalesce(settled.id, best.id, -1)::int as category_id from meant left join settled on settled.value = meant.value left join best on best.value = meant.value"""
 
-ORACLES = {"p1_found": _P1, "p2_found": _P2, "p2_survivors": _survivors(), "p3_found": _P3, "p5_found": _P5}
+ORACLES = {"p1_found": _P1, "p2_found": _P2, "p2_survivors": _survivors(), "p2_members": _members(), "p3_found": _P3, "p5_found": _P5}

@@ -30,6 +30,10 @@ def p2_survivors(spark: SparkSession, d: str) -> DataFrame:
     return survivors.surviving_records(table(spark, d, "images"), table(spark, d, "import_sources"))
 
 
+def p2_members(spark: SparkSession, d: str) -> DataFrame:
+    return survivors.group_members(table(spark, d, "images"), table(spark, d, "import_sources")).select("image_key", "survivor", "leads")
+
+
 def _labels(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return table(spark, d, "annotations"), table(spark, d, "import_sources"), table(spark, d, "label_catalog")
 
@@ -104,7 +108,7 @@ def p10_surrogates(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_coverage, p1_report, p2_found, p2_survivors, p3_found, p3_labels, p3_unmatched, p3_targets, p5_found, p5_splits, p5_shares,
+        p1_found, p1_coverage, p1_report, p2_found, p2_survivors, p2_members, p3_found, p3_labels, p3_unmatched, p3_targets, p5_found, p5_splits, p5_shares,
         p8_containers, p8_report, p9_mixture, p9_shares, p9_filled, p9_filled_shares, p10_found, p10_redacted, p10_surrogates,
     )
 }

@@ -4,9 +4,10 @@ Method: records of a group are ranked by completeness, trust and recency with
 a deterministic tie-break by window ordering; the top record survives, and
 each field is taken from the best record that has a usable value for it.
 
-Scale: ranking runs in salted parts of a group, so a group with a third of all
-rows never meets in one task; the parts are then joined by an aggregate with
-map-side combine over at most ``SALTS`` rows per group.
+Scale: a group larger than ``PER_PART`` rows is cut into as many salted parts
+as its count asks for, so a group with a third of all rows is ranked in parts
+of bounded size at any scale; the best rows of the parts then meet in an
+aggregate with map-side combine.
 """
 
 from __future__ import annotations
@@ -15,8 +16,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelore.llm import keys
+from framelore.tables import stage
 
-SALTS = 64
+PER_PART = 20000
 # How far a status is trusted, best first.
 STATUS_TRUST = ["final_reviewed", "human_reviewed", "ai_suggestion", "imported_coarse", "unreviewed"]
 FIELDS = ["source_id", "source_path", "width", "height", "split", "status", "sha256", "provenance"]
@@ -47,7 +49,14 @@ def group_records(images: DataFrame) -> DataFrame:
     return images.select("image_key", F.coalesce(keys.file_key(F.col("path")), F.concat(F.lit("\x00"), F.col("image_key").cast("string"))).alias("group_key"))
 
 
-def ranked_records(images: DataFrame, sources: DataFrame) -> DataFrame:
+def salted(rows: DataFrame, per_part: int = PER_PART) -> DataFrame:
+    """``rows`` with ``salt``: 0 in a group of up to ``per_part`` rows, else a hash of the row over as many parts as the count asks for."""
+    large = rows.groupBy("group_key").agg(F.count("*").alias("_n")).where(F.col("_n") > per_part).select("group_key", F.ceil(F.col("_n") / per_part).alias("_parts"))
+    row = F.xxhash64("image_key", "path", "sha256", "imported_at", "updated_at")
+    return rows.join(large, "group_key", "left").withColumn("salt", F.pmod(row, F.coalesce("_parts", F.lit(1)))).drop("_parts")
+
+
+def ranked_records(images: DataFrame, sources: DataFrame, per_part: int = PER_PART) -> DataFrame:
     """Usable fields of every row with its group, its order (smallest is best) and ``rank`` within its salted part.
 
     Order: more usable fields, higher trust (status, then whether the source's
@@ -73,10 +82,12 @@ def ranked_records(images: DataFrame, sources: DataFrame) -> DataFrame:
         F.coalesce("image_key", F.lit(2**62)).alias("image_key"),
     )
     by_part = Window.partitionBy("group_key", "salt").orderBy("order")
-    return rows.withColumn("order", order).withColumn("salt", F.pmod(F.xxhash64("image_key"), F.lit(SALTS))).withColumn("rank", F.row_number().over(by_part))
+    # Written once: the counts of groups and the ranking both read the keys, which cost much to make.
+    rows = stage(rows.withColumn("order", order), "survivor-rows")
+    return salted(rows, per_part).withColumn("rank", F.row_number().over(by_part))
 
 
-def surviving_records(images: DataFrame, sources: DataFrame) -> DataFrame:
+def surviving_records(images: DataFrame, sources: DataFrame, per_part: int = PER_PART) -> DataFrame:
     """One row per group: the top record's key and path, each field's best value and the key it came from, and the size.
 
     A field is taken from the record that is most trusted among those with a
@@ -84,7 +95,7 @@ def surviving_records(images: DataFrame, sources: DataFrame) -> DataFrame:
     its own values in uniform notation.  A row with a null key takes part and
     loses ties.  Extra columns of ``images`` are ignored.
     """
-    rows = ranked_records(images, sources)
+    rows = ranked_records(images, sources, per_part)
     donor = F.struct("order.trust", "order.untrusted", "order.age", "order.image_key")
     part = Window.partitionBy("group_key", "salt").orderBy(donor).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     for f in FIELDS:
@@ -105,16 +116,26 @@ def surviving_records(images: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
+def group_members(images: DataFrame, sources: DataFrame, per_part: int = PER_PART) -> DataFrame:
+    """(image_key, group_key, survivor, leads): every record with the one that survives its group, and whether it is that one.
+
+    ``survivor`` is the key of the top record as text, its path where it has no
+    key.  This is the membership beside ``surviving_records``: one row per
+    record, however large the group.
+    """
+    ranked = ranked_records(images, sources, per_part)
+    tops = ranked.where("rank = 1").groupBy("group_key").agg(F.min(F.struct("order", "image_key", "path")).alias("top"))
+    tops = tops.select("group_key", F.coalesce(F.col("top.image_key").cast("string"), F.concat(F.lit("path:"), "top.path"), F.lit("path:")).alias("survivor"), F.col("top.order").alias("_best"))
+    return ranked.select("image_key", "group_key", "order").join(tops, "group_key").select("image_key", "group_key", "survivor", (F.col("order") == F.col("_best")).alias("leads"))
+
+
 def same_file_pairs(images: DataFrame, sources: DataFrame) -> DataFrame:
-    """Every two rows that stand for the same file of the same source, smaller key first, from the ranked groups.
+    """Every two rows that stand for the same file of the same source, smaller key first: two rows with one survivor.
 
-    Each ranked row meets the rows ranked after it in its group (parts in
-    order of their salt, then the rank within the part).  Rows with a null key
-    have no pair, a repeated key none with itself.
+    Rows with a null key have no pair, a repeated key none with itself.  Keys
+    are made distinct before they meet, so no pair comes twice.
     """
-    ranked = ranked_records(images, sources).where("image_key is not null")
-    a = ranked.select(F.col("image_key").alias("a"), "group_key", F.col("salt").alias("_sa"), F.col("rank").alias("_ra"))
-    b = ranked.select(F.col("image_key").alias("b"), "group_key", F.col("salt").alias("_sb"), F.col("rank").alias("_rb"))
-    after = (F.col("_sa") < F.col("_sb")) | (F.col("_sa") == F.col("_sb")) & (F.col("_ra") < F.col("_rb"))
-    pairs = a.join(b, "group_key").where(after & (F.col("a") != F.col("b")))
-    return pairs.select(F.least("a", "b").alias("image_key_a"), F.greatest("a", "b").alias("image_key_b")).distinct()
+    members = stage(group_members(images, sources).where("image_key is not null").select("image_key", "group_key", "survivor").distinct(), "survivor-members")
+    a = members.withColumnRenamed("image_key", "image_key_a")
+    b = members.withColumnRenamed("image_key", "image_key_b")
+    return a.join(b, ["group_key", "survivor"]).where("image_key_a < image_key_b").select("image_key_a", "image_key_b")

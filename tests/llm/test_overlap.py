@@ -120,6 +120,18 @@ def test_survivor_fields(spark):
     assert survivors.surviving_records(spark.createDataFrame([], IMAGES), sources).count() == 0
 
 
+def test_large_groups_are_ranked_in_parts(spark):
+    """The same survivors and fields whether a group is one part or many."""
+    rows = [_row(i, "n/a.jpg" if i % 3 else f"n/{i % 7}.jpg", ["train", "val", ""][i % 3], [A, B, None][i % 3], ["unreviewed", "human_reviewed", None][i % 3], 1 + i % 20) for i in range(120)] + [_row(None, "n/a.jpg")] * 9
+    sources = spark.createDataFrame([("n", None, True)], "source_id string, duplicate_policy string, trust_reviewed boolean")
+    images = spark.createDataFrame(rows, IMAGES)
+    whole = sorted(map(str, survivors.surviving_records(images, sources).collect()))
+    assert sorted(map(str, survivors.surviving_records(images, sources, per_part=5).collect())) == whole
+    members = survivors.group_members(images, sources, per_part=5).collect()
+    assert len(members) == len(rows) and {r["survivor"] for r in members} == {str(r["image_key"]) for r in survivors.surviving_records(images, sources).collect()}
+    assert survivors.ranked_records(images, sources, per_part=5).where("group_key = 'n/a.jpg'").groupBy("salt").count().count() > 5
+
+
 def test_found_on_tables(spark, sf):
     """All pairs of the test tables against union-find over the same keys."""
     from pyspark.sql import functions as F
