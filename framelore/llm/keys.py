@@ -70,31 +70,53 @@ def spell(path: Column) -> Column:
     return F.regexp_replace(path, r"[^\p{L}\p{N}]+", "_")
 
 
-# How cameras name a shot, over the spelled file key.
-# camera + moment + running number, as one name or with the camera and the day in folders.
-SHOT_PATTERNS: list[tuple[str, str]] = [
-    ("video", r"(?:^|_)video_?([0-9a-f]{24})_(?:frame|f)_?0*([0-9]+)(?:_|$)"),
-    ("shot", r"(?:^|_)cam_?([0-9]{2,4})(?:_[\p{L}]+[0-9]*)*_([0-9]{4})_?([0-9]{2})_?([0-9]{2})(?:_[\p{L}]+[0-9]*)*[t_]([0-9]{2})_?([0-9]{2})_?([0-9]{2})_0*([0-9]+)(?:_|$)"),
-    ("roll", r"(?:^|_)dsc_?0*([0-9]{4,})(?:_|$)"),
-]
+# Words that announce a camera, a video, a frame and a roll number.
+SHOT_WORDS = {"cam": ["cam", "camera", "kamera", "camara", "caméra"], "video": ["video", "vid", "clip"], "frame": ["frame", "fr", "f"], "dsc": ["dsc", "dscn", "dscf"]}
+_B, _E = "(?<=_)", "(?=_)"
+_NOISE = r"(?:_\p{L}+[0-9]*)*"
 
 
-def shot_key(path_key: Column) -> Column:
-    """The shot a file key names, or null where the name says nothing.
+def _any(kind: str) -> str:
+    return "(?:" + "|".join(SHOT_WORDS[kind]) + ")"
 
-    One frame of one video; one camera, moment and running number; or one roll
-    number.  Folders, prefixes, suffixes, separators and the format do not
-    matter.
+
+def name_text(path_key: Column) -> Column:
+    """The words of a file key that hold digits, each way to write a number made uniform; borders are single underscores.
+
+    ``cam070``, ``20230109`` and ``072820_1836`` for a camera, a day and a
+    moment with its running number; ``video<id>_frame<n>``; ``dsc<n>``.  Words
+    of letters alone say nothing about a shot and are left out, so the same
+    shot stored in many folders is one text.
     """
-    return spelled_shot(spell(path_key))
+    text = F.concat(F.lit("_"), spell(path_key), F.lit("_"))
+    for pattern, into in (
+        (rf"{_B}{_any('video')}_?([0-9a-f]{{24}})_{_any('frame')}_?0*([0-9]+){_E}", "video$1_frame$2"),
+        (rf"{_B}{_any('cam')}_?([0-9]{{2,4}}){_E}", "cam$1"),
+        (rf"{_B}([0-9]{{4}})_?([0-9]{{2}})_?([0-9]{{2}})t?(?=_|[0-9]{{6}}_)", "$1$2$3_"),
+        (rf"_+t?([0-9]{{2}})_?([0-9]{{2}})_?([0-9]{{2}})_0*([0-9]+){_E}", "_$1$2$3_$4"),
+        (rf"{_B}{_any('dsc')}_?0*([0-9]{{4,}}){_E}", "dsc$1"),
+        (r"_(?!video[0-9a-f]{24}_)\p{L}+(?=_)", ""),
+        (r"_{2,}", "_"),
+    ):
+        text = F.regexp_replace(text, pattern, into)
+    return F.when(F.length(text) > 1, text)
+
 
+# What a passage of a name can end with; the place by which passages and texts find each other.
+ANCHOR = rf"{_B}(?:[0-9]{{6}}_[0-9]+|video[0-9a-f]{{24}}_frame[0-9]+|dsc[0-9]{{4,}}){_E}"
 
-def spelled_shot(spelled: Column) -> Column:
-    """As ``shot_key``, from the spelled file key (a column of its own is then spelled once)."""
+
+def shot_passage(name: Column) -> Column:
+    """The words, joined by blanks, that a text must hold to name the same shot as ``name`` (see ``name_text``); null where it names none.
+
+    One frame of one video; one camera, day, moment and running number; or one
+    roll number.  A moment without its camera is no shot.
+    """
     out: Column | None = None
-    for kind, pattern in SHOT_PATTERNS:
-        groups = pattern.count("(") - pattern.count("(?:")
-        # One pass over the name: everything around the match is dropped, the groups stay.
-        key = F.regexp_replace(spelled, f"^.*?{pattern}.*$", "|".join([kind, *(f"${i}" for i in range(1, groups + 1))]))
-        out = (F if out is None else out).when(spelled.rlike(pattern), key)
+    for pattern, into in (
+        (r"^.*?_(video[0-9a-f]{24}_frame[0-9]+)_.*$", "$1"),
+        (rf"^.*?_(cam[0-9]{{2,4}}){_NOISE}_([0-9]{{8}}){_NOISE}_([0-9]{{6}}_[0-9]+)_.*$", "$1 $2 $3"),
+        (r"^.*?_(dsc[0-9]{4,})_.*$", "$1"),
+    ):
+        out = (F if out is None else out).when(name.rlike(pattern), F.regexp_replace(name, pattern, into))
     return out

@@ -7,9 +7,16 @@ small, so this stays within seconds.
 from __future__ import annotations
 
 from framelore.llm.canonical import DECORATION, HOMOGLYPHS, LEET, MARKED
-from framelore.llm.keys import NO_DIGEST, SHOT_PATTERNS, SPLITS
+from framelore.llm.keys import NO_DIGEST, SPLITS
 from framelore.llm.survivors import FIELDS, STATUS_TRUST
 
+# How a path names a shot, as one pattern each over the path with single underscores.
+SHOT_PATTERNS: list[tuple[str, str]] = [
+    ("video", r"(?:^|_)video_?([0-9a-f]{24})_(?:frame|f)_?0*([0-9]+)(?:_|$)"),
+    ("shot", r"(?:^|_)cam_?([0-9]{2,4})(?:_[\p{L}]+[0-9]*)*_([0-9]{4})_?([0-9]{2})_?([0-9]{2})(?:_[\p{L}]+[0-9]*)*[t_]([0-9]{2})_?([0-9]{2})_?([0-9]{2})_0*([0-9]+)(?:_|$)"),
+    ("roll", r"(?:^|_)dsc_?0*([0-9]{4,})(?:_|$)"),
+]
+
 _OUTER = r"[\s\x{A0}\x{200B}\x{FEFF}]+"
 _BAD = ", ".join(f"'{x}'" for x in NO_DIGEST)
 
@@ -39,17 +46,22 @@ f3 as (select *, nullif(array_to_string(list_reduce(list_transform(segs, lambda
 f4 as (select *, regexp_replace(fk, '[^\\pL\\pN]+', '_', 'g') as spelled, {_digest("sha256")} as dg, {_split("split")} as sp from f3),
 rows_ as (select *, {_shot()} as sk from f4)"""
 
-_P1 = f"""
+_CLASSES = f"""
 with recursive {_FILES},
 links as (select distinct 'f' || fk as a, 's' || sk as b from rows_ where fk is not null and sk is not null union select distinct 'f' || fk, 'd' || dg from rows_ where fk is not null and dg is not null),
 shared as (select a, b from links where b in (select b from links group by b having count(*) > 1)),
 steps as (select a, b from shared union select b, a from shared),
 reach(node, other) as (select distinct a, a from steps union select r.node, s.b from reach r join steps s on r.other = s.a),
 root as (select node, min(other) as root from reach group by 1),
-cls as (select image_key, sp, coalesce(root, 'f' || fk, 'd' || dg) as c from rows_ left join root on node = 'f' || fk)
+cls as (select image_key, sp, coalesce(source_id, split_part(path, '/', 1)) as source, coalesce(root, 'f' || fk, 'd' || dg) as c from rows_ left join root on node = 'f' || fk)"""
+_P1 = f"""{_CLASSES}
 select distinct least(a.image_key, b.image_key) as image_key_a, greatest(a.image_key, b.image_key) as image_key_b
 from cls a join cls b on a.c = b.c and a.sp = 'train' and b.sp in ('val', 'test') and a.image_key <> b.image_key"""
 
+_P1_REPORT = f"""{_CLASSES},
+t as (select c, count(*) as n from cls where sp = 'train' group by 1)
+select sp as split, source, count(*) as records, count(n) as overlapping, coalesce(sum(n), 0)::bigint as pairs from cls left join t using (c) where sp in ('val', 'test') group by 1, 2"""
+
 _P2 = f"with {_FILES} select distinct a.image_key as image_key_a, b.image_key as image_key_b from rows_ a join rows_ b on a.fk = b.fk and a.image_key < b.image_key"
 
 
@@ -154,4 +166,4 @@ per as (select value, id, min((e, s, levenshtein(lower(value), name))) as d from
 best as (select value, min(id) as id from (select *, rank() over (partition by value order by d) as r from per) where r = 1 group by 1 having count(*) = 1)
 select ann_key, coalesce(settled.id, best.id, -1)::int as category_id from meant left join settled on settled.value = meant.value left join best on best.value = meant.value"""
 
-ORACLES = {"p1_found": _P1, "p2_found": _P2, "p2_survivors": _survivors(), "p2_members": _members(), "p3_found": _P3, "p5_found": _P5}
+ORACLES = {"p1_found": _P1, "p1_report": _P1_REPORT, "p2_found": _P2, "p2_survivors": _survivors(), "p2_members": _members(), "p3_found": _P3, "p5_found": _P5}

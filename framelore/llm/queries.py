@@ -22,6 +22,10 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(table(spark, d, "images"))
 
 
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlap_classes(table(spark, d, "images"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return survivors.same_file_pairs(table(spark, d, "images"), table(spark, d, "import_sources"))
 
@@ -108,7 +112,7 @@ def p10_surrogates(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_coverage, p1_report, p2_found, p2_survivors, p2_members, p3_found, p3_labels, p3_unmatched, p3_targets, p5_found, p5_splits, p5_shares,
+        p1_found, p1_coverage, p1_report, p1_classes, p2_found, p2_survivors, p2_members, p3_found, p3_labels, p3_unmatched, p3_targets, p5_found, p5_splits, p5_shares,
         p8_containers, p8_report, p9_mixture, p9_shares, p9_filled, p9_filled_shares, p10_found, p10_redacted, p10_surrogates,
     )
 }

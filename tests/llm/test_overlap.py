@@ -132,13 +132,76 @@ def test_large_groups_are_ranked_in_parts(spark):
     assert survivors.ranked_records(images, sources, per_part=5).where("group_key = 'n/a.jpg'").groupBy("salt").count().count() > 5
 
 
+def test_links_come_from_the_automata(images, monkeypatch):
+    monkeypatch.setattr(overlap, "scan", lambda wanted, texts, hot, shards: texts.sparkSession.createDataFrame([], overlap.HIT_SCHEMA))
+    assert overlap.overlap_pairs(images).count() == 0
+
+
+def test_hot_words_are_spread_over_shards(images):
+    assert sorted(map(str, overlap.overlap_pairs(images, per_shard=1).collect())) == sorted(map(str, overlap.overlap_pairs(images).collect()))
+
+
+def _scanned(passage, text):
+    import pandas as pd
+
+    rows = pd.DataFrame({"kind": [0, 1], "id": [b"p", b"t"], "text": [passage, "name:" + text]})
+    return [(a, b) for out in overlap._scan(iter([rows])) for a, b in zip(out["start"], out["stop"])]
+
+
+def test_intervals():
+    text = "_9_cam070_q90_20230109_072820_1836_2_"
+    assert [text[a:b] for a, b in _scanned("shot:cam070 20230109 072820_1836", text)] == ["_cam070_", "_20230109_072820_1836_"]
+    for other in ("_cam070_5_20230109_072820_1836_", "_cam070_cam071_20230109_072820_1836_", "_20230109_072820_1836_", "_cam070_20230109_072820_18360_", "_20230109_cam070_072820_1836_", "_cam0701_20230109_072820_1836_"):
+        assert _scanned("shot:cam070 20230109 072820_1836", other) == []
+
+
+def test_names_written_in_other_ways(spark):
+    """Names that the patterns of the SQL twin do not know: recall of true pairs, and none between different shots."""
+    import random
+
+    rnd = random.Random(6)
+    rows, want = [], set()
+    for i in range(150):
+        camera, day, clock, n = rnd.randrange(10, 99), f"{rnd.randrange(1, 28):02d}", f"{rnd.randrange(24):02d}{rnd.randrange(60):02d}{rnd.randrange(60):02d}", rnd.randrange(1, 9999)
+        hexes = "".join(rnd.choice("0123456789abcdef") for _ in range(24))
+        a, b = [
+            (f"s/Kamera-{camera}/2024-05-{day}/{clock[:2]}.{clock[2:4]}.{clock[4:]}.{n:05d}.png", f"t/klein/camera_{camera}_202405{day}T{clock}_{n}-kopie.webp"),
+            (f"s/vid-{hexes}-fr-{n:06d}.jpg", f"t/auswahl/clip_{hexes}_frame_{n}.png"),
+            (f"s/x/DSCN{100000 + i}.JPG", f"t/y/final DSCF-000{100000 + i} (2).tif"),
+            (f"s/caméra {camera}/small/2024_05_{day}/w640/{clock}_{n}.jpg", f"t/CAM{camera}_2024.05.{day}_{clock}_{n:04d}_v2.jpg"),
+        ][i % 4]
+        rows += [_row(10 * i, a), _row(10 * i + 1, b, "val"), _row(10 * i + 2, a.replace(f"{n:05d}", f"{n + 1:05d}").replace(str(100000 + i), str(300000 + i)).replace(hexes, hexes[::-1]).replace(f"caméra {camera}", f"caméra {camera}0"), "test")]
+        want.add((10 * i, 10 * i + 1))
+    got = {tuple(r) for r in overlap.overlap_pairs(spark.createDataFrame(rows, IMAGES)).collect()}
+    assert len(got & want) >= 0.9 * len(want) and not got - want
+
+
+def test_class_rows(images):
+    rows = images.where("image_key is not null").dropDuplicates(["image_key"])
+    links = {r["image_key"]: r["links"] for r in overlap.overlap_classes(rows).collect()}
+    pairs = [tuple(r) for r in overlap.overlap_pairs(rows).collect()]
+    assert links == {k: sum(k in p for p in pairs) for p in pairs for k in p}
+    assert overlap.overlap_classes(images.limit(0)).count() == 0
+
+
 def test_found_on_tables(spark, sf):
-    """All pairs of the test tables against union-find over the same keys."""
+    """All pairs of the test tables against union-find over keys cut out by one pattern each."""
+    import re
+
     from pyspark.sql import functions as F
 
+    from framelore.llm.oracles import SHOT_PATTERNS
+
+    def shot(path):
+        spelled = re.sub(r"[\W_]+", "_", path or "")
+        for kind, pattern in SHOT_PATTERNS:
+            m = re.search(pattern.replace(r"[\p{L}]", r"[^\W\d_]"), spelled)
+            if m:
+                return kind, m.groups()
+        return None
+
     images = spark.read.parquet(f"{sf}/images.parquet")
-    file = keys.file_key(F.col("path"))
-    rows = images.select("image_key", keys.canonical_split(F.col("split")).alias("s"), file.alias("f"), keys.shot_key(file).alias("h"), keys.digest(F.col("sha256")).alias("d")).collect()
+    rows = [{**r.asDict(), "h": shot(r["f"])} for r in images.select("image_key", keys.canonical_split(F.col("split")).alias("s"), keys.file_key(F.col("path")).alias("f"), keys.digest(F.col("sha256")).alias("d")).collect()]
     parent: dict = {}
 
     def find(x):
