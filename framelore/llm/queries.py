@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,7 +108,8 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_surrogates(spark: SparkSession, d: str) -> DataFrame:
-    return pii.surrogate_documents(table(spark, d, "documents"))
+    """The key is the session's ``spark.framelore.surrogateKey``; where it is unset, one made for this run."""
+    return pii.surrogate_documents(table(spark, d, "documents"), spark.conf.get("spark.framelore.surrogateKey", None) or secrets.token_hex(32))
 
 
 QUERIES = {
