@@ -3,7 +3,8 @@
 Method: hierarchical budgeting.  Weights are propagated down a tree (domain,
 source, language); what a node cannot supply is redistributed among its
 siblings before its ancestors; each leaf's budget is met by a token prefix of
-seeded epochs over its texts.
+seeded epochs over its texts.  A prefix ends at a whole text, so it misses its
+budget by part of one; what is left is handed to the source's next leaf.
 
 Scale: the tree has one leaf per (domain, source, language), and only the
 leaves' token sums reach the driver; languages and sources are read in uniform
@@ -15,6 +16,8 @@ source with a third of all texts is never sorted in one task.
 
 from __future__ import annotations
 
+import bisect
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -112,29 +115,38 @@ def budgets(leaf_tokens: dict[tuple[str, str, str], int], targets: dict[str, tup
     return [(dom, s, lang, b, targets[s][1]) for (_, dom, s, lang), b in root.leaves() if b > 0] if root.children else []
 
 
+def scarcity(docs: DataFrame, wanted: dict[str, tuple[float, int]]) -> list[str]:
+    """The target sources, the one with the fewest letters for its share first.  ``docs``: text, source (uniform)."""
+    letters = {r["source"]: r["n"] for r in docs.where(F.col("source").isin(list(wanted))).groupBy("source").agg(F.sum(F.length("text")).alias("n")).collect()}
+    return sorted(wanted, key=lambda s: ((letters.get(s) or 0) * wanted[s][1] / wanted[s][0], s))
+
+
 def mix_documents(docs: DataFrame, targets: DataFrame, total: float | str | None = None, domains: dict[str, str] | None = None, vocabulary: str = VOCABULARY, seed: int = 5) -> DataFrame:
     """(doc_id, source, lang, epoch, tokens): each text as often as it is used, epochs from 0.
 
     A text is used at most once in an epoch and at most ``max_repeats`` times,
-    whichever rows hold it: copies of one text are one text, under its
-    smallest doc_id and that row's source.  Sources without a target are not
-    used.  ``total`` is as in ``budgets``; "all" stands for the tokens of all
-    distinct texts of sources with a target.  Within a leaf the first epochs are whole, the last is a prefix of
-    its seeded order; near the end of the budget a text that no longer fits is
-    passed over.  Null, empty and token-less texts are
-    not used; no targets or no texts give no rows.
+    whichever rows hold it: copies of one text are one text.  Where several
+    sources hold it, it counts for the one that is scarcest for its share, and
+    for one with a target before any without; of that source's rows the
+    smallest doc_id stands for it.  Sources without a target are not used.
+    ``total`` is as in ``budgets``; "all" stands for the tokens of all distinct
+    texts of sources with a target.  Within a leaf the first epochs are whole,
+    the last is a prefix of its seeded order; what it leaves goes to the
+    source's next language, and the last rest to the texts that fit it best
+    (``_prefixes``).  Null, empty and token-less texts are not used; no targets
+    or no texts give no rows.
     """
     spark = docs.sparkSession
-    texts = distinct_texts(docs.select("doc_id", "text", canonical_source(F.col("source")).alias("source"), canonical_language(F.col("lang")).alias("lang")))
-    texts = stage(texts, "mix-texts")
-    counted = with_tokens(texts, vocabulary)
+    wanted = {r["source"]: (float(r["share"]), int(r["repeats"])) for r in targets.where("target_share > 0 and max_repeats > 0").groupBy(canonical_source(F.col("source")).alias("source")).agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("repeats")).collect() if r["source"]}
+    uniform = docs.select("doc_id", "text", canonical_source(F.col("source")).alias("source"), canonical_language(F.col("lang")).alias("lang"))
+    order = F.array(*[F.lit(s) for s in scarcity(uniform, wanted)]).cast("array<string>")
+    place = F.coalesce(F.array_position(order, F.col("source")), F.lit(0))
+    texts = stage(distinct_texts(uniform, F.when(place > 0, place).otherwise(len(wanted) + 1)), "mix-texts")
+    counted = with_tokens(texts.where(F.col("source").isin(list(wanted))), vocabulary)
     names = domains or {}
     domain = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[F.col("source")] if names else F.lit("all")
-    items = stage(
-        texts.drop("text").join(counted, "text_id").where("tokens > 0 and source is not null").withColumn("domain", F.coalesce(domain, F.lit("all"))), "mix-items"
-    )
-    wanted = {r["source"]: (float(r["share"]), int(r["repeats"])) for r in targets.where("target_share > 0 and max_repeats > 0").groupBy(canonical_source(F.col("source")).alias("source")).agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("repeats")).collect() if r["source"]}
-    leaf_tokens = {(r["domain"], r["source"], r["lang"]): r["n"] for r in items.where(F.col("source").isin(list(wanted))).groupBy("domain", "source", "lang").agg(F.sum("tokens").alias("n")).collect()}
+    items = stage(texts.drop("text").join(counted, "text_id").where("tokens > 0").withColumn("domain", F.coalesce(domain, F.lit("all"))), "mix-items")
+    leaf_tokens = {(r["domain"], r["source"], r["lang"]): r["n"] for r in items.groupBy("domain", "source", "lang").agg(F.sum("tokens").alias("n")).collect()}
     plan = budgets(leaf_tokens, wanted, sum(leaf_tokens.values()) if total == "all" else total)
     rows = []
     for dom, s, lang, budget, _ in plan:
@@ -158,20 +170,39 @@ def mix_documents(docs: DataFrame, targets: DataFrame, total: float | str | None
     names_out = ["doc_id", "source", "lang", "epoch", "tokens"]
     inside = placed.where(F.col("before") + F.col("in_bucket") <= F.col("quota"))
     border = placed.where((F.col("before") < F.col("quota")) & (F.col("before") + F.col("in_bucket") > F.col("quota")))
-    cut = border.groupBy(*by_leaf, "bucket").applyInPandas(_prefix, "doc_id bigint, source string, lang string, epoch int, tokens bigint")
+    # One bucket of each of a source's leaves: at most as many as there are languages.
+    cut = border.groupBy("domain", "source").applyInPandas(_prefixes, "doc_id bigint, source string, lang string, epoch int, tokens bigint")
     return inside.select(names_out).unionByName(cut)
 
 
-def _prefix(texts: pd.DataFrame) -> pd.DataFrame:
-    """The one bucket of a leaf in which its budget ends, in seeded order."""
-    texts = texts.sort_values(["draw", "text_id"])
-    room = float(texts["quota"].iloc[0]) - float(texts["before"].iloc[0])
-    taken = []
-    for n in texts["tokens"].tolist():
-        fits = n <= room
-        room -= n if fits else 0
-        taken.append(fits)
-    return texts.loc[taken, ["doc_id", "source", "lang", "epoch", "tokens"]]
+def _prefixes(texts: pd.DataFrame) -> pd.DataFrame:
+    """The buckets in which the budgets of a source's leaves end: a prefix of each in seeded order, up to the text that exceeds it.
+
+    What a prefix leaves of its budget is carried to the next leaf; what the
+    last one leaves, less than one text, is met by those texts behind the
+    prefixes that bring the source closest to its budget, one after another.
+    """
+    leaves = [part.sort_values(["draw", "text_id"]) for _, part in sorted(texts.groupby(["lang", "epoch"]), key=lambda x: x[0])]
+    carry, taken, behind = 0.0, [], []
+    for k, part in enumerate(leaves):
+        carry += float(part["quota"].iloc[0]) - float(part["before"].iloc[0])
+        tokens = part["tokens"].tolist()
+        n = 0
+        while n < len(tokens) and tokens[n] <= carry:
+            carry, n = carry - tokens[n], n + 1
+        taken.append(set(range(n)))
+        behind += [(tokens[i], k, i) for i in range(n, len(tokens))]
+    behind.sort()
+    while behind:
+        at = bisect.bisect(behind, (carry, -1, -1))
+        closest = min(range(max(0, at - 1), min(len(behind), at + 1)), key=lambda j: (abs(carry - behind[j][0]), j))
+        tokens, k, i = behind[closest]
+        if abs(carry - tokens) >= abs(carry):
+            break
+        carry -= tokens
+        taken[k].add(i)
+        del behind[closest]
+    return pd.concat([part.iloc[sorted(chosen)] for part, chosen in zip(leaves, taken)])[["doc_id", "source", "lang", "epoch", "tokens"]]
 
 
 def mix_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:

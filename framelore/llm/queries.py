@@ -83,7 +83,8 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix_documents(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    """The largest mixture in which every source has its share."""
+    return mixing.mix_documents(table(spark, d, "documents"), table(spark, d, "mix_targets"), domains=mixing.DOMAINS)
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:

@@ -6,7 +6,7 @@ import base64
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Where the vocabulary lies; every function takes another path.
@@ -57,17 +57,20 @@ def with_tokens(docs: DataFrame, path: str = VOCABULARY, key: str = "text_id", t
     return docs.select(key, text).mapInPandas(run, f"{key} {dict(docs.dtypes)[key]}, tokens bigint")
 
 
-def distinct_texts(docs: DataFrame) -> DataFrame:
-    """One row per different non-empty text: text_id (digest), the smallest doc_id, its source and lang, and how many rows hold it.
+def distinct_texts(docs: DataFrame, preference: Column | None = None) -> DataFrame:
+    """One row per different non-empty text: text_id (digest), the doc_id, source and lang of the row that stands for it, and how many rows hold it.
 
-    Copies are joined by an aggregate on the digest with map-side combine, so
-    a text that fills a third of all rows is one row per task.
+    Of the rows that hold a text the one with the smallest ``preference``, then
+    the smallest doc_id stands for it.  Copies are joined by an aggregate on
+    the digest with map-side combine, so a text that fills a third of all rows
+    is one row per task.
     """
+    rank = preference if preference is not None else F.lit(0)
     return (
         docs.where("text is not null and length(text) > 0")
         .groupBy(F.sha2("text", 256).alias("text_id"))
         .agg(
-            F.min(F.struct("doc_id", "source", "lang")).alias("first"),
+            F.min(F.struct(rank.alias("rank"), F.coalesce("doc_id", F.lit(2**63 - 1)).alias("order"), F.col("doc_id"), F.col("source"), F.col("lang"))).alias("first"),
             F.any_value("text").alias("text"),
             F.count("*").alias("copies"),
         )
