@@ -14,6 +14,7 @@ from framelore.functions import geometry as G
 RING = "array<struct<x: double, y: double>>"
 CELL = 256.0  # pixels of a cell of the hit test
 MAX_RINGS, MAX_VERTICES = 256, 2048
+IN_ROW = 64  # an instance of up to as many edges is compared inside its row, a larger one by bands; the result is the same
 
 
 def rings_from_values(value: Column) -> Column:
@@ -34,52 +35,113 @@ def metrics(rings: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
+def _finite(ring: Column) -> Column:
+    return F.forall(ring, lambda p: p.x.isNotNull() & p.y.isNotNull() & ~F.isnan(p.x) & ~F.isnan(p.y) & (F.abs(p.x) < F.lit(float("inf"))) & (F.abs(p.y) < F.lit(float("inf"))))
+
+
 def ring_fault(ring: Column) -> Column:
     """Why a ring by itself is not valid, or null: few points, not finite, repeated, no area, doubling back."""
     after = G.next_points(ring)
     over = G.next_points(after)
     back = F.zip_with(F.arrays_zip(ring.alias("a"), after.alias("b")), over, lambda p, c: (G.cross(p.a, p.b, c) == 0) & ((p.a.x - p.b.x) * (c.x - p.b.x) + (p.a.y - p.b.y) * (c.y - p.b.y) > 0))
-    finite = F.forall(ring, lambda p: p.x.isNotNull() & p.y.isNotNull() & ~F.isnan(p.x) & ~F.isnan(p.y) & (F.abs(p.x) < F.lit(float("inf"))) & (F.abs(p.y) < F.lit(float("inf"))))
     return (
         F.when(ring.isNull() | (F.size(ring) < 3), "too_few_points")
-        .when(~finite, "not_finite")
+        .when(~_finite(ring), "not_finite")
         .when(F.size(F.array_distinct(ring)) != F.size(ring), "repeated_vertex")
         .when(F.abs(G.signed_area2(ring)) < 1e-8, "no_area")
         .when(F.exists(back, lambda b: b), "doubles_back")
     )
 
 
-def edges(rings: DataFrame, key: list[str]) -> DataFrame:
-    """One row per edge: key, ring number, edge number, ring size, ends a and b."""
-    pairs = F.arrays_zip(F.col("ring").alias("a"), G.next_points(F.col("ring")).alias("b"))
-    return rings.select(*key, "ring_no", F.size("ring").alias("n"), F.posexplode(pairs).alias("edge_no", "e")).select(*key, "ring_no", "n", "edge_no", F.col("e.a").alias("a"), F.col("e.b").alias("b"))
+def _sizes(rings: DataFrame, key: list[str]) -> DataFrame:
+    """Rings and points per instance."""
+    return rings.groupBy(*key).agg(F.count("*").alias("_rings"), F.sum(F.greatest(F.size("ring"), F.lit(0))).alias("_points"))
+
+
+def _instances(rings: DataFrame, sizes: DataFrame, key: list[str]) -> DataFrame:
+    """One row per instance within the limits: its rings in order and the first of their faults.
+
+    The limits are applied before the rings are brought together, so what is
+    collected is at most 2,048 points.
+    """
+    fit = sizes.where((F.col("_rings") <= MAX_RINGS) & (F.col("_points") <= MAX_VERTICES)).select(*key, "_points")
+    rows = rings.join(fit, key).groupBy(*key, "_points").agg(F.sort_array(F.collect_list(F.struct("ring_no", "ring"))).alias("rings"))
+    return rows.withColumn("_ring", F.array_min(F.transform("rings", lambda r: ring_fault(r.ring))))
+
+
+def _with_edges(instances: DataFrame) -> DataFrame:
+    """``edges`` (ring_no, n, edge_no, a, b) in order; a ring with a coordinate that is not finite has none."""
+    numbered = lambda r: F.transform(
+        F.arrays_zip(r.ring.alias("a"), G.next_points(r.ring).alias("b")), lambda e, i: F.struct(r.ring_no.alias("ring_no"), F.size(r.ring).alias("n"), i.alias("edge_no"), e.a.alias("a"), e.b.alias("b"))
+    )
+    return instances.withColumn("edges", F.flatten(F.transform(F.filter("rings", lambda r: F.coalesce(_finite(r.ring), F.lit(False))), numbered)))
+
+
+def _clash(e: Column, f: Column) -> Column:
+    """Edge ``f``, which comes after ``e``, meets it without being its neighbour."""
+    near = (e.ring_no == f.ring_no) & ((f.edge_no - e.edge_no == 1) | (e.edge_no == 0) & (f.edge_no == e.n - 1))
+    return ~near & G.segments_meet(e.a, e.b, f.a, f.b)
+
+
+def _after(i: Column) -> Column:
+    return F.slice("edges", i + 2, F.greatest(F.size("edges") - i - 1, F.lit(0)))
+
+
+def _conflicts_in_row(instances: DataFrame, key: list[str]) -> DataFrame:
+    pair = lambda e, f: F.struct(e.ring_no.alias("ring_a"), e.edge_no.alias("edge_a"), f.ring_no.alias("ring_b"), f.edge_no.alias("edge_b"))
+    pairs = F.flatten(F.transform("edges", lambda e, i: F.transform(F.filter(_after(i), lambda f: _clash(e, f)), lambda f: pair(e, f))))
+    return instances.select(*key, F.explode(pairs).alias("p")).select(*key, "p.*")
+
+
+def _conflicts_by_bands(instances: DataFrame, key: list[str]) -> DataFrame:
+    """Edges are laid on as many horizontal bands as the root of their number; those of one band meet by equality.
+
+    A pair counts in the first band that both touch, so it comes once.
+    """
+    low, high = (lambda e: F.least(e.a.y, e.b.y)), (lambda e: F.greatest(e.a.y, e.b.y))
+    bands = F.ceil(F.sqrt(F.size("edges"))).cast("int")
+    rows = instances.withColumns({"_k": bands, "_y": F.array_min(F.transform("edges", low)), "_top": F.array_max(F.transform("edges", high))})
+    height = (F.col("_top") - F.col("_y")) / F.col("_k")
+    at = lambda y: F.when(F.col("_h") > 0, F.least(F.col("_k") - 1, F.greatest(F.lit(0), F.floor((y - F.col("_y")) / F.col("_h")).cast("int")))).otherwise(F.lit(0))
+    laid = rows.withColumn("_h", height).select(*key, "_k", "_y", "_h", F.explode("edges").alias("e")).withColumn("_lo", at(low(F.col("e")))).withColumn("_hi", at(high(F.col("e"))))
+    laid = laid.select(*key, "e", "_lo", F.explode(F.sequence("_lo", "_hi")).alias("_band"))
+    left = laid.select(*key, "_band", F.col("e").alias("e"), F.col("_lo").alias("_lo_e"))
+    right = laid.select(*key, "_band", F.col("e").alias("f"), F.col("_lo").alias("_lo_f"))
+    e, f = F.col("e"), F.col("f")
+    later = (e.ring_no < f.ring_no) | (e.ring_no == f.ring_no) & (e.edge_no < f.edge_no)
+    met = left.join(right, [*key, "_band"]).where(later & (F.col("_band") == F.greatest("_lo_e", "_lo_f")) & _clash(e, f))
+    return met.select(*key, e.ring_no.alias("ring_a"), e.edge_no.alias("edge_a"), f.ring_no.alias("ring_b"), f.edge_no.alias("edge_b"))
 
 
 def edge_conflicts(rings: DataFrame, key: list[str]) -> DataFrame:
     """Pairs of edges of one instance that meet without being neighbours: key, ring and edge numbers of both.
 
-    An instance has at most 2048 vertices, so its edges are a bounded group;
-    they are compared inside the row by expressions, after the boxes.
+    Instances beyond the limits have no pairs (``faults`` names them), nor
+    have rings with a coordinate that is not finite.
     """
-    ends = edges(rings, key)
-    left = ends.select(*key, *[F.col(c).alias(f"{c}_1") for c in ("ring_no", "n", "edge_no", "a", "b")])
-    right = ends.select(*key, *[F.col(c).alias(f"{c}_2") for c in ("ring_no", "n", "edge_no", "a", "b")])
-    later = (F.col("ring_no_1") < F.col("ring_no_2")) | (F.col("ring_no_1") == F.col("ring_no_2")) & (F.col("edge_no_1") < F.col("edge_no_2"))
-    near = (F.col("ring_no_1") == F.col("ring_no_2")) & ((F.col("edge_no_2") - F.col("edge_no_1") == 1) | (F.col("edge_no_1") == 0) & (F.col("edge_no_2") == F.col("n_1") - 1))
-    meet = G.segments_meet(F.col("a_1"), F.col("b_1"), F.col("a_2"), F.col("b_2"))
-    return left.join(right, key).where(later & ~near & meet).select(*key, F.col("ring_no_1").alias("ring_a"), F.col("edge_no_1").alias("edge_a"), F.col("ring_no_2").alias("ring_b"), F.col("edge_no_2").alias("edge_b"))
+    instances = _with_edges(_instances(rings, _sizes(rings, key), key))
+    return _conflicts_in_row(instances.where(F.col("_points") <= IN_ROW), key).unionByName(_conflicts_by_bands(instances.where(F.col("_points") > IN_ROW), key))
 
 
 def faults(rings: DataFrame, key: list[str]) -> DataFrame:
-    """Every instance with ``fault``: the first of ring faults, crossing edges, rings inside rings; null if valid."""
-    alone = rings.groupBy(*key).agg(F.min(ring_fault(F.col("ring"))).alias("_ring"), F.count("*").alias("_rings"), F.sum(F.size("ring")).alias("_points"))
-    crossing = edge_conflicts(rings, key).select(*key).distinct().withColumn("_cross", F.lit(True))
-    first = rings.select(*key, F.col("ring_no").alias("other_no"), F.get("ring", F.lit(0)).alias("p"))
-    inside = (
-        rings.join(first, key).where("ring_no <> other_no").where(G.ring_contains(F.col("ring"), F.col("p.x"), F.col("p.y"))).select(*key).distinct().withColumn("_inside", F.lit(True))
-    )
-    fault = F.when((F.col("_rings") > MAX_RINGS) | (F.col("_points") > MAX_VERTICES), "too_large").when(F.col("_ring").isNotNull(), F.col("_ring")).when(F.col("_cross"), "edges_meet").when(F.col("_inside"), "ring_in_ring")
-    return alone.join(crossing, key, "left").join(inside, key, "left").select(*key, fault.alias("fault"))
+    """Every instance with ``fault``: too large, the first of ring faults, crossing edges, rings inside rings; null if valid.
+
+    Sizes come first: an instance beyond the limits is never brought together,
+    and one with a faulty ring is not searched for crossings.
+    """
+    sizes = _sizes(rings, key)
+    instances = _with_edges(_instances(rings, sizes, key))
+    sound = F.col("_ring").isNull()
+    crossing = F.when(sound & (F.col("_points") <= IN_ROW), F.exists(F.transform("edges", lambda e, i: F.exists(_after(i), lambda f: _clash(e, f))), lambda met: met))
+    first = lambda r: F.get(r.ring, F.lit(0))
+    inside = F.exists("rings", lambda r: F.exists("rings", lambda o: (r.ring_no != o.ring_no) & G.ring_contains(r.ring, first(o).x, first(o).y)))
+    judged = instances.select(*key, F.col("_ring"), crossing.alias("_cross"), F.when(sound & (F.size("rings") > 1), inside).alias("_inside"))
+    wide = _conflicts_by_bands(instances.where(F.col("_points") > IN_ROW).where(sound), key).select(*key).distinct().withColumn("_wide", F.lit(True))
+    fault = (
+        F.when((F.col("_rings") > MAX_RINGS) | (F.col("_points") > MAX_VERTICES), "too_large").when(F.col("_ring").isNotNull(), F.col("_ring"))
+        .when(F.col("_cross") | F.col("_wide"), "edges_meet").when(F.col("_inside"), "ring_in_ring")
+    )
+    return sizes.join(judged, key, "left").join(wide, key, "left").select(*key, fault.alias("fault"))
 
 
 def hit_test(points: DataFrame, shapes: DataFrame, key: str = "image_key") -> DataFrame:
