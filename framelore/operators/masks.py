@@ -103,9 +103,15 @@ def pixel_lookup(points: DataFrame, tiles: DataFrame, key: list[str]) -> DataFra
 
 
 def tiles_from_counts(counts, width: int, height: int) -> list[tuple[int, int, list[int]]]:
-    """(x, y, counts) of the tiles that a column-major picture mask occupies; never allocates the picture."""
-    if width * height > MAX_PIXELS:
-        raise ValueError("a picture of more than 2^32 - 1 pixels has no column-major runs")
+    """(x, y, counts) of the tiles that a column-major picture mask occupies; never allocates the picture.
+
+    Raises ``ValueError`` with the code of what is wrong; the table operators
+    turn it into a rejected row.
+    """
+    if width <= 0 or height <= 0 or width * height > MAX_PIXELS:
+        raise ValueError("picture_too_large" if width > 0 and height > 0 else "no_size")
+    if len(counts) == 0 or min(counts) < 0 or sum(counts) != width * height:
+        raise ValueError("runs_do_not_cover_picture")
     stops = np.cumsum(np.asarray(counts, dtype=np.int64))
     starts = stops - np.asarray(counts, dtype=np.int64)
     tiles: dict[tuple[int, int], np.ndarray] = {}
@@ -118,7 +124,7 @@ def tiles_from_counts(counts, width: int, height: int) -> list[tuple[int, int, l
             if pixels is None:
                 pixels = tiles[at] = np.zeros((TILE, TILE), dtype=bool)
                 if len(tiles) > MAX_TILES:
-                    raise ValueError("the mask occupies too many tiles")
+                    raise ValueError("too_many_tiles")
             pixels[row - at[1] : bottom - at[1], column - at[0]] = True
             start += bottom - row
     return [(x, y, runs_of(tiles[x, y])) for y, x in sorted((y, x) for x, y in tiles)]
@@ -138,9 +144,11 @@ def pixels_of(counts) -> np.ndarray:
 
 
 def counts_from_tiles(tiles: list[tuple[int, int, list[int]]], width: int, height: int) -> list[int]:
-    """Column-major runs of the whole picture; columns without tiles cost nothing."""
-    if width * height > MAX_PIXELS:
-        raise ValueError("a picture of more than 2^32 - 1 pixels has no column-major runs")
+    """Column-major runs of the whole picture; columns without tiles cost nothing.  Raises ``ValueError`` with a code."""
+    if width <= 0 or height <= 0 or width * height > MAX_PIXELS:
+        raise ValueError("picture_too_large" if width > 0 and height > 0 else "no_size")
+    if any(min(c) < 0 or sum(c) != MASK_PIXELS for _, _, c in tiles):
+        raise ValueError("invalid_tile")
     spans: list[np.ndarray] = []
     for x, y, counts in tiles:
         block = pixels_of(counts)[: max(0, height - y), : max(0, width - x)].T  # columns first
@@ -163,43 +171,89 @@ def counts_from_tiles(tiles: list[tuple[int, int, list[int]]], width: int, heigh
     return runs[:-1] if runs[-1] == 0 else runs
 
 
-def to_column_major(tiles: DataFrame) -> DataFrame:
-    """(object_id, counts) from (object_id, width, height, x, y, counts).
+def _whole_number(value) -> int:
+    return 0 if pd.isna(value) else int(value)
+
 
-    Objects stream through their partition in order; one object's tiles (at
-    most 4096) are held at a time.
+def _by_object(tiles: DataFrame, result: str, done) -> DataFrame:
+    """``done(object_id, width, height, tiles or None)`` for each object of (object_id, width, height, x, y, counts), as rows of ``result``.
+
+    Objects stream through their partition in order; one object's tiles are
+    held at a time, and none of one that has more than ``MAX_TILES``: it gets
+    None for its tiles.  Rows without an object are left out.
     """
-    kind = dict(tiles.dtypes)["object_id"]
     names = ["object_id", "width", "height", "x", "y", "counts"]
+    columns = ["object_id", *(c.split()[0] for c in result.split(", "))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, size, held = None, (0, 0), []
+        current, size, held, seen = None, (0, 0), [], 0
+        out: list[tuple] = []
+
+        def finish():
+            if seen:
+                out.extend(done(current, *size, held if seen <= MAX_TILES else None))
+
         for b in batches:
-            out = []
             for o, w, h, x, y, c in zip(*[b[n].tolist() for n in names]):
                 if o != current:
-                    if held:
-                        out.append((current, counts_from_tiles(held, *size)))
-                    current, size, held = o, (w, h), []
-                held.append((x, y, c))
-            yield pd.DataFrame(out, columns=["object_id", "counts"])
-        if held:
-            yield pd.DataFrame([(current, counts_from_tiles(held, *size))], columns=["object_id", "counts"])
+                    finish()
+                    current, size, held, seen = o, (_whole_number(w), _whole_number(h)), [], 0
+                seen += 1
+                if seen <= MAX_TILES:
+                    held.append((x, y, c))
+                else:
+                    held = []
+            if len(out) > 1000:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
+        finish()
+        if out:
+            yield pd.DataFrame(out, columns=columns)
 
     parts = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = tiles.where("object_id is not null").select(*names).repartition(parts, "object_id").sortWithinPartitions("object_id", "y", "x")
-    return placed.mapInPandas(run, f"object_id {kind}, counts array<bigint>")
+    return placed.mapInPandas(run, f"object_id {dict(tiles.dtypes)['object_id']}, {result}")
+
+
+def to_column_major(tiles: DataFrame) -> DataFrame:
+    """(object_id, counts, fault) from (object_id, width, height, x, y, counts).
+
+    ``fault`` is null for a good mask; a picture beyond 2^32 - 1 pixels or
+    without a size, a mask of more than 4,096 tiles and a broken tile give a
+    row with null counts and the reason.
+    """
+
+    def done(key, width, height, held):
+        try:
+            if held is None or any(c is None for _, _, c in held):
+                raise ValueError("too_many_tiles" if held is None else "invalid_tile")
+            return [(key, counts_from_tiles(held, width, height), None)]
+        except ValueError as e:
+            return [(key, None, str(e))]
+
+    return _by_object(tiles, "counts array<bigint>, fault string", done)
 
 
 def from_column_major(masks: DataFrame) -> DataFrame:
-    """(object_id, x, y, counts) from (object_id, width, height, counts), in batches without a shuffle."""
+    """(object_id, x, y, counts, fault) from (object_id, width, height, counts), in batches without a shuffle.
+
+    A mask that cannot be read (no or too large a picture, runs that do not
+    cover it, more than 4,096 tiles) gives one row without a tile and the
+    reason in ``fault``.  A mask without foreground has no row.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(o, x, y, c) for o, w, h, runs in zip(b["object_id"], b["width"], b["height"], b["counts"]) for x, y, c in tiles_from_counts(runs, int(w), int(h))]
-            yield pd.DataFrame(out, columns=["object_id", "x", "y", "counts"])
+            out = []
+            for o, w, h, runs in zip(b["object_id"], b["width"], b["height"], b["counts"]):
+                try:
+                    out += [(o, x, y, c, None) for x, y, c in tiles_from_counts([] if runs is None else runs, _whole_number(w), _whole_number(h))]
+                except ValueError as e:
+                    out.append((o, None, None, None, str(e)))
+            rows = pd.DataFrame(out, columns=["object_id", "x", "y", "counts", "fault"])
+            yield rows.astype({"x": "Int32", "y": "Int32"})
 
-    return masks.select("object_id", "width", "height", "counts").mapInPandas(run, f"object_id {dict(masks.dtypes)['object_id']}, x int, y int, counts array<int>")
+    return masks.select("object_id", "width", "height", "counts").mapInPandas(run, f"object_id {dict(masks.dtypes)['object_id']}, x int, y int, counts array<int>, fault string")
 
 
 # --- editing pixels of one instance ---------------------------------------------
@@ -299,6 +353,24 @@ def edit(pixels: np.ndarray, operation: str, radius: int) -> np.ndarray:
     return done
 
 
+def nearest_parts(pixels: np.ndarray, keep: int = 2) -> list[np.ndarray]:
+    """The ``keep`` largest connected parts; every smaller part goes to the one whose pixels are nearest (the first of equally near)."""
+    labels, count = components(pixels)
+    if count <= 1:
+        return [pixels] if count else []
+    sizes = np.bincount(labels.ravel())[1:]
+    order = sorted(range(1, count + 1), key=lambda k: (-sizes[k - 1], k))
+    chosen, strays = sorted(order[:keep]), order[keep:]
+    parts = [labels == k for k in chosen]
+    spots = [np.argwhere(p) for p in parts]
+    for k in strays:
+        mine = np.argwhere(labels == k)
+        # Distances in blocks of rows, so memory stays at the size of the window.
+        far = [min(int(((mine[i : i + 64, None, :] - s[None, :, :]) ** 2).sum(2).min()) for i in range(0, len(mine), 64)) for s in spots]
+        parts[int(np.argmin(far))] |= labels == k
+    return parts
+
+
 def split_by_line(pixels: np.ndarray, a: tuple[float, float], b: tuple[float, float]) -> list[np.ndarray]:
     """The parts on either side of a cut line; every pixel goes to exactly one part, strays to the nearest."""
     y, x = np.indices(pixels.shape)
@@ -308,20 +380,28 @@ def split_by_line(pixels: np.ndarray, a: tuple[float, float], b: tuple[float, fl
 
 
 def rasterize(rings: list[list[tuple[float, float]]], width: int, height: int) -> np.ndarray:
-    """Pixels whose centre lies in any ring (even-odd per ring, scan line by scan line)."""
+    """Pixels whose centre lies in any ring (even-odd per ring).
+
+    Each edge turns the parity of its rows from its crossing on; the running
+    parity along a row tells inside from outside.
+    """
     out = np.zeros((height, width), dtype=bool)
     for ring in rings:
-        pts = np.asarray(ring, dtype=float)
-        nxt = np.roll(pts, -1, axis=0)
-        for row in range(max(0, int(np.floor(pts[:, 1].min()))), min(height, int(np.ceil(pts[:, 1].max())) + 1)):
-            yc = row + 0.5
-            crossing = (pts[:, 1] > yc) != (nxt[:, 1] > yc)
-            if not crossing.any():
-                continue
-            p, q = pts[crossing], nxt[crossing]
-            xs = np.sort(p[:, 0] + (yc - p[:, 1]) * (q[:, 0] - p[:, 0]) / (q[:, 1] - p[:, 1]))
-            for x1, x2 in xs.reshape(-1, 2):
-                out[row, max(0, int(np.ceil(x1 - 0.5))) : max(0, int(np.ceil(x2 - 0.5)))] = True
+        p = np.asarray(ring, dtype=float)
+        q = np.roll(p, -1, axis=0)
+        first = np.clip(np.ceil(np.minimum(p[:, 1], q[:, 1]) - 0.5), 0, height).astype(np.int64)
+        stop = np.clip(np.ceil(np.maximum(p[:, 1], q[:, 1]) - 0.5), 0, height).astype(np.int64)
+        count = stop - first
+        if not count.any():
+            continue
+        edge = np.repeat(np.arange(len(p)), count)
+        row = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + first[edge]
+        x = p[edge, 0] + (row + 0.5 - p[edge, 1]) * (q[edge, 0] - p[edge, 0]) / (q[edge, 1] - p[edge, 1])
+        column = np.clip(np.ceil(x - 0.5), 0, width).astype(np.int64)
+        top, bottom, left, right = row.min(), row.max() + 1, column.min(), column.max()
+        turns = np.zeros((bottom - top, right - left + 1), dtype=np.uint8)
+        np.bitwise_xor.at(turns, (row - top, column - left), 1)
+        out[top:bottom, left:right] |= np.bitwise_xor.accumulate(turns, axis=1)[:, :-1].astype(bool)
     return out
 
 
@@ -332,3 +412,140 @@ def stroke(pixels: np.ndarray, a: tuple[float, float], b: tuple[float, float], r
     t = np.clip(((x - a[0]) * dx + (y - a[1]) * dy) / ((dx * dx + dy * dy) or 1.0), 0, 1)
     hit = (x - a[0] - t * dx) ** 2 + (y - a[1] - t * dy) ** 2 <= radius * radius
     return pixels & ~hit if erase else pixels | hit
+
+
+# --- editing tables of masks --------------------------------------------------------
+
+WINDOW_PIXELS = 4_194_304  # the largest stretch of a picture that is edited at once
+
+
+def _window(held: list[tuple[int, int, list[int]]], width: int, height: int, margin: int) -> tuple[int, int, np.ndarray]:
+    """(left, top, pixels) of the tiles with ``margin`` pixels around, inside the picture."""
+    left, top = max(0, min(x for x, _, _ in held) - margin), max(0, min(y for _, y, _ in held) - margin)
+    right, bottom = min(width, max(x for x, _, _ in held) + TILE + margin), min(height, max(y for _, y, _ in held) + TILE + margin)
+    if right <= left or bottom <= top:
+        raise ValueError("outside_picture")
+    if (right - left) * (bottom - top) > WINDOW_PIXELS:
+        raise ValueError("window_too_large")
+    pixels = np.zeros((bottom - top, right - left), dtype=bool)
+    for x, y, counts in held:
+        if min(counts) < 0 or sum(counts) != MASK_PIXELS:
+            raise ValueError("invalid_tile")
+        block = pixels_of(counts)[: max(0, min(TILE, bottom - y)), : max(0, min(TILE, right - x))]
+        pixels[y - top : y - top + block.shape[0], x - left : x - left + block.shape[1]] |= block
+    return left, top, pixels
+
+
+def window_tiles(pixels: np.ndarray, left: int, top: int) -> list[tuple[int, int, list[int]]]:
+    """Tiles with foreground of a stretch of a picture that begins at (left, top)."""
+    out = []
+    for y in range(top // TILE * TILE, top + pixels.shape[0], TILE):
+        for x in range(left // TILE * TILE, left + pixels.shape[1], TILE):
+            tile = np.zeros((TILE, TILE), dtype=bool)
+            part = pixels[max(0, y - top) : max(0, y - top + TILE), max(0, x - left) : max(0, x - left + TILE)]
+            tile[max(0, top - y) : max(0, top - y) + part.shape[0], max(0, left - x) : max(0, left - x) + part.shape[1]] = part
+            if tile.any():
+                out.append((x, y, runs_of(tile)))
+    return out
+
+
+def _reshaped(tiles: DataFrame, margin: int, change) -> DataFrame:
+    """(object_id, part, x, y, counts, fault): ``change(pixels, left, top)`` gives the parts an object becomes."""
+
+    def done(key, width, height, held):
+        try:
+            if held is None or any(c is None for _, _, c in held):
+                raise ValueError("too_many_tiles" if held is None else "invalid_tile")
+            left, top, pixels = _window(held, width, height, margin)
+            return [(key, n, x, y, c, None) for n, part in enumerate(change(pixels, left, top)) for x, y, c in window_tiles(part, left, top)]
+        except ValueError as e:
+            return [(key, None, None, None, None, str(e))]
+
+    return _by_object(tiles, "part int, x int, y int, counts array<int>, fault string", done)
+
+
+def edit_masks(tiles: DataFrame, operation: str, radius: int) -> DataFrame:
+    """Masks smoothed, shrunk or expanded by ``radius``: (object_id, part, x, y, counts, fault) from (object_id, width, height, x, y, counts).
+
+    An edit that would close a hole or lose all pixels, a broken tile and a
+    mask over the limits give one row with the reason in ``fault``; the mask
+    then stays as it was.
+    """
+    return _reshaped(tiles, radius, lambda pixels, left, top: [edit(pixels, operation, radius)])
+
+
+def split_masks(tiles: DataFrame, line: tuple[float, float, float, float] | None = None, parts: int = 2) -> DataFrame:
+    """Masks split along a line (x1, y1, x2, y2 in pixels of the picture) or, without one, into their ``parts`` largest connected parts.
+
+    Smaller parts go to the nearest of these, so every pixel is in exactly one
+    part; a mask in one piece stays part 0.
+    """
+    if line is None:
+        return _reshaped(tiles, 0, lambda pixels, left, top: nearest_parts(pixels, parts))
+    x1, y1, x2, y2 = line
+    return _reshaped(tiles, 0, lambda pixels, left, top: split_by_line(pixels, (x1 - left, y1 - top), (x2 - left, y2 - top)))
+
+
+def paint_masks(tiles: DataFrame, a: tuple[float, float], b: tuple[float, float], radius: float, erase: bool = False) -> DataFrame:
+    """Masks with a brush stroke from ``a`` to ``b`` set or, with ``erase``, cleared; a mask left without pixels has no row.
+
+    A stroke paints within the mask's own tiles and as far around them as it
+    is wide.
+    """
+    return _reshaped(tiles, int(np.ceil(radius)) + 1, lambda pixels, left, top: [stroke(pixels, (a[0] - left, a[1] - top), (b[0] - left, b[1] - top), radius, erase)])
+
+
+def shape_counts(tiles: DataFrame) -> DataFrame:
+    """(object_id, pixels, parts, holes, fault): size, connected parts and holes of each mask."""
+
+    def done(key, width, height, held):
+        try:
+            if held is None or any(c is None for _, _, c in held):
+                raise ValueError("too_many_tiles" if held is None else "invalid_tile")
+            pixels = _window(held, width, height, 0)[2]
+            return [(key, int(pixels.sum()), components(pixels)[1], holes(pixels), None)]
+        except ValueError as e:
+            return [(key, None, None, None, str(e))]
+
+    return _by_object(tiles, "pixels bigint, parts bigint, holes bigint, fault string", done)
+
+
+def rasterize_rings(shapes: DataFrame) -> DataFrame:
+    """(object_id, x, y, counts, fault): tiles of the pixels whose centres lie in the rings, from (object_id, width, height, rings).
+
+    Rings may cross themselves or leave the picture: the part inside it is
+    kept.  Each ring is drawn in its own extent, so an object costs what it
+    covers; an extent over 4,194,304 pixels, rings without a finite coordinate
+    and shapes without a pixel give one row with the reason.
+    """
+
+    def draw(rings, width: int, height: int) -> list[tuple[int, int, list[int]]]:
+        if width <= 0 or height <= 0:
+            raise ValueError("no_size")
+        points = [[(p["x"], p["y"]) for p in r] for r in (rings if rings is not None else []) if r is not None and len(r) >= 3]
+        flat = np.array([v for r in points for p in r for v in p], dtype=float)
+        if not len(flat) or not np.isfinite(flat).all():
+            raise ValueError("no_ring" if not len(flat) else "not_finite")
+        left, top = int(max(0, np.floor(flat[::2].min()))), int(max(0, np.floor(flat[1::2].min())))
+        right, bottom = int(min(width, np.ceil(flat[::2].max()))), int(min(height, np.ceil(flat[1::2].max())))
+        if right <= left or bottom <= top:
+            raise ValueError("outside_picture")
+        if (right - left) * (bottom - top) > WINDOW_PIXELS:
+            raise ValueError("window_too_large")
+        pixels = rasterize([[(x - left, y - top) for x, y in r] for r in points], right - left, bottom - top)
+        if not pixels.any():
+            raise ValueError("no_pixel")
+        return window_tiles(pixels, left, top)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for o, w, h, rings in zip(b["object_id"], b["width"], b["height"], b["rings"]):
+                try:
+                    out += [(o, x, y, c, None) for x, y, c in draw(rings, _whole_number(w), _whole_number(h))]
+                except ValueError as e:
+                    out.append((o, None, None, None, str(e)))
+            yield pd.DataFrame(out, columns=["object_id", "x", "y", "counts", "fault"]).astype({"x": "Int32", "y": "Int32"})
+
+    parts = int(shapes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # drawing costs more than moving the rings
+    return shapes.select("object_id", "width", "height", "rings").repartition(parts, "object_id").mapInPandas(run, f"object_id {dict(shapes.dtypes)['object_id']}, x int, y int, counts array<int>, fault string")

@@ -60,11 +60,17 @@ def _sampled(points: DataFrame, frames: DataFrame, limits: DataFrame) -> DataFra
 
 
 def sample_interval(frames: DataFrame, limits: DataFrame, step: float) -> DataFrame:
-    """Frames nearest to lower, lower + step, ... up to upper; videos that would need 1000 or more points are left out."""
-    steps = F.floor((F.col("upper") - F.col("lower")) / step)
-    points = limits.where("upper >= lower").withColumn("_n", steps).where(F.col("_n") < MAX_SAMPLES)
-    points = points.select("video_id", "lower", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n"))).alias("point_id"))
-    return _sampled(points.select("video_id", "point_id", (F.col("lower") + F.col("point_id") * step).alias("at")), frames, limits)
+    """Frames nearest to lower, lower + step, ... up to upper: video_id, frame_index, ts, fault.
+
+    A video that would need more than 1,000 points is refused: one row without
+    a frame and the reason.  A range that ends before it starts has no row.
+    """
+    asked = limits.where("upper >= lower").withColumn("_n", F.floor((F.col("upper") - F.col("lower")) / step))
+    points = asked.where(F.col("_n") < MAX_SAMPLES).select("video_id", "lower", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n"))).alias("point_id"))
+    taken = _sampled(points.select("video_id", "point_id", (F.col("lower") + F.col("point_id") * step).alias("at")), frames, limits).withColumn("fault", F.lit(None).cast("string"))
+    types = dict(taken.dtypes)
+    refused = asked.where(F.col("_n") >= MAX_SAMPLES).select("video_id", *[F.lit(None).cast(types[c]).alias(c) for c in ("frame_index", "ts")], F.lit("too_many_samples").alias("fault"))
+    return taken.unionByName(refused)
 
 
 def sample_count(frames: DataFrame, limits: DataFrame, count: int) -> DataFrame:

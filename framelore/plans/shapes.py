@@ -95,7 +95,23 @@ def mask_column_major(spark, d):
     """Row-major tiles to column-major runs of the picture and back."""
     tiles = _tiles(spark, d).select(F.col("ann_key").alias("object_id"), F.lit(512).alias("width"), F.lit(256).alias("height"), "x", "y", "counts")
     back = M.from_column_major(M.to_column_major(tiles).select("object_id", F.lit(512).alias("width"), F.lit(256).alias("height"), "counts"))
-    return back.select(F.col("object_id").alias("ann_key"), "x", "y", F.array_join(F.col("counts").cast("array<string>"), ",").alias("counts"))
+    return back.select(F.col("object_id").alias("ann_key"), "x", "y", F.array_join(F.col("counts").cast("array<string>"), ",").alias("counts"), "fault")
+
+
+def mask_raster(spark, d):
+    """Pixels and tiles of each box drawn as a ring of its picture."""
+    sized = table(spark, d, "images").select("image_key", "width", "height")
+    ring = F.expr("array(transform(array(array(x1, y1), array(x2, y1), array(x2, y2), array(x1, y2)), p -> named_struct('x', p[0], 'y', p[1])))")
+    drawn = M.rasterize_rings(_boxes(spark, d).join(sized, "image_key").select(F.col("ann_key").alias("object_id"), "width", "height", ring.alias("rings")))
+    pixels = F.aggregate(M.foreground_runs(F.col("counts")), F.lit(0).cast("bigint"), lambda n, r: n + r.length)
+    return drawn.groupBy(F.col("object_id").alias("ann_key")).agg(F.sum(pixels).alias("pixels"), F.count("x").alias("tiles"), F.max("fault").alias("fault"))
+
+
+def mask_erase(spark, d):
+    """Pixels left of each mask after a brush has gone along the upper border of the picture."""
+    tiles = _tiles(spark, d).select(F.col("ann_key").alias("object_id"), F.lit(512).alias("width"), F.lit(256).alias("height"), "x", "y", "counts")
+    left = M.paint_masks(tiles, (0.0, 0.0), (512.0, 0.0), 2.6, erase=True)
+    return M.metrics(left.select(F.col("object_id").alias("ann_key"), "x", "y", "counts"), ["ann_key"]).select("ann_key", F.col("area").alias("pixels"))
 
 
 def document_polygons(spark, d):
@@ -165,6 +181,12 @@ select image_key, x, y, c || case when e < 16384 then ',' || (16384 - e) else ''
 select p.ann_key, coalesce(bool_or(px // 128 * 128 = x and py * 128 + px % 128 >= s and py * 128 + px % 128 < s + n), false) as inside from p join runs r on p.ann_key = r.ann_key group by 1""",
     "coco_rle_round_trip": f"""with {_SQL_TILES}, v as (select *, 16384 - r0 - r1 - r2 - r3 as r4 from t)
 select ann_key, ({_GROUPS("r0")} + {_GROUPS("r1")} + {_GROUPS("r2")} + {_GROUPS("(r3 - r1)")} + {_GROUPS("(r4 - r2)")})::int as length, {_SQL_COUNTS} as counts from v""",
-    "mask_column_major": f"with {_SQL_TILES} select ann_key, x, y, {_SQL_COUNTS} as counts from t",
+    "mask_raster": """with b as (select ann_key, image_key, bbox[1] as x1, bbox[2] as y1, bbox[3] as x2, bbox[4] as y2 from annotations where len(bbox) = 4 and bbox[3] > bbox[1] and bbox[4] > bbox[2]),
+r as (select ann_key, width, height, greatest(0, floor(x1)) as l, greatest(0, floor(y1)) as t, least(width, ceil(x2)) as r, least(height, ceil(y2)) as e,
+  greatest(0, ceil(x1 - 0.5)) as px, greatest(0, ceil(y1 - 0.5)) as py, least(width, ceil(x2 - 0.5)) as qx, least(height, ceil(y2 - 0.5)) as qy from b join images using (image_key)),
+f as (select *, case when coalesce(width, 0) <= 0 or coalesce(height, 0) <= 0 then 'no_size' when r <= l or e <= t then 'outside_picture' when (r - l) * (e - t) > 4194304 then 'window_too_large' when qx <= px or qy <= py then 'no_pixel' end as fault from r)
+select ann_key, case when fault is null then ((qx - px) * (qy - py))::bigint end as pixels, case when fault is null then ((floor((qx - 1) / 128) - floor(px / 128) + 1) * (floor((qy - 1) / 128) - floor(py / 128) + 1))::bigint else 0 end as tiles, fault from f""",
+    "mask_erase": f"with {_SQL_TILES}, px as (select ann_key, s + unnest(range(0, n)) as o from runs) select ann_key, count(*) as pixels from px where o // 128 >= 3 group by 1",
+    "mask_column_major": f"with {_SQL_TILES} select ann_key, x, y, {_SQL_COUNTS} as counts, null::varchar as fault from t",
 }
 QUERIES = {n: globals()[n] for n in [*ORACLES, "document_polygons", "document_masks"]}

@@ -45,7 +45,7 @@ def frame_nearest(spark, d):
 
 def sample_interval(spark, d, step: float = 100000.0):
     f = _frames(spark, d)
-    return L.sample_interval(f, _limits(f), step).select("video_id", "frame_index")
+    return L.sample_interval(f, _limits(f), step).select("video_id", "frame_index", "fault")
 
 
 def sample_count(spark, d, count: int = 9):
@@ -174,7 +174,8 @@ b as (select p.video_id, p.point_id, g.frame_index, g.ts from p asof left join g
 select a.video_id, a.point_id, case when b.ts is null then a.frame_index when a.ts is null or b.ts - a.at < a.at - a.ts then b.frame_index else a.frame_index end as frame_index
 from a join b on a.video_id = b.video_id and a.point_id = b.point_id where a.ts is not null or b.ts is not null""",
     "sample_interval": f"""with {_SQL_FRAMES}, p as (select video_id, k as point_id, lower + k * 100000.0::double as at from (select *, unnest(range(0, floor((upper - lower) / 100000.0::double)::bigint + 1)) as k from lim where floor((upper - lower) / 100000.0::double) < 1000)), {_SQL_NEAR}
-select distinct video_id, frame_index from near where n = 1""",
+select distinct video_id, frame_index, null::varchar as fault from near where n = 1
+union all select video_id, null, 'too_many_samples' from lim where floor((upper - lower) / 100000.0::double) >= 1000""",
     "sample_count": f"""with {_SQL_FRAMES}, p as (select video_id, k as point_id, lower + (upper - lower) * k / 8 as at from (select *, unnest(range(0, 9)) as k from lim)), {_SQL_NEAR} select distinct video_id, frame_index from near where n = 1""",
     "sample_events": f"""with {_SQL_FRAMES}, p as (select f.video_id, f.event_id as point_id, f.ts + 0.5 as at from f join lim using (video_id) where event_type = 'error' and f.ts + 0.5 >= lower and f.ts + 0.5 <= upper), {_SQL_NEAR}
 select distinct f.video_id, f.frame_index from near join f on near.video_id = f.video_id and abs(f.frame_index - near.frame_index) <= 1 where n = 1""",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+import uuid
 from dataclasses import dataclass
 
 import pandas as pd
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 from framelore.functions.text import portable_path
 from framelore.operators.boxes import clean_box
+from framelore.tables import stage
 
 ISSUE = "file string, code string, location string, message string, severity string"
 
@@ -33,22 +36,45 @@ def read_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     return rows.select(F.substring_index(name, base, -1).alias("file"), F.regexp_replace("value", "^﻿", "").alias("content"))
 
 
-def save_files(files: DataFrame, root: str) -> None:
-    """Writes (file, content) under a folder that all executors share: each file to a name of its own, then renamed."""
+def save_files(files: DataFrame, root: str) -> DataFrame:
+    """Writes (file, content) under a folder that all executors share, and returns (file, bytes, digest) of what was written.
+
+    ``root`` is a path or a URI of any file system that Arrow knows (file, hdfs,
+    s3, gs).  Each file goes to a name of its own and is then moved, so readers
+    never see half of one, and a task that runs again writes the same file.
+    Names that are not portable are left out.
+    """
+    uri = root if "://" in root else f"file://{os.path.abspath(root)}"
 
     def run(batches):
+        from pyarrow import fs
+
+        place, base = fs.FileSystem.from_uri(uri)
         for batch in batches:
+            out = []
             for name, content in zip(batch["file"], batch["content"]):
-                target = os.path.join(root, name)
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                part = f"{target}.{os.getpid()}.part"
-                with open(part, "w", encoding="utf-8") as out:
-                    out.write(content)
-                os.replace(part, target)
-            yield pd.DataFrame({"n": [len(batch)]})
+                target = f"{base.rstrip('/')}/{name}"
+                place.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                part, body = f"{target}.{uuid.uuid4().hex}.part", content.encode()
+                with place.open_output_stream(part) as stream:
+                    stream.write(body)
+                place.move(part, target)
+                out.append((name, len(body), hashlib.sha256(body).hexdigest()))
+            yield pd.DataFrame(out, columns=["file", "bytes", "digest"])
 
     good = files.where(portable_path(F.col("file")))
-    good.mapInPandas(run, "n bigint").agg(F.sum("n")).collect()
+    return stage(good.select("file", "content").mapInPandas(run, "file string, bytes bigint, digest string"), "saved-files")
+
+
+def changed_since_saved(written: DataFrame, found: DataFrame) -> DataFrame:
+    """Files of a package that are missing, new or of other content than when they were written: file, fault.
+
+    ``written`` as ``save_files`` returns it, ``found`` (file, content) as
+    ``read_files`` does.
+    """
+    now = found.select("file", F.sha2("content", 256).alias("now"))
+    fault = F.when(F.col("now").isNull(), "missing").when(F.col("digest").isNull(), "unexpected").when(F.col("now") != F.col("digest"), "changed")
+    return written.select("file", "digest").join(now, "file", "full_outer").select("file", fault.alias("fault")).where("fault is not null")
 
 
 def take_objects(rows: DataFrame, images: DataFrame, box: list[Column], fault: Column) -> tuple[DataFrame, DataFrame]:

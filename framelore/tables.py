@@ -18,12 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    ``spark.checkpoint.dir`` as the cluster set it; only where it is unset (a
-    local session) a temporary folder is made and set for the session.
+    ``spark.checkpoint.dir`` as the cluster set it.  Only a local session may
+    leave it unset: a temporary folder is then made and set for it.  Executors
+    on other machines would not see that folder, so elsewhere this is an error.
     """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="framelore-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         found = f"file://{folder}"
@@ -31,6 +34,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _session_dir(spark: SparkSession) -> str:
+    """This session's own part of the shared folder."""
+    return f"{shared_dir(spark)}/framelore/{spark.sparkContext.applicationId}"
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -39,7 +47,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     table that nothing reads any more.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/framelore/{label}-{uuid.uuid4().hex}"
+    path = f"{_session_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._framelore_path = path
@@ -63,8 +71,8 @@ def unstage(df: DataFrame | None) -> None:
 
 
 def clear_stage(spark: SparkSession) -> None:
-    """Remove all staged tables of this shared folder, once the results that read them are written."""
-    _remove(spark, f"{shared_dir(spark)}/framelore")
+    """Remove all staged tables of this session, once the results that read them are written; those of other sessions stay."""
+    _remove(spark, _session_dir(spark))
 
 
 def blocks_for(rows: int, per_block: int, least: int = 1) -> int:

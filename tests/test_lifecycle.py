@@ -232,11 +232,112 @@ def test_sampling(spark):
     assert {r["point_id"]: r["frame_index"] for r in near.collect()} == {1: 1, 2: 3}
 
 
-def test_sample_cap(spark):
+def test_too_many_samples_are_refused(spark):
     f = spark.createDataFrame([("v", i, float(i)) for i in range(0, 1001, 100)], "video_id string, frame_index bigint, ts double")
     lim = lambda b: spark.createDataFrame([("v", 0.0, b)], "video_id string, lower double, upper double")
-    assert timeline.sample_interval(f, lim(999.5), 1.0).count() > 0
-    assert timeline.sample_interval(f, lim(1000.0), 1.0).count() == 0
+    assert {r["fault"] for r in timeline.sample_interval(f, lim(999.5), 1.0).collect()} == {None}
+    assert [tuple(r) for r in timeline.sample_interval(f, lim(1000.0), 1.0).collect()] == [("v", None, None, "too_many_samples")]
+
+
+def _mask_rows(pixels, key):
+    return [(key, pixels.shape[1], pixels.shape[0], x, y, c) for x, y, c in masks.window_tiles(pixels, 0, 0)]
+
+
+MASKS = "object_id string, width int, height int, x int, y int, counts array<int>"
+
+
+def _pictures(rows, height=300, width=400):
+    out: dict = {}
+    for r in rows:
+        if r["fault"] is None:
+            block = out.setdefault((r["object_id"], r["part"]), np.zeros((512, 512), dtype=bool))
+            block[r["y"] : r["y"] + 128, r["x"] : r["x"] + 128] |= masks.pixels_of(r["counts"])
+    return {k: v[:height, :width] for k, v in out.items()}
+
+
+def test_masks_are_edited_as_tables(spark):
+    """Edits of windows give what the edit of the whole picture gives."""
+    rng = np.random.default_rng(3)
+    blob = np.zeros((300, 400), dtype=bool)
+    blob[100:200, 90:260] = True
+    blob |= masks.dilate(rng.random(blob.shape) < 0.0004, 4) & (np.indices(blob.shape)[1] > 60)
+    ring = np.zeros((300, 400), dtype=bool)
+    ring[10:60, 10:60] = True
+    ring[30:34, 30:34] = False
+    dot = np.zeros((300, 400), dtype=bool)
+    dot[299, 399] = True
+    tiles = spark.createDataFrame(_mask_rows(blob, "blob") + _mask_rows(ring, "ring") + _mask_rows(dot, "dot") + [("broken", 400, 300, 0, 0, [5]), ("nosize", None, 300, 0, 0, [16384]), ("none", 400, 300, 0, 0, None)], MASKS)
+    for operation, change in (("expand", masks.dilate), ("shrink", masks.erode), ("smooth", masks.smooth)):
+        rows = masks.edit_masks(tiles, operation, 3).collect()
+        faults = {r["object_id"]: r["fault"] for r in rows if r["fault"]}
+        assert faults["broken"] == "invalid_tile" and faults["nosize"] == "outside_picture" and faults["none"] == "invalid_tile"
+        got = _pictures(rows)
+        if masks.holes(change(blob, 3)) >= masks.holes(blob):
+            assert (got["blob", 0] == change(blob, 3)).all()
+        assert "ring" in faults if operation == "expand" else True
+    assert (_pictures(masks.paint_masks(tiles, (20, 20), (300, 250), 7.5).collect())["blob", 0] >= blob).all()
+    counts = {r["object_id"]: (r["pixels"], r["parts"], r["holes"]) for r in masks.shape_counts(tiles).collect() if r["fault"] is None}
+    assert counts["ring"] == (2484, 1, 1) and counts["dot"] == (1, 1, 0) and counts["blob"] == (int(blob.sum()), masks.components(blob)[1], masks.holes(blob))
+
+
+def test_masks_are_split_as_tables(spark):
+    picture = np.zeros((300, 400), dtype=bool)
+    picture[10:90, 10:90] = picture[100:200, 200:320] = True
+    picture[95:97, 95:97] = picture[250:252, 390:392] = True
+    tiles = spark.createDataFrame(_mask_rows(picture, "m"), MASKS)
+    for parts in (_pictures(masks.split_masks(tiles).collect()), _pictures(masks.split_masks(tiles, (150.0, 0.0, 150.0, 300.0)).collect())):
+        assert len(parts) == 2 and (parts["m", 0] | parts["m", 1]).sum() == picture.sum() and not (parts["m", 0] & parts["m", 1]).any()
+    near = _pictures(masks.split_masks(tiles).collect())
+    assert near["m", 0][96, 96] and near["m", 1][251, 391]
+
+
+def test_rings_are_drawn_as_tables(spark):
+    ring = lambda *p: [{"x": float(x), "y": float(y)} for x, y in p]
+    rows = [("square", 400, 300, [ring((10, 10), (200, 10), (200, 140), (10, 140))]), ("out", 400, 300, [ring((-50, -50), (20, -50), (20, 30), (-50, 30))]), ("bow", 400, 300, [ring((0, 0), (100, 100), (100, 0), (0, 100))]), ("away", 400, 300, [ring((500, 0), (600, 0), (600, 9))]), ("none", 400, 300, None), ("nan", 400, 300, [ring((0, 0), (float("nan"), 1), (2, 2))]), ("huge", 10**5, 10**5, [ring((0, 0), (90000, 0), (90000, 90000))])]
+    got = masks.rasterize_rings(spark.createDataFrame(rows, "object_id string, width int, height int, rings array<array<struct<x: double, y: double>>>")).collect()
+    area: dict = {}
+    for r in got:
+        if r["fault"] is None:
+            area[r["object_id"]] = area.get(r["object_id"], 0) + int(masks.pixels_of(r["counts"]).sum())
+    assert area["square"] == 190 * 130 and area["out"] == 20 * 30 and 4900 <= area["bow"] <= 5100
+    assert {r["object_id"]: r["fault"] for r in got if r["fault"]} == {"away": "outside_picture", "none": "no_ring", "nan": "not_finite", "huge": "window_too_large"}
+
+
+def test_column_major_rejects_single_masks(spark):
+    rows = [("good", 300, 260, [10, 5, 77985]), ("large", 100000, 100000, [10**10]), ("short", 300, 260, [1, 2]), ("null", 300, 260, None)]
+    got = masks.from_column_major(spark.createDataFrame(rows, "object_id string, width int, height int, counts array<bigint>")).collect()
+    assert {r["object_id"]: r["fault"] for r in got} == {"good": None, "large": "picture_too_large", "short": "runs_do_not_cover_picture", "null": "runs_do_not_cover_picture"}
+    tiles = spark.createDataFrame([("good", 512, 256, 0, 0, [0, 16384]), ("large", 100000, 100000, 0, 0, [0, 16384]), ("bad", 512, 256, 0, 0, [3])] + [("many", 2**15, 2**15, 128 * (i % 256), 128 * (i // 256), [0, 16384]) for i in range(4097)], MASKS)
+    assert {r["object_id"]: r["fault"] for r in masks.to_column_major(tiles).collect()} == {"good": None, "large": "picture_too_large", "bad": "invalid_tile", "many": "too_many_tiles"}
+
+
+def test_large_rings_by_bands_and_beyond_the_limit(spark):
+    """Pairs of edges of large instances against brute force; a ring of a million points is only counted."""
+    import math
+    import random
+
+    rnd = random.Random(4)
+    star = [(100 * math.cos(2.4 * i) + rnd.random(), 100 * math.sin(2.4 * i)) for i in range(90)]
+    plain = [(100 * math.cos(0.06 * i), 100 * math.sin(0.06 * i)) for i in range(100)]
+    flat = [(float(i), 0.0) for i in range(70)]
+    rings = spark.createDataFrame([("star", 0, star), ("plain", 0, plain), ("flat", 0, flat)], "k string, ring_no int, ring array<struct<x: double, y: double>>")
+
+    def meet(a, b, c, d):
+        cross = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+        apart = any(max(a[i], b[i]) < min(c[i], d[i]) or max(c[i], d[i]) < min(a[i], b[i]) for i in (0, 1))
+        return not apart and cross(a, b, c) * cross(a, b, d) <= 0 and cross(c, d, a) * cross(c, d, b) <= 0
+
+    want = set()
+    for key, ring in (("star", star), ("plain", plain), ("flat", flat)):
+        n = len(ring)
+        for i in range(n):
+            for j in range(i + 1, n):
+                if j - i != 1 and not (i == 0 and j == n - 1) and meet(ring[i], ring[(i + 1) % n], ring[j], ring[(j + 1) % n]):
+                    want.add((key, i, j))
+    assert {(r["k"], r["edge_a"], r["edge_b"]) for r in polygons.edge_conflicts(rings, ["k"]).collect()} == want
+    assert {r["k"]: r["fault"] for r in polygons.faults(rings, ["k"]).collect()} == {"star": "edges_meet", "plain": None, "flat": "no_area"}
+    long = spark.range(1).select(F.lit("long").alias("k"), F.lit(0).alias("ring_no"), F.transform(F.sequence(F.lit(0), F.lit(10**6)), lambda i: F.struct(i.cast("double").alias("x"), F.sqrt(i.cast("double")).alias("y"))).alias("ring"))
+    assert [r["fault"] for r in polygons.faults(long.unionByName(rings.limit(0)), ["k"]).collect()] == ["too_large"]
 
 
 def test_document_faults(spark):
