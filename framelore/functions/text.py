@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Keys that never leave the house, as a pattern and as whole names; what counts as a local path.
 PRIVATE_KEY = r"(?i)password|secret|token|api.?key|authorization|ai_adapter|base_url|source_file|source_sha256|annotation_path"
@@ -107,3 +112,23 @@ def quote_path(value: Column) -> Column:
 def xml_safe(value: Column) -> Column:
     """Only characters that XML 1.0 allows."""
     return ~value.rlike(r"[^\x{9}\x{A}\x{D}\x{20}-\x{D7FF}\x{E000}-\x{FFFD}\x{10000}-\x{10FFFF}]")
+
+
+def _canonical(body: str | None) -> str | None:
+    """Fixed format: keys in order, ", " and ": " between, other letters escaped; None for what is no JSON or holds NaN."""
+    try:
+        return hashlib.sha256(json.dumps(json.loads(body), sort_keys=True, allow_nan=False).encode()).hexdigest()
+    except (TypeError, ValueError, RecursionError):
+        return None
+
+
+@F.pandas_udf(StringType())
+def document_digest(bodies: pd.Series) -> pd.Series:
+    """Digest of a JSON text that does not depend on the order of keys or blanks; null where there is none."""
+    return bodies.map(_canonical)
+
+
+def time_text(seconds: Column) -> Column:
+    """MM:SS.mmm of a time; null, NaN and negative times are 00:00.000."""
+    ms = F.rint(F.greatest(F.lit(0.0), F.coalesce(F.nanvl(seconds, F.lit(0.0)), F.lit(0.0))) * 1000).cast("bigint")
+    return F.format_string("%02d:%06.3f", F.floor(ms / 60000), (ms % 60000) / 1000)

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 NODE_SCHEMA = "doc_key bigint, type string, pre bigint, post bigint, depth int, object_id string, ordinal int, value string"
 # The node types that have a table of their own.
 CHILD_TYPES = ["ring", "tile", "origin"]
+FIELD_TYPES = ["attribute", "lineage"]  # entries of an object's attributes, and of its provenance beside the imports
 _OBJECT_FIELDS = ("kind", "category_id", "label", "polygons", "mask", "provenance", "bbox")
 
 
@@ -117,7 +118,13 @@ def walk_document(doc_key, body: str | None, values: bool = True) -> list[tuple]
             children += [leaf("tile", object_id, i, t) for i, t in enumerate(_records(mask.get("tiles"), ("counts", "x", "y")))]
         if isinstance(origin, dict):
             children += [leaf("origin", object_id, i, o) for i, o in enumerate(_records(origin.get("imports"), ("source", "name", "source_id")))]
-        flat = {k: v for k, v in x.items() if k not in ("polygons", "mask", "provenance")}
+        if values:
+            attributes = _decoded(x.get("attributes"))
+            if isinstance(attributes, dict):
+                children += [leaf("attribute", object_id, i, pair) for i, pair in enumerate(attributes.items())]
+            if isinstance(origin, dict):
+                children += [leaf("lineage", object_id, i, pair) for i, pair in enumerate((k, v) for k, v in origin.items() if k != "imports")]
+        flat = {k: v for k, v in x.items() if k not in ("polygons", "mask", "provenance", "attributes")}
         return lambda: emit("object", 1, object_id, ordinal, dump(flat), children)
 
     image = _decoded(doc.get("image"))
@@ -130,8 +137,9 @@ def walk_document(doc_key, body: str | None, values: bool = True) -> list[tuple]
 def node_table(docs: DataFrame, values: bool = True) -> DataFrame:
     """Every node of ``docs`` (doc_key, body): type, interval labels pre and post, depth, object_id, ordinal, value (JSON).
 
-    The document is the root, its objects lie in it, and rings, tiles and
-    origins lie in their object.  Only an object's own fields count, in
+    The document is the root, its objects lie in it, and rings, tiles,
+    origins, attributes and the other entries of the provenance (video, line)
+    lie in their object; these last two are left out without ``values``.  Only an object's own fields count, in
     whatever form they are stored (list, map by id, single record, JSON in a
     string, flat coordinates).  Null, empty and broken bodies, and bodies that
     are not a JSON object, have no nodes; nesting beyond the parser's depth
@@ -155,7 +163,7 @@ def node_table(docs: DataFrame, values: bool = True) -> DataFrame:
     return docs.select("doc_key", "body").mapInPandas(run, NODE_SCHEMA)
 
 
-def link_children(nodes: DataFrame) -> DataFrame:
+def link_children(nodes: DataFrame, types: list[str] = CHILD_TYPES) -> DataFrame:
     """Children with the object that contains them.
 
     In order of ``pre`` the containing object is the last one opened, if its
@@ -167,23 +175,34 @@ def link_children(nodes: DataFrame) -> DataFrame:
     return (
         nodes.where(F.col("type") != "document")
         .withColumn("parent", opened)
-        .where(F.col("type").isin(CHILD_TYPES) & (F.col("parent.pre") < F.col("pre")) & (F.col("post") < F.col("parent.post")))
+        .where(F.col("type").isin(types) & (F.col("parent.pre") < F.col("pre")) & (F.col("post") < F.col("parent.post")))
         .select("doc_key", F.col("parent.object_id").alias("object_id"), F.col("type").alias("child"), "ordinal", "value", "pre", "post", F.col("parent.pre").alias("parent_pre"))
     )
 
 
 def flat_tables(docs: DataFrame) -> dict[str, DataFrame]:
-    """Tables objects, rings, tiles and origins with typed columns and their links."""
+    """Tables objects, rings, tiles, origins, attributes and lineage with typed columns and their links.
+
+    ``attributes`` and ``lineage`` have a row per entry: its name, and its
+    value as JSON, or as it is where it is a text.
+    """
     nodes = node_table(docs)
-    children = link_children(nodes)
+    children = link_children(nodes, CHILD_TYPES + FIELD_TYPES)
     obj = F.from_json("value", "kind string, category_id string, label string, confidence string, source string, bbox array<double>")
     objects = nodes.where("type = 'object'").withColumn("o", obj).select("doc_key", "object_id", "ordinal", "pre", "post", "o.kind", F.col("o.category_id").try_cast("int").alias("category_id"), "o.label", "o.bbox", F.col("o.confidence").try_cast("double").alias("confidence"), "o.source")
     tile = F.from_json("value", "x int, y int, counts array<int>")
     origin = F.from_json("value", "source string, name string, source_id string")
     link = ["doc_key", "object_id", "ordinal", "parent_pre"]
+    pair = F.from_json("value", "array<string>")
+
+    def entries(kind: str) -> DataFrame:
+        return children.where(F.col("child") == kind).withColumn("p", pair).select(*link, F.get("p", F.lit(0)).alias("name"), F.get("p", F.lit(1)).alias("value"))
+
     return {
         "objects": objects,
         "rings": children.where("child = 'ring'").select(*link, "value"),
         "tiles": children.where("child = 'tile'").withColumn("t", tile).select(*link, "t.x", "t.y", "t.counts"),
         "origins": children.where("child = 'origin'").withColumn("o", origin).select(*link, "o.source", "o.name", "o.source_id"),
+        "attributes": entries("attribute"),
+        "lineage": entries("lineage"),
     }

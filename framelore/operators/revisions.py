@@ -22,13 +22,14 @@ TASK_KINDS = {"detection": ["bbox"], "instance_segmentation": ["polygon", "mask"
 
 
 def current_documents(docs: DataFrame) -> DataFrame:
-    """The newest document per picture and layer: doc_key, image_key, layer, revision.
+    """The newest document per picture and layer: doc_key, image_key, layer, revision, and digest and base_digest where ``docs`` has them.
 
     By revision, then save time (unknown is earliest), then key; an aggregate, so a picture with
     very many saves is reduced before it is shuffled.
     """
-    newest = F.max(F.struct("revision", "saved_at", "doc_key"))
-    return docs.where("image_key is not null and layer is not null").groupBy("image_key", "layer").agg(newest.alias("m")).select("image_key", "layer", "m.revision", "m.doc_key")
+    extra = [c for c in ("digest", "base_digest") if c in docs.columns]
+    newest = F.max(F.struct("revision", "saved_at", "doc_key", *extra))
+    return docs.where("image_key is not null and layer is not null").groupBy("image_key", "layer").agg(newest.alias("m")).select("image_key", "layer", "m.revision", "m.doc_key", *[f"m.{c}" for c in extra])
 
 
 def effective_revisions(images: DataFrame, docs: DataFrame, include_drafts: bool = True) -> DataFrame:
@@ -36,18 +37,30 @@ def effective_revisions(images: DataFrame, docs: DataFrame, include_drafts: bool
 
     Order: a draft whose base is what is in force without it, a human
     document (an empty one too), a suggestion, a pilot revision, the import's
-    own status, unreviewed.  A draft's base is the revision before its own.
+    own status, unreviewed.
+
+    With ``digest`` (of the document, see ``document_digest``) and
+    ``base_digest`` (of what a draft was made on) in ``docs`` a draft is valid
+    if its base is, letter for letter, what is in force; the digest of an
+    import's own state may be given as ``digest`` in ``images``, and a draft
+    without a base is never valid.  Without these columns a draft's base is
+    the revision before its own.
     """
     now = current_documents(docs)
+    by_digest = {"digest", "base_digest"} <= set(docs.columns)
+    digest = F.col("digest") if by_digest else F.lit(None).cast("string")
+    own = F.col("digest") if by_digest and "digest" in images.columns else F.lit(None).cast("string")
     rank = F.array_position(F.array(*map(F.lit, LAYERS)), F.col("layer"))
-    base = now.where(F.col("layer").isin(LAYERS)).groupBy("image_key").agg(F.min_by(F.struct("layer", "doc_key", "revision"), rank).alias("b"))
+    base = now.where(F.col("layer").isin(LAYERS)).groupBy("image_key").agg(F.min_by(F.struct("layer", "doc_key", "revision", digest.alias("digest")), rank).alias("b"))
     status = F.create_map(*[F.lit(x) for pair in LAYER_STATUS.items() for x in pair])
-    out = images.select("image_key", F.col("status").alias("_import")).join(base, "image_key", "left")
-    out = out.select("image_key", F.coalesce("b.layer", F.lit("import")).alias("layer"), F.col("b.doc_key").alias("doc_key"), F.coalesce("b.revision", F.lit(0)).alias("revision"), F.coalesce(status[F.col("b.layer")], "_import", F.lit("unreviewed")).alias("status"))
+    out = images.select("image_key", F.col("status").alias("_import"), own.alias("_own")).join(base, "image_key", "left")
+    in_force = F.when(F.col("b").isNotNull(), F.col("b.digest")).otherwise(F.col("_own")).alias("_digest")
+    out = out.select("image_key", F.coalesce("b.layer", F.lit("import")).alias("layer"), F.col("b.doc_key").alias("doc_key"), F.coalesce("b.revision", F.lit(0)).alias("revision"), F.coalesce(status[F.col("b.layer")], "_import", F.lit("unreviewed")).alias("status"), in_force)
     if not include_drafts:
-        return out
-    drafts = now.where(F.col("layer") == DRAFTS).select("image_key", F.col("doc_key").alias("_draft"), (F.col("revision") - 1).alias("_base"))
-    valid = F.col("_draft").isNotNull() & (F.col("_base") == F.col("revision"))
+        return out.drop("_digest")
+    made_on = F.col("base_digest") if by_digest else (F.col("revision") - 1)
+    drafts = now.where(F.col("layer") == DRAFTS).select("image_key", F.col("doc_key").alias("_draft"), made_on.alias("_base"))
+    valid = F.coalesce(F.col("_draft").isNotNull() & (F.col("_base") == (F.col("_digest") if by_digest else F.col("revision"))), F.lit(False))
     return out.join(drafts, "image_key", "left").select(
         "image_key", F.when(valid, DRAFTS).otherwise(F.col("layer")).alias("layer"), F.when(valid, F.col("_draft")).otherwise(F.col("doc_key")).alias("doc_key"), "revision", F.when(valid, "ai_suggestion").otherwise(F.col("status")).alias("status")
     )
@@ -139,8 +152,33 @@ def new_suggestions(suggestions: DataFrame, points: DataFrame, ranges: DataFrame
     suggestions (key, entity, frame, label, x1, y1, x2, y2), points (entity,
     frame), ranges (entity, first, last), images (entity, width, height).
     """
-    known = suggestions.join(F.broadcast(names.select(F.col("category_name").alias("label")).distinct()), "label", "left_semi")  # the class catalog
+    known = suggestions.join(names.select(F.col("category_name").alias("label")).distinct(), "label", "left_semi")
     inside = known.join(images, "entity").where("x1 >= 0 and y1 >= 0 and x2 <= width and y2 <= height and x2 > x1 and y2 > y1")
     free = inside.join(points.select("entity", "frame").distinct(), ["entity", "frame"], "left_anti")
     held = within(free, ranges, "entity", "frame", "first", "last").select("key").distinct()
     return free.join(held, "key", "left_anti").select(suggestions.columns)
+
+
+def review_suggestions(items: DataFrame, decisions: DataFrame, bases: DataFrame) -> DataFrame:
+    """Decisions on suggestions applied: every item with its status after it and the ``outcome``.
+
+    ``items`` (entity, item_id, status, base, value digest as ``value``),
+    ``decisions`` (entity, item_id, action accept or reject), ``bases`` (entity,
+    base, values: the current base and the digests in force).  Outcomes:
+    accepted, rejected; unchanged where nothing is decided or the item was
+    decided before, so a repeated decision is harmless; already_there where
+    the base has moved but holds the value; conflict where it has moved and
+    does not (the item stays pending).  Of several decisions on one item
+    rejecting wins.  A decision on an item that does not exist is a row with
+    the outcome unknown_item.
+    """
+    asked = decisions.groupBy("entity", "item_id").agg(F.max("action").alias("action"))
+    rows = items.withColumn("_here", F.lit(True)).join(asked, ["entity", "item_id"], "full_outer").join(bases.withColumnRenamed("base", "_now").withColumnRenamed("values", "_values"), "entity", "left")
+    moved = ~F.col("base").eqNullSafe(F.col("_now"))
+    outcome = (
+        F.when(F.col("_here").isNull(), "unknown_item").when(F.col("action").isNull() | (F.col("status") != "pending"), "unchanged").when(F.col("action") == "reject", "rejected")
+        .when(moved & F.coalesce(F.array_contains("_values", F.col("value")), F.lit(False)), "already_there").when(moved, "conflict").otherwise("accepted")
+    )
+    done = rows.withColumn("outcome", outcome)
+    status = F.when(F.col("outcome").isin("accepted", "already_there"), "accepted").when(F.col("outcome") == "rejected", "rejected").otherwise(F.col("status"))
+    return done.select("entity", "item_id", status.alias("status"), "outcome")

@@ -44,7 +44,13 @@ def p7_tiles(spark: SparkSession, d: str) -> DataFrame:
     return nested.flat_tables(table(spark, d, "annotation_docs"))["tiles"].withColumn("counts", F.to_json("counts"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_objects, p4_skipped, p6_found, p7_found, p7_objects, p7_tiles)}
+def p7_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Attributes and lineage of all objects, entry by entry."""
+    tables = nested.flat_tables(table(spark, d, "annotation_docs"))
+    return tables["attributes"].withColumn("kind", F.lit("attribute")).unionByName(tables["lineage"].withColumn("kind", F.lit("lineage"))).drop("parent_pre")
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_objects, p4_skipped, p6_found, p7_found, p7_objects, p7_tiles, p7_fields)}
 
 _FIELD = '(?:"(?:[^"]|"")*"|[^",]*)'
 _NINE = "^" + ",".join(["(" + _FIELD + ")"] * 9) + "$"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framelore import exports as E
+from framelore.functions.text import document_digest
 from framelore.operators import catalogs as C
 from framelore.operators import revisions as R
 from framelore.operators.preflight import preflight
@@ -23,6 +25,34 @@ def effective_status(spark, d):
     return R.effective_revisions(_images(spark, d), _docs(spark, d)).select("image_key", "layer", "doc_key", "status")
 
 
+def effective_by_digest(spark, d):
+    """As ``effective_status``, drafts judged by the digest of what they were made on.
+
+    The tables hold no base digest, so two of three drafts get that of the
+    document in force without drafts, the others their own.
+    """
+    docs = table(spark, d, "annotation_docs").select("doc_key", "image_key", "layer", "revision", "saved_at", document_digest("body").alias("digest"))
+    base = R.effective_revisions(_images(spark, d), docs, include_drafts=False).select("image_key", "doc_key").join(docs.select("doc_key", F.col("digest").alias("_base")), "doc_key").select("image_key", "_base")
+    made = docs.join(base, "image_key", "left").withColumn("base_digest", F.when(F.col("layer") == R.DRAFTS, F.when(F.col("doc_key") % 3 < 2, F.col("_base")).otherwise(F.reverse("digest"))))
+    return R.effective_revisions(_images(spark, d), made).select("image_key", "layer", "doc_key", "status")
+
+
+def review_outcomes(spark, d):
+    """Decisions on the model's objects; every seventh picture has moved on, some of those hold the value already."""
+    a = table(spark, d, "annotations").where("image_key is not null")
+    items = a.where("source = 'ai_suggestion'").select(F.col("image_key").alias("entity"), F.col("ann_key").alias("item_id"), F.when(F.col("ann_key") % 4 == 0, "accepted").otherwise("pending").alias("status"), F.lit("r1").alias("base"), (F.col("ann_key") % 10).cast("string").alias("value"))
+    decisions = a.where("ann_key % 5 <> 0 and source in ('ai_suggestion', 'imported_coarse')").select(F.col("image_key").alias("entity"), F.col("ann_key").alias("item_id"), F.when(F.col("ann_key") % 3 == 0, "reject").otherwise("accept").alias("action"))
+    bases = a.select(F.col("image_key").alias("entity")).distinct().select("entity", F.when(F.col("entity") % 7 == 0, "r2").otherwise("r1").alias("base"), F.array(F.lit("1"), F.lit("2")).alias("values"))
+    return R.review_suggestions(items, decisions, bases)
+
+
+def source_faults(spark, d):
+    """Pictures against their files, some of which are gone, changed or resized since."""
+    images = _images(spark, d).where("path is not null").groupBy("path").agg(F.min(F.struct("image_key", "width", "height", "sha256")).alias("i")).select("path", "i.*")
+    actual = images.where("image_key % 11 <> 0").select("path", F.when(F.col("image_key") % 13 == 0, F.col("width") + 1).otherwise(F.col("width")).alias("width"), "height", F.when(F.col("image_key") % 17 == 0, F.lit("x")).otherwise(F.col("sha256")).alias("sha256"))
+    return E.source_faults(images, actual)
+
+
 def _snapshot(policy):
     def run(spark, d):
         taken, _ = R.snapshot(_images(spark, d), _docs(spark, d), policy)
@@ -185,6 +215,17 @@ _SQL_CLASSES = "k as (select source_id, unnest(labels) as name, generate_subscri
 _SQL_MAPPING = "mp as (select source_id, unnest(map_keys(category_mapping)) as name, unnest(map_values(category_mapping)) as target from import_sources)"
 ORACLES = {
     "effective_status": f"with {_SQL_EFFECTIVE} select image_key, layer, doc_key, status from full_",
+    "effective_by_digest": f"""with {_SQL_EFFECTIVE}, docs as (select * from annotation_docs),
+judged as (select b.image_key, b.layer, b.doc_key, b.status, n.doc_key as draft from base b left join docs k on k.doc_key = b.doc_key left join now n on n.image_key = b.image_key and n.layer = 'ai_drafts' and n.doc_key % 3 < 2 and json_valid(k.body))
+select image_key, case when draft is not null then 'ai_drafts' else layer end as layer, coalesce(draft, doc_key) as doc_key, case when draft is not null then 'ai_suggestion' else status end as status from judged""",
+    "review_outcomes": """with a as (select * from annotations where image_key is not null),
+i as (select image_key as entity, ann_key as item_id, case when ann_key % 4 = 0 then 'accepted' else 'pending' end as status, ann_key % 10 as v from a where source = 'ai_suggestion'),
+q as (select image_key as entity, ann_key as item_id, case when ann_key % 3 = 0 then 'reject' else 'accept' end as action from a where ann_key % 5 <> 0 and source in ('ai_suggestion', 'imported_coarse')),
+o as (select coalesce(i.entity, q.entity) as entity, coalesce(i.item_id, q.item_id) as item_id, status, case when i.item_id is null then 'unknown_item' when action is null or status <> 'pending' then 'unchanged' when action = 'reject' then 'rejected'
+  when i.entity % 7 = 0 and v in (1, 2) then 'already_there' when i.entity % 7 = 0 then 'conflict' else 'accepted' end as outcome from i full join q on i.entity = q.entity and i.item_id = q.item_id)
+select entity, item_id, case when outcome in ('accepted', 'already_there') then 'accepted' when outcome = 'rejected' then 'rejected' else status end as status, outcome from o""",
+    "source_faults": """with i as (select * from images where path is not null qualify row_number() over (partition by path order by image_key) = 1)
+select * from (select path, case when image_key % 11 = 0 then 'missing' when sha256 is not null and image_key % 17 = 0 then 'content_changed' when image_key % 13 = 0 and width is not null then 'size_changed' end as fault from i) where fault is not null""",
     "snapshot_reviewed": _sql_snapshot("base", "'human_reviewed', 'final_reviewed'"),
     "snapshot_reviewed_or_ai": _sql_snapshot("full_", "'human_reviewed', 'final_reviewed', 'ai_suggestion'"),
     "snapshot_all": _sql_snapshot("full_", "'human_reviewed', 'final_reviewed', 'ai_suggestion', 'imported_coarse'"),

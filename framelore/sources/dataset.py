@@ -30,7 +30,7 @@ class Dataset:
 
 def read_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """(file, content) of the text files under a folder; ``file`` is relative to it."""
-    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("wholetext", True).text(root)
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root, wholetext=True)
     base = "/" + root.split("://")[-1].strip("/") + "/"
     name = F.try_url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     return rows.select(F.substring_index(name, base, -1).alias("file"), F.regexp_replace("value", "^﻿", "").alias("content"))

@@ -17,9 +17,11 @@ from pyspark.sql.types import StringType
 from framelore.functions.geometry import decode_coco_counts, encode_coco_counts
 from framelore.functions.text import label_file, local_file_reference, path_key, portable_path, quote_path
 from framelore.operators import boxes as B
+from framelore.operators import masks as M
+from framelore.operators import polygons as P
 from framelore.operators.catalogs import merge_categories
 from framelore.sources.dataset import Dataset, take_objects
-from framelore.tables import blocks_for
+from framelore.tables import blocks_for, stage
 
 PER_FILE = 5000
 HUMAN = ["human_reviewed", "final_reviewed"]
@@ -154,7 +156,9 @@ def read_coco_shapes(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     shapes (path, object_id, label, width, height, rings, counts): polygons as
     rings without a repeated closing vertex, masks as column-major counts from
     compressed text or number lists.  Runs must be positive except the first,
-    cover the picture and hold foreground.
+    cover the picture and hold foreground.  Polygons that cross themselves or
+    reach out of the picture become one mask of the pixels inside it, with a
+    warning; those that cover no pixel are left out.
     """
     parsed = files.withColumn("d", F.from_json("content", _SEGMENTED)).where("d.images is not null")
     images = parsed.select("file", F.explode("d.images").alias("i")).select("file", F.col("i.id").alias("image_id"), F.col("i.file_name").alias("path"), F.col("i.width").alias("width"), F.col("i.height").alias("height")).dropDuplicates(["file", "image_id"])
@@ -177,9 +181,23 @@ def read_coco_shapes(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(F.col("path").isNull(), "missing_image").when(F.col("label").isNull(), "unknown category").when(s.isNull(), "no segmentation")
         .when(is_runs & ~F.coalesce(good_runs, F.lit(False)), "invalid runs").when(~is_runs & ~F.coalesce(good_rings, F.lit(False)), "invalid polygon")
     )
-    judged = rows.withColumn("fault", fault)
-    shapes = judged.where("fault is null").select("path", F.concat(F.lit("import-"), F.col("id").cast("string")).alias("object_id"), "label", "width", "height", "rings", "counts")
-    return shapes, _issue(judged.where("fault is not null"), "invalid_annotation", F.format_string("annotations[%d]", "pos"), F.col("fault"))
+    judged = stage(rows.withColumn("fault", fault).withColumn("_row", F.concat_ws("\x1f", "file", F.col("pos").cast("string"))), "coco-shapes")
+    polygons = judged.where("fault is null and rings is not null")
+    outside = F.exists("rings", lambda r: F.exists(r, lambda p: (p.x < 0) | (p.y < 0) | (p.x > F.col("width")) | (p.y > F.col("height"))))
+    faulty = P.faults(polygons.select("_row", F.posexplode("rings").alias("ring_no", "ring")), ["_row"]).where("fault is not null").select("_row")
+    redrawn = stage(polygons.where(outside).select("_row").unionByName(faulty).distinct(), "coco-redrawn")
+    sized = polygons.join(redrawn, "_row").select(F.col("_row").alias("object_id"), "width", "height", "rings")
+    drawn = M.rasterize_rings(sized)
+    tiles = drawn.where("fault is null").join(sized.drop("rings"), "object_id").select("object_id", "width", "height", "x", "y", "counts")
+    runs = M.to_column_major(tiles).unionByName(drawn.where("fault is not null").select("object_id", F.lit(None).cast("array<bigint>").alias("counts"), "fault"))
+    runs = stage(runs.select(F.col("object_id").alias("_row"), F.col("counts").alias("_counts"), F.col("fault").alias("_drawn_fault"), F.lit(True).alias("_drawn")), "coco-drawn")
+    done = judged.join(runs, "_row", "left")
+    good = done.where("fault is null and _drawn_fault is null")
+    is_drawn = F.col("_drawn").isNotNull()
+    shapes = good.select("path", F.concat(F.lit("import-"), F.col("id").cast("string")).alias("object_id"), "label", "width", "height", F.when(~is_drawn, F.col("rings")).alias("rings"), F.when(is_drawn, F.col("_counts")).otherwise(F.col("counts")).alias("counts"))
+    at = F.format_string("annotations[%d]", "pos")
+    bad = _issue(done.where("fault is not null or _drawn_fault is not null"), "invalid_annotation", at, F.coalesce("fault", "_drawn_fault"))
+    return shapes, bad.unionByName(_issue(good.where(is_drawn), "polygon_rasterized", at, "polygon crosses itself or leaves the picture; kept as a mask", "warning"))
 
 
 # --- YOLO ---------------------------------------------------------------------

@@ -8,6 +8,7 @@ overwritten, so of two writers that start from one base one fails
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import uuid
@@ -45,8 +46,16 @@ class Warehouse:
         out.write(bytearray(json.dumps(body, sort_keys=True, ensure_ascii=False).encode()))
         out.close()
 
+    def exists(self, name: str) -> bool:
+        return bool(self._fs.exists(self._path(f"{self.root}/{name}")))
+
     def _read(self, name: str) -> dict:
-        return json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.root}/{name}").collect()))
+        """A small JSON file, read by the driver itself: no job."""
+        stream = self._fs.open(self._path(f"{self.root}/{name}"))
+        try:
+            return json.loads(self._jvm.org.apache.hadoop.io.IOUtils.readFullyToByteArray(stream).decode())
+        finally:
+            stream.close()
 
     def pointers(self, dataset: str) -> list[dict]:
         """All pointers of a dataset, oldest first."""
@@ -62,10 +71,9 @@ class Warehouse:
         A ``token`` that was published before returns its revision and writes
         nothing, so a repeated commit is harmless.
         """
-        if token:
-            for p in self.pointers(dataset):
-                if p.get("token") == token:
-                    return p["revision"]
+        token_file = f"{dataset}/tokens/{hashlib.sha256(token.encode()).hexdigest()}.json" if token else None
+        if token_file and self.exists(token_file):
+            return self._read(token_file)["revision"]
         now = self.current(dataset)
         if (now or {}).get("revision") != base:
             raise Conflict(f"{dataset}: base {base} is not current")
@@ -75,6 +83,8 @@ class Warehouse:
         number = len(self._names(f"{dataset}/pointers"))
         pointer = {"revision": revision, "parent": base, "number": number, "at": datetime.now(timezone.utc).isoformat(), "token": token, "note": note or {}}
         self._create(f"{dataset}/pointers/{number:08d}.json", pointer)
+        if token_file:
+            self._create(token_file, {"revision": revision})
         return revision
 
     def table(self, dataset: str, name: str, revision: str | None = None) -> DataFrame:

@@ -9,9 +9,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from framelore import exports
 from framelore.functions import geometry as G
 from framelore.functions import text as T
-from framelore.operators import boxes, catalogs, documents, masks, polygons, routing, timeline, tracks
+from framelore.operators import boxes, catalogs, documents, masks, nested, polygons, revisions, routing, timeline, tracks
 from framelore.sources import media
 from framelore.store import Conflict, Warehouse, broken_assets, mask_assets
 from framelore.streaming.imports import LINES, watch_lines
@@ -32,6 +33,66 @@ def test_publish_is_guarded(spark, tmp_path):
         store.table("d", "images", "../x")
 
 
+def test_exports_start_from_a_frozen_preview(spark, tmp_path):
+    store = Warehouse(spark, f"file://{tmp_path}/w")
+    plans = exports.Exports(store)
+    images = spark.createDataFrame([("a.png", 10, 8, "val", "ab"), ("b.jpg", 5, 5, "unspecified", None)], "path string, width int, height int, split string, sha256 string")
+    objects = spark.createDataFrame([("a.png", "bbox", "x", [1.0, 1.0, 4.0, 4.0], 0.5)], "path string, kind string, label string, bbox array<double>, confidence double")
+    plan = plans.preview("d", images, objects, ["yolo_detection", "native", "yolo_detection"])
+    assert (plan["images"], plan["objects"]) == (2, 1) and [i["code"] for i in plan["formats"]["yolo_detection"]] == ["confidence_sidecar", "unspecified_to_train"]
+    with pytest.raises(ValueError, match="confidence_sidecar"):
+        plans.start("d", plan["preview"], {"yolo_detection": ["unspecified_to_train"]})
+    job = plans.start("d", plan["preview"], {"yolo_detection": ["unspecified_to_train", "confidence_sidecar"]})
+    assert plans.start("d", plan["preview"], {}) == job and job["formats"] == ["native", "yolo_detection"]
+    assert plans.frozen("d", plan["preview"])["images"].count() == 2
+    folder = f"{tmp_path}/w/d/previews/{plan['preview']}/revisions/{plan['revision']}/objects"
+    objects.limit(0).write.mode("overwrite").parquet(f"file://{folder}")
+    spark.catalog.refreshByPath(f"file://{folder}")
+    with pytest.raises(Conflict):
+        plans.frozen("d", plan["preview"])
+    actual = images.withColumn("sha256", F.lit("other"))
+    blocked = plans.preview("d", images, objects, ["native", "nothing"], actual)
+    assert [i["code"] for i in blocked["formats"]["nothing"]] == ["unsupported_format", "source_image_unavailable"]
+    with pytest.raises(ValueError, match="blocked"):
+        plans.start("d", blocked["preview"], {})
+
+
+def test_drafts_follow_the_digest(spark):
+    docs = [(1, 1, "annotations", 4, '{"b": 1, "a": [1, 2.50]}', None), (2, 1, "ai_drafts", 9, "{}", '{"a":[1,2.5],"b":1}'), (3, 2, "annotations", 4, '{"a": 1}', None), (4, 2, "ai_drafts", 5, "{}", '{"a": 2}'), (5, 3, "annotations", 4, "no JSON", None), (6, 3, "ai_drafts", 5, "{}", None)]
+    df = spark.createDataFrame(docs, "doc_key bigint, image_key bigint, layer string, revision int, body string, made_on string").withColumn("saved_at", F.lit(None).cast("timestamp"))
+    df = df.withColumn("digest", T.document_digest("body")).withColumn("base_digest", T.document_digest("made_on"))
+    images = spark.createDataFrame([(i, "unreviewed") for i in (1, 2, 3, 4)], "image_key bigint, status string")
+    got = {r["image_key"]: (r["layer"], r["doc_key"]) for r in revisions.effective_revisions(images, df).collect()}
+    assert got == {1: ("ai_drafts", 2), 2: ("annotations", 3), 3: ("annotations", 5), 4: ("import", None)}
+    assert revisions.effective_revisions(images, df.drop("digest", "base_digest")).where("layer = 'ai_drafts'").count() == 2
+    assert df.select(T.document_digest(F.lit('{"x": NaN}')).alias("d")).first()["d"] is None
+
+
+def test_time_text(spark):
+    rows = spark.createDataFrame([(0.0,), (61.2345,), (6000.0,), (-3.0,), (None,), (59.9999,)], "s double")
+    assert [r[0] for r in rows.select(T.time_text(F.col("s"))).collect()] == ["00:00.000", "01:01.234", "100:00.000", "00:00.000", "00:00.000", "01:00.000"]
+
+
+def test_stage_folders_are_the_sessions_own(spark, tmp_path):
+    import os
+
+    from framelore import tables
+
+    staged = tables.stage(spark.range(3), "mine")
+    other = os.path.join(tables.shared_dir(spark).removeprefix("file://"), "framelore", "another-session")
+    os.makedirs(other)
+    tables.clear_stage(spark)
+    assert os.path.isdir(other) and not os.path.exists(staged._framelore_path.removeprefix("file://"))
+
+
+def test_every_part_of_an_object_has_a_table(spark):
+    body = '{"objects": [{"id": "o", "attributes": {"colour": "red", "n": 3}, "provenance": {"video": {"id": "v"}, "line": 7, "imports": [{"source": "s"}]}, "polygons": [[1, 1, 2, 2, 3, 1]]}, {"id": "p", "attributes": "{\\"k\\": null}", "provenance": null}]}'
+    tables = nested.flat_tables(spark.createDataFrame([(1, body), (2, None), (3, "[]")], "doc_key bigint, body string"))
+    assert sorted((r["object_id"], r["name"], r["value"]) for r in tables["attributes"].fillna("null").collect()) == [("o", "colour", "red"), ("o", "n", "3"), ("p", "k", "null")]
+    assert sorted((r["object_id"], r["name"], r["value"]) for r in tables["lineage"].collect()) == [("o", "line", "7"), ("o", "video", '{"id":"v"}')]
+    assert [tables[t].count() for t in ("objects", "rings", "origins")] == [2, 1, 1]
+
+
 def test_mask_assets(spark):
     df = spark.sql("select 'e' as encoding, 128 as tile_size, array(named_struct('x', x, 'y', 0)) as tiles from values (0), (0), (128) t(x)")
     got = mask_assets(df)
