@@ -166,18 +166,24 @@ def found_passages(records: DataFrame, per_shard: int = PER_SHARD) -> DataFrame:
     spark = records.sparkSession
     texts = stage(records.select(F.explode("texts").alias("t")).select("t.*").distinct().select("id", "text", F.explode("routes").alias("route")), "overlap-texts")
     hot = stage(_spread(texts, per_shard), "overlap-hot")
-    shards = blocks_for(texts.count(), per_shard, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    beside = stage(records.select(F.explode("texts.id").alias("text"), "own").select("text", F.explode("own").alias("p")).select("text", F.col("p.id").alias("id"), F.col("p.text").alias("words"), "p.route").distinct(), "overlap-beside")
+    own = records.select(F.explode("own").alias("p")).select("p.*")
+    beside = records.select(F.explode("texts.id").alias("text"), F.col("own.id").alias("own"))
     wanted = stage(records.where(F.col("split").isin("val", "test")).select(F.explode("own").alias("p")).select("p.*").distinct(), "overlap-wanted")
     found, seen = None, None
-    while wanted.limit(1).count():
-        hits = stage(scan(wanted, texts, hot, shards), "overlap-hits")
+    while True:
+        count = wanted.count()
+        if not count:
+            break
+        # Only texts that can end a wanted passage move; the number of shards follows them.
+        near = stage(texts.join(wanted.select("route").distinct(), "route", "left_semi"), "overlap-near")
+        shards = blocks_for(near.count() + count, per_shard, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        hits = stage(scan(wanted, near, hot, shards), "overlap-hits")
+        unstage(near)
         found = hits if found is None else found.unionByName(hits)
         seen = wanted.select("id") if seen is None else seen.unionByName(wanted.select("id"))
-        reached = beside.join(hits.select("text").distinct(), "text", "left_semi").select("id", F.col("words").alias("text"), "route").distinct()
-        wanted = stage(reached.join(seen, "id", "left_anti"), "overlap-wanted")
+        reached = beside.join(hits.select("text").distinct(), "text", "left_semi").select(F.explode("own").alias("id")).distinct().join(seen, "id", "left_anti")
+        wanted = stage(own.join(stage(reached, "overlap-reached"), "id", "left_semi").distinct(), "overlap-wanted")
     unstage(texts)
-    unstage(beside)
     return found if found is not None else spark.createDataFrame([], HIT_SCHEMA)
 
 
@@ -189,9 +195,9 @@ def classes(records: DataFrame, found: DataFrame) -> DataFrame:
     texts make edges.
     """
     held = found.select("text", "passage").distinct()
-    firsts = records.where(F.size("texts") > 0).select(F.get("texts.id", F.lit(0)).alias("first"), F.explode("texts.id").alias("text")).distinct()
+    firsts = records.where(F.size("texts") > 0).select(F.get("texts.id", F.lit(0)).alias("first"), F.explode("texts.id").alias("text"))
     beside = stage(firsts.join(held, "text").select("first", "passage").distinct(), "overlap-held")
-    shared = beside.groupBy("passage").agg(F.count("*").alias("n"), F.max(F.col("first") == F.col("passage")).alias("alone")).where("n > 1").select("passage")
+    shared = beside.groupBy("passage").agg(F.count("*").alias("n")).where("n > 1").select("passage")
     roots = components(beside.join(shared, "passage", "left_semi").select(F.col("first").alias("a"), F.col("passage").alias("b")), "overlap")
     named = beside.select("first").distinct().join(roots.withColumnRenamed("node", "first"), "first", "left").select("first", F.coalesce("root", "first").alias("class_id"))
     return records.withColumn("first", F.get("texts.id", F.lit(0))).join(named, "first").drop("first")
