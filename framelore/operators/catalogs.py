@@ -1,30 +1,37 @@
 """Class catalogs: merging, mapping and numbering.
 
-Catalogs are small (thousands of classes), so order-dependent numbering is a
-fold over one ordered array or a window over the catalog.
+Numbering by order runs in ranges, since freely entered classes may be many.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelore.tables import stage
 
 
-def first_seen(rows: DataFrame, name: str, order: str) -> DataFrame:
-    """Distinct values with the smallest ``order`` they occur at, numbered from 0 by it.
+def numbered(rows: DataFrame, order: list[str], label: str) -> DataFrame:
+    """``rows`` with ``number``: their place from 0 in ``order``, which must tell all rows apart.
 
-    Freely typed values may be many, so they are numbered in ranges: each
-    range numbers its own rows, and the sizes of the ranges before it are added.
+    Rows are numbered in ranges: each range numbers its own rows, and the sizes
+    of the ranges before it are added, so no task sees all of them.
     """
-    seen = rows.where(F.col(name).isNotNull()).groupBy(name).agg(F.min(order).alias("position"))
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = stage(seen.repartitionByRange(parts, "position", name).withColumn("_part", F.spark_partition_id()), "first-seen")
+    placed = stage(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), label)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    here = F.row_number().over(Window.partitionBy("_part").orderBy("position", name)) - 1
-    return placed.withColumn("_here", here).join(F.broadcast(sizes), "_part").select(name, "position", (F.col("_here") + F.col("_before")).cast("int").alias("number"))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    here = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return placed.withColumn("_here", here).join(F.broadcast(sizes), "_part").withColumn("number", (F.col("_here") + F.col("_before")).cast("int")).drop("_part", "_here", "_before")  # one row per range
+
+
+def first_seen(rows: DataFrame, name: str, order: str) -> DataFrame:
+    """Distinct values with the smallest ``order`` they occur at, numbered from 0 by it; freely typed values may be many."""
+    seen = rows.where(F.col(name).isNotNull()).groupBy(name).agg(F.min(order).alias("position"))
+    return numbered(seen, ["position", name], "first-seen").select(name, "position", "number")
 
 
 def merge_categories(rows: DataFrame) -> DataFrame:
@@ -34,7 +41,8 @@ def merge_categories(rows: DataFrame) -> DataFrame:
     """
     named = rows.withColumn("name", F.trim("name")).where("name <> ''")
     merged = named.groupBy("name").agg(F.min("ord").alias("position"), F.array_sort(F.collect_list(F.struct("ord", "source_id"))).alias("all"))
-    return merged.select((F.row_number().over(Window.orderBy("position", "name")) - 1).alias("category_id"), "name", F.get("all", F.lit(0))["source_id"].alias("source_id"), F.array_join(F.transform("all", lambda s: s["source_id"].cast("string")), ",").alias("source_ids"), (F.size("all") > 1).alias("duplicate"))
+    merged = numbered(merged, ["position", "name"], "categories").withColumnRenamed("number", "category_id")
+    return merged.select("category_id", "name", F.get("all", F.lit(0))["source_id"].alias("source_id"), F.array_join(F.transform("all", lambda s: s["source_id"].cast("string")), ",").alias("source_ids"), (F.size("all") > 1).alias("duplicate"))
 
 
 def append_categories(current: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -46,26 +54,34 @@ def append_categories(current: DataFrame, incoming: DataFrame) -> DataFrame:
     wanted = incoming.select(F.coalesce("target", "name").alias("name"), "ord").where("name is not null")
     fresh = wanted.join(current, "name", "left_anti").groupBy("name").agg(F.min("ord").alias("position"))
     top = current.agg(F.coalesce(F.max("category_id"), F.lit(-1)).alias("top"))
-    numbered = fresh.withColumn("n", F.row_number().over(Window.orderBy("position", "name"))).crossJoin(F.broadcast(top))  # one row
-    return current.select("category_id", "name", F.lit(False).alias("added")).unionByName(numbered.select((F.col("top") + F.col("n")).cast("int").alias("category_id"), "name", F.lit(True).alias("added")))
+    new = numbered(fresh, ["position", "name"], "new-categories").crossJoin(F.broadcast(top))  # one row
+    return current.select("category_id", "name", F.lit(False).alias("added")).unionByName(new.select((F.col("top") + F.col("number") + 1).cast("int").alias("category_id"), "name", F.lit(True).alias("added")))
 
 
 def coco_ids(categories: DataFrame) -> DataFrame:
     """COCO ids in order of ``ord``: the source id if it is not negative and still free, else the smallest free positive number.
 
-    Sequential by definition: one fold over the catalog in order.  Source ids
-    that are negative or taken fall to the smallest number not used so far.
+    Sequential by definition, so one task takes the catalog in order; it does
+    one step per class.  Source ids that are negative or taken fall to the
+    smallest number not used so far.
     """
-    ordered = categories.agg(F.array_sort(F.collect_list(F.struct("ord", "name", F.col("source_id").cast("bigint").alias("source_id")))).alias("c"))
-    state = F.struct(F.array().cast("array<bigint>").alias("used"), F.lit(1).cast("bigint").alias("next"))
-
-    def step(s, c):
-        own = c["source_id"].isNotNull() & (c["source_id"] >= 0) & ~F.array_contains(s["used"], F.coalesce(c["source_id"], F.lit(-1)))
-        free = F.array_min(F.array_except(F.sequence(F.lit(1).cast("bigint"), F.size(s["used"]).cast("bigint") + 1), s["used"]))
-        return F.struct(F.array_append(s["used"], F.when(own, c["source_id"]).otherwise(free)).alias("used"), s["next"].alias("next"))
 
-    done = ordered.select("c", F.aggregate("c", state, step)["used"].alias("ids"))
-    return done.select(F.explode(F.arrays_zip("c", "ids")).alias("z")).select("z.c.name", F.col("z.ids").alias("coco_id"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        used: set[int] = set()
+        least = 1
+        for b in batches:
+            ids = []
+            for own in b["source_id"].tolist():
+                if own is None or own != own or own < 0 or int(own) in used:
+                    while least in used:
+                        least += 1
+                    own = least
+                used.add(int(own))
+                ids.append(int(own))
+            yield pd.DataFrame({"name": b["name"], "coco_id": ids})
+
+    ordered = categories.select("ord", "name", F.col("source_id").cast("bigint").alias("source_id")).repartition(1).sortWithinPartitions("ord", "name", "source_id")
+    return ordered.mapInPandas(run, "name string, coco_id bigint")
 
 
 def merge_label_catalogs(current: DataFrame, incoming: DataFrame) -> DataFrame:

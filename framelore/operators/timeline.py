@@ -1,8 +1,8 @@
 """Frames on an exact timeline: validity, lookup by time, sampling.
 
 ``frames`` has video_id, frame_index and ts (seconds).  Lookups are as-of joins
-written as one union ordered per video, so their cost is a sort and not a
-range join; a video's frames are bounded by the limit of one recording.
+written as one union ordered per stretch of a video, so their cost is a sort
+and not a range join.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 MAX_SAMPLES = 1000
 TOLERANCE = 1e-6
+STRETCH = 3600.0  # seconds of a recording that are ordered together
 
 
 def frame_order(frames: DataFrame) -> DataFrame:
@@ -23,16 +24,33 @@ def frame_order(frames: DataFrame) -> DataFrame:
 
 
 def _neighbours(points: DataFrame, frames: DataFrame) -> DataFrame:
-    """``points`` (video_id, point_id, at) with the last frame at or before and the first at or after each."""
-    f = frames.select("video_id", F.col("ts").alias("at"), F.lit(None).cast(dict(points.dtypes)["point_id"]).alias("point_id"), F.struct("frame_index", "ts").alias("f"))
-    p = points.select("video_id", "at", "point_id", F.lit(None).cast("struct<frame_index: bigint, ts: double>").alias("f"))
-    f = f.withColumn("f", F.struct(F.col("f.frame_index").cast("bigint").alias("frame_index"), F.col("f.ts").cast("double").alias("ts")))
-    both = f.unionByName(p)
+    """``points`` (video_id, point_id, at) with the last frame at or before and the first at or after each.
+
+    A recording is cut into stretches of ``STRETCH`` seconds.  Within one,
+    frames and points are put in order; what lies before and after it comes
+    from the last and first frames of the other stretches, one row each.  So
+    no task holds more than a stretch of a recording, however many points ask
+    for it.
+    """
+    kind = dict(points.dtypes)["point_id"]
+    frame = F.struct(F.col("frame_index").cast("bigint").alias("frame_index"), F.col("ts").cast("double").alias("ts"))
+    f = frames.where("ts is not null").select("video_id", F.col("ts").cast("double").alias("at"), F.lit(None).cast(kind).alias("point_id"), frame.alias("f"))
+    p = points.where("at is not null").select("video_id", F.col("at").cast("double").alias("at"), "point_id", F.lit(None).cast("struct<frame_index: bigint, ts: double>").alias("f"))
+    both = f.unionByName(p).withColumn("stretch", F.floor(F.col("at") / STRETCH).cast("bigint"))
+    place = F.struct("at", F.col("f.frame_index").alias("n"))
+    ends = both.groupBy("video_id", "stretch").agg(F.max_by("f", F.when(F.col("f").isNotNull(), place)).alias("_last"), F.min_by("f", F.when(F.col("f").isNotNull(), place)).alias("_first"))
+    order = Window.partitionBy("video_id").orderBy("stretch")  # one row per stretch
+    ends = ends.select(
+        "video_id", "stretch",
+        F.last("_last", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.first("_first", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+    )
     # At equal times the frame comes first going forward and, read backward, first as well.
-    forward = Window.partitionBy("video_id").orderBy("at", F.col("point_id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    backward = Window.partitionBy("video_id").orderBy(F.col("at").desc(), F.col("point_id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("lo", F.last("f", ignorenulls=True).over(forward)).withColumn("hi", F.last("f", ignorenulls=True).over(backward))
-    return found.where("point_id is not null").select("video_id", "point_id", "at", "lo", "hi")
+    here = Window.partitionBy("video_id", "stretch")
+    forward = here.orderBy("at", F.col("point_id").isNotNull(), "f.frame_index").rowsBetween(Window.unboundedPreceding, 0)
+    backward = here.orderBy(F.col("at").desc(), F.col("point_id").isNotNull(), F.col("f.frame_index").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("lo", F.last("f", ignorenulls=True).over(forward)).withColumn("hi", F.last("f", ignorenulls=True).over(backward)).where("point_id is not null")
+    return found.join(ends, ["video_id", "stretch"]).select("video_id", "point_id", "at", F.coalesce("lo", "_before").alias("lo"), F.coalesce("hi", "_after").alias("hi"))
 
 
 def frame_at(points: DataFrame, frames: DataFrame) -> DataFrame:

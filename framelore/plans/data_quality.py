@@ -61,14 +61,14 @@ def _sql_number(value: str) -> str:
     return f"(case when regexp_matches({value}, '{_NUMBER}') and isfinite(try_cast({value} as double)) then try_cast({value} as double) end)"
 
 
-def _sql_found() -> str:
+def _sql_judged() -> str:
     f = [f"f{i}" for i in range(9)]
     corner = [_sql_number(f"f{i}") for i in range(2, 6)]
     y = [_sql_number(f"y[{i}]") for i in range(2, 6)]
     parts = ", ".join(f"replace(regexp_replace(regexp_replace(regexp_extract(l, '{_NINE}', {i + 1}, 's'), '^\"', ''), '\"$', ''), '\"\"', '\"') as f{i}" for i in range(9))
     return f"""
 with cleaned as (
-  select line_key, line_format, regexp_replace(regexp_replace(coalesce(raw_line, ''), '^\\x{{FEFF}}', ''), '[\\s\\x{{00A0}}]+$', '') as l from raw_label_lines),
+  select line_key, import_id, line_format, regexp_replace(regexp_replace(coalesce(raw_line, ''), '^\\x{{FEFF}}', ''), '[\\s\\x{{00A0}}]+$', '') as l from raw_label_lines),
 lines as (select * from cleaned where l <> '' and not starts_with(l, '#')),
 csv as (select *, regexp_matches(l, '^{_FIELD}(,{_FIELD})*$', 's') as sound, regexp_matches(l, '{_NINE}', 's') as nine, {parts} from lines where line_format = 'csv'),
 csv_judged as (
@@ -84,12 +84,31 @@ yolo_judged as (
   select line_key, case when len(y) <> 5 then 'column_count'
     when not regexp_matches(y[1], '^[+-]?\\d+$') or try_cast(y[1] as bigint) not in (select category_id from label_catalog)
       or not coalesce({y[0]} between 0 and 1 and {y[1]} between 0 and 1 and {y[2]} > 0 and {y[2]} <= 1 and {y[3]} > 0 and {y[3]} <= 1, false)
-    then 'invalid_value' end as code from yolo)
-select line_key, code from csv_judged where code is not null union all select line_key, code from yolo_judged where code is not null"""
+    then 'invalid_value' end as code from yolo),
+found as (select line_key, code from csv_judged where code is not null union all select line_key, code from yolo_judged where code is not null)"""
+
+
+def _sql_objects() -> str:
+    f = [_sql_number(f"f{i}") for i in range(7)]
+    y = [_sql_number(f"y[{i + 1}]") for i in range(5)]
+    return f"""{_sql_judged()}
+select line_key, import_id, 'csv' as format, null::int as category_id, f1 as label, f0 as image_path, {f[2]} as x1, {f[3]} as y1, {f[4]} as x2, {f[5]} as y2, {f[6]} as confidence,
+  case when f7 <> '' then try_cast(left(f7, 10) as date) end as reviewed_on, f8 as note from csv where line_key not in (select line_key from found)
+union all select line_key, import_id, 'yolo', y[1]::int, null, null, {y[1]} - {y[3]} / 2, {y[2]} - {y[4]} / 2, {y[1]} + {y[3]} / 2, {y[2]} + {y[4]} / 2, null, null, null from yolo join lines using (line_key) where line_key not in (select line_key from found)"""
+
+
+def _sql_skipped() -> str:
+    return f"""{_sql_judged()},
+per as (select c.import_id, count(*) filter (code is null and c.line_key in (select line_key from lines)) as loaded_objects, count(code) as skipped_objects,
+  count(*) filter (code = 'broken_quoting') as broken_quoting, count(*) filter (code = 'column_count') as column_count, count(*) filter (code = 'invalid_value') as invalid_value from cleaned c left join found using (line_key) group by 1),
+stated as (select import_id, arg_min(skipped_objects, report_key) filter (skipped_objects is not null) as stated_skipped from import_reports where import_id is not null group by 1)
+select per.*, stated_skipped from per left join stated using (import_id)"""
 
 
 ORACLES = {
-    "p4_found": _sql_found(),
+    "p4_found": _sql_judged() + " select line_key, code from found",
+    "p4_objects": _sql_objects(),
+    "p4_skipped": _sql_skipped(),
     "p6_found": """
 with rows as (
   select track_id as entity_id, start_frame::bigint as s, end_frame::bigint as e, 1 as touch, 't' as kind_of from visibility_ranges
