@@ -89,3 +89,32 @@ def test_interval_map_is_the_union(spans, touch):
             merged.append([s, e])
     assert state.periods() == [tuple(m) for m in merged]
     assert all(any(a <= p <= b for a, b in state.periods()) for p in points)
+
+
+def test_damaged_bounds_cost_two_blocks(spark):
+    """A range to the end of all numbers lies on at most two blocks, and still holds its points."""
+    from framelore.operators.ranges import within
+
+    ranges = spark.createDataFrame([("a", 0, 2**31 - 1), ("a", 5, 5), ("a", 700, 300000), ("b", -(2**40), 2**40), ("c", 9, 3), (None, 0, 9)], "k string, lo bigint, hi bigint")
+    points = spark.createDataFrame([("a", 5), ("a", 512), ("a", 299999), ("a", 2**31), ("b", -7), ("c", 5), (None, 5), ("a", None)], "k string, at bigint")
+    got = sorted((r["k"], r["at"], r["lo"]) for r in within(points, ranges, "k", "at", "lo", "hi").collect())
+    assert got == [("a", 5, 0), ("a", 5, 5), ("a", 512, 0), ("a", 299999, 0), ("a", 299999, 700), ("b", -7, -(2**40))]
+
+
+def test_frames_across_stretches(spark):
+    """Nearest and shown frames of points in other stretches than any frame, against a search of all frames."""
+    import random
+
+    from framelore.operators import timeline
+
+    rnd = random.Random(11)
+    frames = [(v, i, t) for v in ("x", "y") for i, t in enumerate(sorted(rnd.uniform(-5000, 90000) for _ in range(40)))]
+    points = [(v, n, rnd.uniform(-20000, 120000)) for n, v in enumerate(["x", "y", "x", "none"] * 60)] + [("x", 900 + k, t) for k, (v, _, t) in enumerate(frames) if v == "x"]
+    f = spark.createDataFrame(frames, "video_id string, frame_index bigint, ts double")
+    p = spark.createDataFrame(points, "video_id string, point_id bigint, at double")
+    near = {r["point_id"]: r["frame_index"] for r in timeline.nearest_frame(p, f).collect()}
+    shown = {r["point_id"]: r["frame_index"] for r in timeline.frame_at(p, f).collect()}
+    for v, n, at in points:
+        mine = [(t, i) for w, i, t in frames if w == v]
+        assert near.get(n) == (min(mine, key=lambda x: (abs(x[0] - at), x[0]))[1] if mine else None)
+        assert shown.get(n) == (max([x for x in mine if x[0] <= at + timeline.TOLERANCE] or [min(mine)])[1] if mine else None)
