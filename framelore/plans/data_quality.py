@@ -105,7 +105,41 @@ stated as (select import_id, arg_min(skipped_objects, report_key) filter (skippe
 select per.*, stated_skipped from per left join stated using (import_id)"""
 
 
+def _decoded(v: str) -> str:
+    """A JSON value, or the JSON that a text holds."""
+    return f"(case when json_type({v}) = 'VARCHAR' then try_cast({v} ->> '$' as json) else {v} end)"
+
+
+def _records(v: str, marks: tuple[str, ...]) -> str:
+    """How many records a value is: a list, one record by its marks, or records by name."""
+    marked = " or ".join(f"json_type({v} -> '{m}') is not null" for m in marks)
+    return f"""(case json_type({v}) when 'ARRAY' then len(list_filter(from_json({v}, '["json"]'), lambda e: json_type({_decoded("e")}) = 'OBJECT'))
+  when 'OBJECT' then case when len(json_keys({v})) = 0 then 0 when {marked} then 1 when len(list_filter(json_keys({v}), lambda k: coalesce(json_type({_decoded(f"({v} -> k)")}), '') <> 'OBJECT')) = 0 then len(json_keys({v})) else 1 end else 0 end)"""
+
+
+def _sql_children() -> str:
+    single = " or ".join(f"coalesce(json_type(os -> '{f}'), 'OBJECT') <> 'OBJECT'" for f in ("id", "kind", "label", "category_id"))
+    number, elements = "in ('DOUBLE', 'BIGINT', 'UBIGINT', 'HUGEINT')", "from_json(p, '[\"json\"]')"
+    pair = f"json_type(e) = 'ARRAY' and json_array_length(e) = 2 and json_type(e -> 0) {number} and json_type(e -> 1) {number}"
+    return f"""
+with d as (select doc_key, try_cast(body as json) as b from annotation_docs where json_valid(body)),
+h as (select doc_key, b as h from d where json_type(b) = 'OBJECT' union all select doc_key, i from (select doc_key, {_decoded("(b -> 'image')")} as i from d where json_type(b) = 'OBJECT') where json_type(i) = 'OBJECT'),
+o as (select doc_key, {_decoded("(h -> 'objects')")} as os from h),
+x as (select doc_key, {_decoded("e")} as x, null::varchar as k from (select doc_key, unnest(from_json(os, '["json"]')) as e from o where json_type(os) = 'ARRAY')
+  union all select doc_key, os, null from o where json_type(os) = 'OBJECT' and ({single})
+  union all select doc_key, {_decoded("(os -> k)")}, k from (select doc_key, os, unnest(json_keys(os)) as k from o where json_type(os) = 'OBJECT' and not ({single}))),
+y as (select doc_key, case when json_type(x -> 'id') is null then k else x ->> 'id' end as object_id, {_decoded("(x -> 'polygons')")} as p, {_decoded("(x -> 'mask')")} as m, {_decoded("(x -> 'provenance')")} as v from x where json_type(x) = 'OBJECT'),
+z as (select *, {_decoded("(m -> 'tiles')")} as t, {_decoded("(v -> 'imports')")} as g from y),
+n as (select doc_key, object_id,
+  case when coalesce(json_type(p), '') <> 'ARRAY' or json_array_length(p) = 0 then 0
+    when len(list_filter({elements}, lambda e: json_type(e) {number})) = json_array_length(p) or len(list_filter({elements}, lambda e: {pair})) = json_array_length(p) then 1
+    else len(list_filter({elements}, lambda e: json_type({_decoded("e")}) = 'ARRAY' and json_array_length({_decoded("e")}) > 0)) end as ring,
+  case when json_type(m) = 'OBJECT' then {_records("t", ("counts", "x", "y"))} else 0 end as tile, case when json_type(v) = 'OBJECT' then {_records("g", ("source", "name", "source_id"))} else 0 end as origin from z)
+select doc_key, object_id, child, unnest(range(count))::int as ordinal from (unpivot n on ring, tile, origin into name child value count)"""
+
+
 ORACLES = {
+    "p7_found": _sql_children(),
     "p4_found": _sql_judged() + " select line_key, code from found",
     "p4_objects": _sql_objects(),
     "p4_skipped": _sql_skipped(),
