@@ -166,4 +166,10 @@ per as (select value, id, min((e, s, levenshtein(lower(value), name))) as d from
 best as (select value, min(id) as id from (select *, rank() over (partition by value order by d) as r from per) where r = 1 group by 1 having count(*) = 1)
 select ann_key, coalesce(settled.id, best.id, -1)::int as category_id from meant left join settled on settled.value = meant.value left join best on best.value = meant.value"""
 
-ORACLES = {"p1_found": _P1, "p1_report": _P1_REPORT, "p2_found": _P2, "p2_survivors": _survivors(), "p2_members": _members(), "p3_found": _P3, "p5_found": _P5}
+# The targets in whole rows; the largest split takes the rest.
+_P5_TOTALS = """
+with n as (select count(*) as n from video_manifest), t as (select split, target_share / sum(target_share) over () as share, row_number() over (order by target_share desc, split desc) as place from split_targets),
+r as (select split, place, round_even(n * share, 0)::bigint as rows from t, n)
+select split, case when place = 1 then n - (select sum(rows) from r where place > 1) else rows end::bigint as rows from r, n"""
+
+ORACLES = {"p1_found": _P1, "p1_report": _P1_REPORT, "p2_found": _P2, "p2_survivors": _survivors(), "p2_members": _members(), "p3_found": _P3, "p5_found": _P5, "p5_totals": _P5_TOTALS}

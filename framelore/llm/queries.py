@@ -74,6 +74,11 @@ def p5_shares(spark: SparkSession, d: str) -> DataFrame:
     return splits.split_shares(p5_splits(spark, d), table(spark, d, "split_targets"))
 
 
+def p5_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Rows per split: as close to the targets as whole sets allow, which on these tables is exact."""
+    return p5_shares(spark, d).select("split", "rows")
+
+
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(table(spark, d, "documents"))
 
@@ -116,7 +121,7 @@ def p10_surrogates(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_coverage, p1_report, p1_classes, p2_found, p2_survivors, p2_members, p3_found, p3_labels, p3_unmatched, p3_targets, p5_found, p5_splits, p5_shares,
+        p1_found, p1_coverage, p1_report, p1_classes, p2_found, p2_survivors, p2_members, p3_found, p3_labels, p3_unmatched, p3_targets, p5_found, p5_splits, p5_shares, p5_totals,
         p8_containers, p8_report, p9_mixture, p9_shares, p9_filled, p9_filled_shares, p10_found, p10_redacted, p10_surrogates,
     )
 }
