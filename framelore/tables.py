@@ -8,7 +8,8 @@ import tempfile
 import uuid
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +55,18 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def stage_counted(df: DataFrame, label: str, flag: str | None = None) -> tuple[DataFrame, int]:
+    """``stage``, and the number of rows (with ``flag`` true, if given), counted by the job that writes them.
+
+    A task that ran twice counts twice, so only the difference between none
+    and some may be relied on.
+    """
+    seen = Observation()
+    count = F.count(F.lit(1)) if flag is None else F.count_if(F.col(flag))
+    out = stage(df.observe(seen, count.alias("n")), label)
+    return out, int(seen.get["n"] or 0)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     url = urlparse(path)
     if url.scheme in ("", "file"):
