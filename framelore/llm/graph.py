@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelore.tables import stage, unstage
+from framelore.tables import stage, stage_counted, unstage
 
 
 def _hook(edges: DataFrame) -> DataFrame:
@@ -22,12 +22,10 @@ def _shortcut(parents: DataFrame, label: str) -> DataFrame:
     """Pointer jumping until every parent is a root; the number of rounds is the log of the longest chain."""
     while True:
         up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("over"))
-        jumped = stage(
-            parents.join(up, "parent", "left").select("node", F.coalesce("over", "parent").alias("parent"), F.col("over").isNotNull().alias("moved")),
-            label,
+        jumped, moved = stage_counted(
+            parents.join(up, "parent", "left").select("node", F.coalesce("over", "parent").alias("parent"), F.col("over").isNotNull().alias("moved")), label, "moved"
         )
         unstage(parents)
-        moved = jumped.where("moved").limit(1).count()
         parents_next = jumped.select("node", "parent")
         parents_next._framelore_path = jumped._framelore_path
         parents = parents_next
@@ -44,14 +42,14 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     folder, so lost executors re-read them.  Null ends and loops are ignored;
     repeated edges change nothing; no edges give no rows.
     """
-    rest = stage(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a is not null and b is not null and a <> b").distinct(), f"{label}-edges")
+    rest, open_edges = stage_counted(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a is not null and b is not null and a <> b").distinct(), f"{label}-edges")
     roots: DataFrame | None = None
-    while rest.limit(1).count():
+    while open_edges:
         parents = _shortcut(stage(_hook(rest), f"{label}-parents"), f"{label}-parents")
         pa = parents.select(F.col("node").alias("a"), F.col("parent").alias("pa"))
         pb = parents.select(F.col("node").alias("b"), F.col("parent").alias("pb"))
         contracted = rest.join(pa, "a", "left").join(pb, "b", "left").select(F.coalesce("pa", "a").alias("u"), F.coalesce("pb", "b").alias("v")).where("u <> v")
-        left = stage(contracted.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), f"{label}-edges")
+        left, open_edges = stage_counted(contracted.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), f"{label}-edges")
         if roots is None:
             ends = rest.select(F.col("a").alias("node")).union(rest.select(F.col("b"))).distinct()
             moved = stage(ends.join(parents, "node", "left").select("node", F.coalesce("parent", "node").alias("root")), f"{label}-roots")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from framelore.llm import keys
 from framelore.llm.graph import components
-from framelore.tables import blocks_for, stage, unstage
+from framelore.tables import blocks_for, stage, stage_counted, unstage
 
 PER_SHARD = 20000
 SEP = "\x1f"
@@ -168,21 +168,21 @@ def found_passages(records: DataFrame, per_shard: int = PER_SHARD) -> DataFrame:
     hot = stage(_spread(texts, per_shard), "overlap-hot")
     own = records.select(F.explode("own").alias("p")).select("p.*")
     beside = records.select(F.explode("texts.id").alias("text"), F.col("own.id").alias("own"))
-    wanted = stage(records.where(F.col("split").isin("val", "test")).select(F.explode("own").alias("p")).select("p.*").distinct(), "overlap-wanted")
+    wanted, count = stage_counted(records.where(F.col("split").isin("val", "test")).select(F.explode("own").alias("p")).select("p.*").distinct(), "overlap-wanted")
     found, seen = None, None
-    while True:
-        count = wanted.count()
-        if not count:
-            break
+    while count:
         # Only texts that can end a wanted passage move; the number of shards follows them.
-        near = stage(texts.join(wanted.select("route").distinct(), "route", "left_semi"), "overlap-near")
-        shards = blocks_for(near.count() + count, per_shard, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        near, size = stage_counted(texts.join(wanted.select("route").distinct(), "route", "left_semi"), "overlap-near")
+        shards = blocks_for(size + count, per_shard, int(spark.conf.get("spark.sql.shuffle.partitions")))
         hits = stage(scan(wanted, near, hot, shards), "overlap-hits")
         unstage(near)
         found = hits if found is None else found.unionByName(hits)
         seen = wanted.select("id") if seen is None else seen.unionByName(wanted.select("id"))
         reached = beside.join(hits.select("text").distinct(), "text", "left_semi").select(F.explode("own").alias("id")).distinct().join(seen, "id", "left_anti")
-        wanted = stage(own.join(stage(reached, "overlap-reached"), "id", "left_semi").distinct(), "overlap-wanted")
+        reached, new = stage_counted(reached, "overlap-reached")
+        if not new:
+            break
+        wanted, count = stage_counted(own.join(reached, "id", "left_semi").distinct(), "overlap-wanted")
     unstage(texts)
     return found if found is not None else spark.createDataFrame([], HIT_SCHEMA)
 
