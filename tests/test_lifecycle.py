@@ -75,14 +75,15 @@ def test_time_text(spark):
 
 def test_stage_folders_are_the_sessions_own(spark, tmp_path):
     import os
+    import tempfile
 
     from framelore import tables
 
     staged = tables.stage(spark.range(3), "mine")
-    other = os.path.join(tables.shared_dir(spark).removeprefix("file://"), "framelore", "another-session")
-    os.makedirs(other)
-    tables.clear_stage(spark)
-    assert os.path.isdir(other) and not os.path.exists(staged._framelore_path.removeprefix("file://"))
+    home = os.path.join(tables.shared_dir(spark).removeprefix("file://").removeprefix("file:"), "framelore")
+    with tempfile.TemporaryDirectory(prefix="another-session-", dir=home) as other:
+        tables.clear_stage(spark)
+        assert os.path.isdir(other) and not os.path.exists(staged._framelore_path.removeprefix("file://").removeprefix("file:"))
 
 
 def test_every_part_of_an_object_has_a_table(spark):
