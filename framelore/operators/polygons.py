@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelore.functions import geometry as G
+from framelore.tables import stage
 
 RING = "array<struct<x: double, y: double>>"
 CELL = 256.0  # pixels of a cell of the hit test
@@ -53,20 +54,27 @@ def ring_fault(ring: Column) -> Column:
     )
 
 
-def _sizes(rings: DataFrame, key: list[str]) -> DataFrame:
-    """Rings and points per instance."""
-    return rings.groupBy(*key).agg(F.count("*").alias("_rings"), F.sum(F.greatest(F.size("ring"), F.lit(0))).alias("_points"))
+def _beyond() -> Column:
+    return (F.col("_rings") > MAX_RINGS) | (F.col("_points") > MAX_VERTICES)
 
 
-def _instances(rings: DataFrame, sizes: DataFrame, key: list[str]) -> DataFrame:
-    """One row per instance within the limits: its rings in order and the first of their faults.
+def _sizes(rings: DataFrame, key: list[str]) -> tuple[DataFrame, bool, bool]:
+    """Rings and points per instance, whether any is beyond the limits, and whether any is too large to be compared inside its row."""
+    sizes = stage(rings.groupBy(*key).agg(F.count("*").alias("_rings"), F.sum(F.greatest(F.size("ring"), F.lit(0))).alias("_points")), "polygon-sizes")
+    n = sizes.agg(F.count_if(_beyond()).alias("beyond"), F.count_if(F.col("_points") > IN_ROW).alias("wide")).first()
+    return sizes, n["beyond"] > 0, n["wide"] > 0
+
+
+def _instances(rings: DataFrame, sizes: DataFrame, beyond: bool, key: list[str]) -> DataFrame:
+    """One row per instance within the limits: its rings in order, their points, and the first of their faults.
 
     The limits are applied before the rings are brought together, so what is
     collected is at most 2,048 points.
     """
-    fit = sizes.where((F.col("_rings") <= MAX_RINGS) & (F.col("_points") <= MAX_VERTICES)).select(*key, "_points")
-    rows = rings.join(fit, key).groupBy(*key, "_points").agg(F.sort_array(F.collect_list(F.struct("ring_no", "ring"))).alias("rings"))
-    return rows.withColumn("_ring", F.array_min(F.transform("rings", lambda r: ring_fault(r.ring))))
+    fit = rings.join(sizes.where(~_beyond()).select(*key), key, "left_semi") if beyond else rings
+    rows = fit.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("ring_no", "ring"))).alias("rings"))
+    points = F.aggregate("rings", F.lit(0), lambda n, r: n + F.greatest(F.size(r.ring), F.lit(0)))
+    return rows.withColumn("_points", points).withColumn("_ring", F.array_min(F.transform("rings", lambda r: ring_fault(r.ring))))
 
 
 def _with_edges(instances: DataFrame) -> DataFrame:
@@ -119,8 +127,10 @@ def edge_conflicts(rings: DataFrame, key: list[str]) -> DataFrame:
     Instances beyond the limits have no pairs (``faults`` names them), nor
     have rings with a coordinate that is not finite.
     """
-    instances = _with_edges(_instances(rings, _sizes(rings, key), key))
-    return _conflicts_in_row(instances.where(F.col("_points") <= IN_ROW), key).unionByName(_conflicts_by_bands(instances.where(F.col("_points") > IN_ROW), key))
+    sizes, beyond, wide = _sizes(rings, key)
+    instances = _with_edges(_instances(rings, sizes, beyond, key))
+    pairs = _conflicts_in_row(instances.where(F.col("_points") <= IN_ROW), key)
+    return pairs.unionByName(_conflicts_by_bands(instances.where(F.col("_points") > IN_ROW), key)) if wide else pairs
 
 
 def faults(rings: DataFrame, key: list[str]) -> DataFrame:
@@ -129,19 +139,19 @@ def faults(rings: DataFrame, key: list[str]) -> DataFrame:
     Sizes come first: an instance beyond the limits is never brought together,
     and one with a faulty ring is not searched for crossings.
     """
-    sizes = _sizes(rings, key)
-    instances = _with_edges(_instances(rings, sizes, key))
+    sizes, beyond, wide = _sizes(rings, key)
+    instances = _with_edges(_instances(rings, sizes, beyond, key))
     sound = F.col("_ring").isNull()
     crossing = F.when(sound & (F.col("_points") <= IN_ROW), F.exists(F.transform("edges", lambda e, i: F.exists(_after(i), lambda f: _clash(e, f))), lambda met: met))
     first = lambda r: F.get(r.ring, F.lit(0))
     inside = F.exists("rings", lambda r: F.exists("rings", lambda o: (r.ring_no != o.ring_no) & G.ring_contains(r.ring, first(o).x, first(o).y)))
     judged = instances.select(*key, F.col("_ring"), crossing.alias("_cross"), F.when(sound & (F.size("rings") > 1), inside).alias("_inside"))
-    wide = _conflicts_by_bands(instances.where(F.col("_points") > IN_ROW).where(sound), key).select(*key).distinct().withColumn("_wide", F.lit(True))
-    fault = (
-        F.when((F.col("_rings") > MAX_RINGS) | (F.col("_points") > MAX_VERTICES), "too_large").when(F.col("_ring").isNotNull(), F.col("_ring"))
-        .when(F.col("_cross") | F.col("_wide"), "edges_meet").when(F.col("_inside"), "ring_in_ring")
-    )
-    return sizes.join(judged, key, "left").join(wide, key, "left").select(*key, fault.alias("fault"))
+    if wide:
+        met = _conflicts_by_bands(instances.where(F.col("_points") > IN_ROW).where(sound), key).select(*key).distinct().withColumn("_wide", F.lit(True))
+        judged = judged.join(met, key, "left").withColumn("_cross", F.col("_cross") | F.col("_wide"))
+    fault = F.when(F.col("_ring").isNotNull(), F.col("_ring")).when(F.col("_cross"), "edges_meet").when(F.col("_inside"), "ring_in_ring")
+    out = judged.select(*key, fault.alias("fault"))
+    return out.unionByName(sizes.where(_beyond()).select(*key, F.lit("too_large").alias("fault"))) if beyond else out
 
 
 def hit_test(points: DataFrame, shapes: DataFrame, key: str = "image_key") -> DataFrame:
