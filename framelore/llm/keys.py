@@ -34,8 +34,9 @@ def canonical_split(split: Column) -> Column:
 
 def digest(sha: Column) -> Column:
     """64 lower-case hex digits, or null where there is no digest or it stands for no picture."""
+    plain = r"^[0-9a-f]{64}\z"
     bare = F.regexp_replace(F.lower(F.regexp_replace(sha, r"(?U)\s+", "")), "^sha-?256[:=]", "")
-    return F.when(bare.rlike("^[0-9a-f]{64}$") & ~bare.isin(NO_DIGEST), bare)
+    return F.when(sha.rlike(plain), F.when(~sha.isin(NO_DIGEST), sha)).when(bare.rlike(plain) & ~bare.isin(NO_DIGEST), bare)
 
 
 def compose(text: Column) -> Column:
@@ -63,7 +64,8 @@ def file_key(path: Column) -> Column:
         F.array().cast("array<string>"),
         lambda acc, seg: F.when(seg.isin("", "."), acc).when(seg == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array_append(acc, seg)),
     )
-    joined = F.array_join(kept, "/")
+    # Most paths have no segment to drop.
+    joined = F.when(plain.rlike(r"(?:^|/)\.{0,2}(?:/|$)"), F.array_join(kept, "/")).otherwise(plain)
     return F.when(F.length(joined) > 0, joined)
 
 
