@@ -143,7 +143,7 @@ def _leet(v: str) -> str:
 
 _BAG = "array_to_string(list_sort(string_split({0}, ' ')), ' ')"
 _LETTERS = "array_to_string(list_sort(string_split({0}, '')), '')"
-_P3 = f"""
+_P3_VALUES = f"""
 with names as (select category_id, unnest(list_prepend(category_name, coalesce(aliases, []))) as name from label_catalog),
 refs as (select form, min(category_id) as id, arg_min(name, (category_id, name)) as name from (select category_id, lower(name) as name, {_words(_fold("name"))} as form from names) where form <> '' group by 1),
 mp as (select source_id, unnest(map_keys(category_mapping)) as k, unnest(map_values(category_mapping)) as t from import_sources),
@@ -163,8 +163,11 @@ near as (select value, way, id, form, name, levenshtein(text, form) as e, levens
 fit as (select * from near where e <= case when length(form) <= 7 then 2 when length(form) <= 10 then 3 else 4 end
   and case when length(form) <= 5 then e <= 1 or (e = 2 and s = 0) else e <= 2 or (e = 3 and s <= 2) or (e = 4 and s = 0) end),
 per as (select value, id, min((e, s, levenshtein(lower(value), name))) as d from fit group by 1, 2),
-best as (select value, min(id) as id from (select *, rank() over (partition by value order by d) as r from per) where r = 1 group by 1 having count(*) = 1)
-select ann_key, coalesce(settled.id, best.id, -1)::int as category_id from meant left join settled on settled.value = meant.value left join best on best.value = meant.value"""
+best as (select value, min(id) as id from (select *, rank() over (partition by value order by d) as r from per) where r = 1 group by 1 having count(*) = 1),
+res as (select ann_key, meant.value, coalesce(settled.id, best.id, -1)::int as category_id from meant left join settled on settled.value = meant.value left join best on best.value = meant.value)"""
+_P3 = _P3_VALUES + " select ann_key, category_id from res"
+# Labels that are letter for letter a category name count here too.
+_P3_UNMATCHED = _P3_VALUES.replace(" and label not in (select category_name from label_catalog)", "") + " select value, count(*) as annotations from res where category_id = -1 group by 1"
 
 # The targets in whole rows; the largest split takes the rest.
 _P5_TOTALS = """
@@ -172,4 +175,4 @@ with n as (select count(*) as n from video_manifest), t as (select split, target
 r as (select split, place, round_even(n * share, 0)::bigint as rows from t, n)
 select split, case when place = 1 then n - (select sum(rows) from r where place > 1) else rows end::bigint as rows from r, n"""
 
-ORACLES = {"p1_found": _P1, "p1_report": _P1_REPORT, "p2_found": _P2, "p2_survivors": _survivors(), "p2_members": _members(), "p3_found": _P3, "p5_found": _P5, "p5_totals": _P5_TOTALS}
+ORACLES = {"p1_found": _P1, "p1_report": _P1_REPORT, "p2_found": _P2, "p2_survivors": _survivors(), "p2_members": _members(), "p3_found": _P3, "p3_unmatched": _P3_UNMATCHED, "p5_found": _P5, "p5_totals": _P5_TOTALS}
