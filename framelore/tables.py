@@ -8,8 +8,7 @@ import tempfile
 import uuid
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,15 +55,13 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
 
 def stage_counted(df: DataFrame, label: str, flag: str | None = None) -> tuple[DataFrame, int]:
-    """``stage``, and the number of rows (with ``flag`` true, if given), counted by the job that writes them.
+    """``stage``, and the number of rows it wrote; with ``flag``, whether any row has it (1 or 0).
 
-    A task that ran twice counts twice, so only the difference between none
-    and some may be relied on.
+    Counted from the files, so a task that ran twice counts once, and nothing
+    waits for events that a busy driver may drop.
     """
-    seen = Observation()
-    count = F.count(F.lit(1)) if flag is None else F.count_if(F.col(flag))
-    out = stage(df.observe(seen, count.alias("n")), label)
-    return out, int(seen.get["n"] or 0)
+    out = stage(df, label)
+    return out, out.count() if flag is None else out.where(flag).limit(1).count()
 
 
 def _remove(spark: SparkSession, path: str) -> None:
