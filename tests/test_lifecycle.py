@@ -1,18 +1,21 @@
 """Store, media, streaming, documents and codecs on small fixtures."""
 
 import io
+import random
 import struct
+import time
 import zipfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from framelore import exports
 from framelore.functions import geometry as G
 from framelore.functions import text as T
-from framelore.operators import boxes, catalogs, documents, masks, nested, polygons, revisions, routing, timeline, tracks
+from framelore.operators import boxes, catalogs, documents, drawing, masks, nested, polygons, revisions, routing, timeline, tracks
 from framelore.sources import media
 from framelore.store import Conflict, Warehouse, broken_assets, mask_assets
 from framelore.streaming.imports import LINES, watch_lines
@@ -365,6 +368,74 @@ def test_rings_are_drawn_as_tables(spark):
     assert {r["object_id"]: r["fault"] for r in got if r["fault"]} == {"away": "outside_picture", "none": "no_ring", "nan": "not_finite", "huge": "window_too_large"}
 
 
+RING_LISTS = pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+
+
+def _drawn(shapes):
+    """Tiles and faults that ``drawing.draw`` gives for (width, height, rings of points)."""
+    sizes = [pa.array([s[i] for s in shapes], pa.int32()) for i in (0, 1)]
+    rings = pa.array([[[{"x": float(x), "y": float(y)} for x, y in r] for r in s[2]] for s in shapes], RING_LISTS)
+    tiles, faults = [], {}
+    for owner, *found in drawing.draw(*sizes, rings, masks.WINDOW_PIXELS):
+        if len(found) == 1:
+            faults |= dict(zip(owner.tolist(), found[0].tolist()))
+        else:
+            x, y, counts, pixels = found
+            assert [sum(c[1::2]) for c in counts.to_pylist()] == pixels.tolist()
+            tiles += zip(owner.tolist(), x.tolist(), y.tolist(), counts.to_pylist())
+    return sorted(tiles, key=lambda t: (t[0], t[2], t[1])), faults
+
+
+@pytest.mark.parametrize("at_once", [1, 500, drawing.AT_ONCE])
+def test_rings_are_drawn_like_pixel_blocks(monkeypatch, at_once):
+    """Boxes, crossing, touching and overlapping rings, inside and outside of the picture, whatever is drawn together."""
+    monkeypatch.setattr(drawing, "AT_ONCE", at_once)
+    rnd = random.Random(8)
+    shapes = []
+    for _ in range(150):
+        grid, far = rnd.choice([0.01, 0.5, 1, 128]), rnd.choice([3, 90, 500])
+        at = lambda: (round(rnd.uniform(-far / 4, far) / grid) * grid, round(rnd.uniform(-far / 4, far) / grid) * grid)  # noqa: E731, B023
+        rings = [[at() for _ in range(rnd.choice([2, 3, 4, 9]))] for _ in range(rnd.choice([1, 1, 2, 5]))]
+        (a, b), (c, d) = at(), at()
+        shapes.append((rnd.choice([1, 128, 300, 400]), rnd.choice([1, 128, 257]), rnd.choice([rings, [[(a, b), (c, b), (c, d), (a, d)]]])))
+    tiles, faults = _drawn(shapes)
+    expected = []
+    for n, (width, height, rings) in enumerate(shapes):
+        block = masks.rasterize([r for r in rings if len(r) > 2], width, height)
+        expected += [(n, x, y, c) for x, y, c in masks.window_tiles(block, 0, 0)]
+        assert block.any() == (n not in faults)
+    assert tiles == expected and len(faults) > 5
+
+
+def test_rings_at_the_limits():
+    far = 1e200
+    shapes = [(300, 300, [[(-far, -far), (2 * far, -far), (-far, 2 * far)]]), (9, 9, []), (9, 9, [[(1, 1), (1, 1), (1, 1)]]), (0, 9, [[(0, 0), (5, 0), (5, 5)]]), (9, 9, [[(0, 0), (float("inf"), 0), (5, 5)]]), (2**22, 1, [[(0, 0), (2**22, 0), (2**22, 1), (0, 1)]])]
+    tiles, faults = _drawn(shapes)
+    assert sum(sum(c[1::2]) for n, _, _, c in tiles if n == 0) == 300 * 300
+    assert sum(sum(c[1::2]) for n, _, _, c in tiles if n == 5) == 2**22 and sum(n == 5 for n, *_ in tiles) == 2**15
+    assert faults == {1: "no_ring", 2: "outside_picture", 3: "no_size", 4: "not_finite"}
+    assert _drawn([]) == ([], {})
+
+
+def test_drawing_is_cheaper_than_pixel_blocks():
+    """Three times at least; it is about fourteen times for boxes of this size."""
+    rnd = random.Random(5)
+    boxes_ = [(a, b, a + 220, b + 190) for a, b in ((rnd.uniform(0, 700), rnd.uniform(0, 700)) for _ in range(400))]
+    shapes = [(1000, 1000, [[(a, b), (c, b), (c, d), (a, d)]]) for a, b, c, d in boxes_]
+    size, rings = pa.array([1000] * len(shapes)), pa.array([[[{"x": x, "y": y} for x, y in s[2][0]]] for s in shapes], RING_LISTS)
+    began = time.process_time()
+    drawn = sum(len(found[0]) for found in drawing.draw(size, size, rings, masks.WINDOW_PIXELS))
+    half = time.process_time()
+    blocks = sum(len(masks.window_tiles(masks.rasterize(rings, 1000, 1000)[int(b) : int(d) + 1, int(a) : int(c) + 1], int(a), int(b))) for (a, b, c, d), (_, _, rings) in zip(boxes_, shapes))
+    assert drawn == blocks and 3 * (half - began) < time.process_time() - half
+
+
+def test_a_ring_with_a_missing_point_is_one_row(spark):
+    shapes = spark.sql("select id as object_id, 64 as width, 64 as height, array(array(named_struct('x', 0d, 'y', 0d), if(id = 1, null, named_struct('x', 9d, 'y', 0d)), named_struct('x', 9d, 'y', 9d), named_struct('x', 0d, 'y', 9d))) as rings from range(2)")
+    got = {r["object_id"]: (r["x"], r["y"], r["pixels"], r["fault"]) for r in masks.rasterize_rings(shapes).collect()}
+    assert got == {0: (0, 0, 81, None), 1: (None, None, None, "not_finite")}
+
+
 def test_column_major_rejects_single_masks(spark):
     rows = [("good", 300, 260, [10, 5, 77985]), ("large", 100000, 100000, [10**10]), ("short", 300, 260, [1, 2]), ("null", 300, 260, None)]
     got = masks.from_column_major(spark.createDataFrame(rows, "object_id string, width int, height int, counts array<bigint>")).collect()

@@ -41,3 +41,9 @@ def test_no_products(spark, sf, name):
 @pytest.mark.parametrize("name", ["box_clean", "coco_boxes", "mask_metrics", "path_validity", "redact_text", "coco_rle_round_trip"])
 def test_expressions_stay_in_the_jvm(spark, sf, name):
     assert not re.search(r"Python|Pandas|Arrow", _plan(_query(name)(spark, sf)))
+
+
+def test_masks_are_not_folded_run_by_run(spark, sf):
+    """Pixels of drawn tiles come with the tiles; a fold over their runs took most of the query."""
+    plan = _plan(_query("mask_raster")(spark, sf))
+    assert not re.search(r"\baggregate\(", plan) and "MapInArrow" in plan
